@@ -22,7 +22,7 @@ COMMON_WORDS = {
 }
 #: Beyond these distances (square root of the divergence in bits, 0 to 1) a document is rejected.
 MAX_CLASS_DISTANCE = 0.28
-MAX_WORD_DISTANCE = 0.75
+MAX_WORD_DISTANCE = 0.6
 #: Shorter documents keep their base verdict.
 MIN_WORDS = 50
 
@@ -65,8 +65,11 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("__repeated", F.array_distinct(F.filter("__sorted", lambda x, j: x.eqNullSafe(F.get("__sorted", j - 1)))))
     out = out.withColumn("__pairs", F.when(F.size("__repeated") > FEW, F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     lines = F.filter(F.split("__t", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
-    count = lambda keep: F.length(F.regexp_replace("__t", keep, ""))
-    out = out.withColumn("__lines", lines)
+    count = lambda drop: F.length(F.regexp_replace("__rest", drop, ""))
+    # lower-case letters and white space go first: the other classes are counted on the little that is left
+    out = out.withColumn("__rest", F.regexp_replace("__t", "[a-z\\x20\\x09-\\x0D]+", ""))
+    # the set lookup leaves few words, which are then counted one by one
+    out = out.withColumns({"__lines": lines, "__short": F.filter("__words", lambda w: w.isin(*vocabulary()))})
     out = out.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
@@ -77,7 +80,7 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "__upper": count(r"[^\p{Lu}]+").cast("double"),
             "__digits": count(r"[^0-9]+").cast("double"),
             "__marks": count(r"[^.,;:!?'\"()\[\]-]+").cast("double"),
-            "__common": F.array(*[(F.size("__words") - F.size(F.array_remove("__words", w))).cast("double") for w in vocabulary()]),
+            "__common": F.array(*[(F.size("__short") - F.size(F.array_remove("__short", w))).cast("double") for w in vocabulary()]),
         }
     )
     rest = F.col("word_chars") - F.col("__upper") - F.col("__digits") - F.col("__marks") - F.col("n_symbols")
@@ -85,7 +88,7 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     others = F.col("n_words") - F.aggregate("__common", F.lit(0.0), lambda a, x: a + x)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumns({"base_failed": failed, "class_counts": classes, "word_counts": F.concat("__common", F.array(others.cast("double")))})
-    return out.drop("__t", "__words", "__hashes", "__sorted", "__repeated", "__pairs", "__lines", "__upper", "__digits", "__marks", "__common")
+    return out.drop("__t", "__words", "__hashes", "__sorted", "__repeated", "__pairs", "__rest", "__lines", "__short", "__upper", "__digits", "__marks", "__common")
 
 
 def shares(counts: Column, bins: int) -> Column:
