@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import exact_dedup, rules, sharding
+import corpus_pipeline
+from quarrylens.llm import bpe, exact_dedup, packing, quality, rules, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_quality": quality.op5_quality,
+    "op6_simhash": simhash.op6_simhash,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": rules.op9_quality_rules,
+    "op10_bpe": bpe.op10_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
