@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quarrylens.llm import bpe, exact_dedup, packing, quality, rules, sharding, simhash, toxicity
+from quarrylens.llm import bpe, exact_dedup, html_main, packing, quality, rules, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_html": html_main.op2_html,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
+    "op7_warc": warc.op7_warc,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_bpe": bpe.op10_bpe,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE}
