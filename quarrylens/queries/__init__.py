@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["filtering"]
+MODULES = ["flagship", "tables", "filtering", "grouping", "ranking", "charting", "comparing", "mapping", "pipelines"]
 
 
 def _load() -> tuple[dict, dict]:
