@@ -28,7 +28,7 @@ def summarise(df: DataFrame, keys: list[str], measures: list[dict]) -> DataFrame
     """Measures {fn, field, alias} for each combination of the keys, or one row without keys."""
     if not measures:
         raise ValueError("no measures")
-    aliases = [m.get("alias") or ("row_count" if m["fn"] == "count" and not m.get("field") else re.sub(r"\W+", "_", f"{m['fn']}_{m['field']}")) for m in measures]
+    aliases = [m.get("alias") or ("row_count" if m["fn"] == "count" and not m.get("field") else re.sub(r"\W+", "_", f"{m['fn']}_{m.get('field')}")) for m in measures]
     if len(set(aliases)) < len(aliases):
         raise ValueError("two measures have the same alias")
     return df.groupBy(*keys).agg(*[measure(df, m["fn"], m.get("field")).alias(a) for m, a in zip(measures, aliases, strict=True)])
