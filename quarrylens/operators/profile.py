@@ -9,17 +9,20 @@ from quarrylens.functions.casts import as_double, as_timestamp, semantic_type
 from quarrylens.operators.charts import bin_of
 
 
-def dataset_profile(df: DataFrame, fields: list[str] | None = None, chunk: int = 12) -> DataFrame:
+def dataset_profile(df: DataFrame, fields: list[str] | None = None, chunk: int = 12, exact_below: int = 100_000) -> DataFrame:
     """A row per field: semantic_type, rows, nulls, null_share, distinct_count, min, max, mean, stddev, q25, q50, q75,
-    first_time, last_time. One aggregate for every ``chunk`` fields, so generated code stays small."""
+    first_time, last_time. One aggregate for every ``chunk`` fields, so generated code stays small. Distinct counts and
+    quantiles are exact up to ``exact_below`` rows and approximate, in bounded memory, above."""
     names, out = fields or df.columns, None
+    exact = df.count() <= exact_below
+    distinct, quantile = (F.count_distinct, F.percentile) if exact else (F.approx_count_distinct, F.percentile_approx)
     for at in range(0, len(names), chunk):
         aggs, rows = [F.count("*").alias("rows")], []
         for i, f in enumerate(names[at : at + chunk]):
             kind = semantic_type(df, f)
             v = as_double(df, f) if kind in ("numeric", "identifier") else F.lit(None).cast("double")
             t = as_timestamp(df, f) if kind == "temporal" else F.lit(None).cast("timestamp_ntz")
-            aggs += [F.count(f).alias(f"n{i}"), F.count_distinct(f).alias(f"d{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"), F.min(t).alias(f"t0{i}"), F.max(t).alias(f"t1{i}")]
+            aggs += [F.count(f).alias(f"n{i}"), distinct(f).alias(f"d{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"), quantile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"), F.min(t).alias(f"t0{i}"), F.max(t).alias(f"t1{i}")]
             nulls = F.col("rows") - F.col(f"n{i}")
             rows.append(F.struct(F.lit(f).alias("field"), F.lit(kind).alias("semantic_type"), F.col("rows"), nulls.alias("nulls"), F.try_divide(nulls.cast("double"), F.col("rows").cast("double")).alias("null_share"), F.col(f"d{i}").alias("distinct_count"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("stddev"), F.col(f"q{i}")[0].alias("q25"), F.col(f"q{i}")[1].alias("q50"), F.col(f"q{i}")[2].alias("q75"), F.col(f"t0{i}").alias("first_time"), F.col(f"t1{i}").alias("last_time")))
         part = df.agg(*aggs).select(F.inline(F.array(*rows)))

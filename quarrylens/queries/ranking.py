@@ -78,7 +78,7 @@ def _allocate(mode, *columns):
 
 def label(spark, sf):
     c = table(spark, sf, "customer")
-    return spark.range(1).select(F.lit(sc.label_column(c, "c_custkey")).alias("label_column"), F.lit(c.count()).alias("rows"))
+    return spark.range(1).select(F.lit(sc.label_column(c, "c_custkey")).alias("label_column"), F.lit(c.count()).cast("long").alias("rows"))
 
 
 def seeded(spark, sf):

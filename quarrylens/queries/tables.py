@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,12 +11,11 @@ from quarrylens.operators import profile as pf
 from quarrylens.operators.filters import filtered, search
 from quarrylens.queries.inputs import AREAS, ORDERS_N, POINTS, areas, orders_n, points, rounded, table
 from quarrylens.sources import io
+from quarrylens.sources.shared import new_path
 
 
 def folder(spark) -> str:
-    """A new folder below the one that all executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return new_path(spark, "files")
 
 
 def csv(spark, sf):

@@ -70,6 +70,13 @@ def test_ranks_without_a_single_task(spark):
         assert not re.search(r"Window \[[^\n]*\n[^\n]*Sort[^\n]*\n[^\n]*Exchange SinglePartition", plan(df))
 
 
+def test_range_partitioned_buckets_give_the_same(spark):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("q", F.when(F.col("l_quantity") < 40, F.col("l_quantity")))
+    ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    for make in (lambda n: ranking.running_sum(li, F.lit(1), "q", ids, "s", rows_per_bucket=n), lambda n: ranking.rank(li, "q", "s", rows_per_bucket=n), lambda n: ranking.running_sum(li, F.lit(1), "q", ids, "s", partition=["l_returnflag"], rows_per_bucket=n)):
+        assert sorted(make(None).select(*ids, "s").collect()) == sorted(make(20).select(*ids, "s").collect())
+
+
 def test_text_and_date_ranks(spark):
     df = spark.createDataFrame([("b", dt.date(2024, 1, 2)), ("a", dt.date(2024, 1, 1)), (None, None), ("b", dt.date(2024, 1, 3))], "t string, d date")
     assert sorted((r.t or "", r.r) for r in ranking.rank(df, "t", "r", descending=False).collect()) == [("", 4), ("a", 1), ("b", 2), ("b", 2)]
