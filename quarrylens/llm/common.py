@@ -1,32 +1,16 @@
-"""Shared pieces of the training-data operators: the shared folder, written tables, folds."""
+"""Shared pieces of the training-data operators: tables, batches and folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space of the word contract, [\x20\x09-\x0D], as a Java and Python regex class.
-ASCII_SPACE = "[\\x20\\x09-\\x0D]"
-
+from quarrylens.sources.shared import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["ASCII_SPACE", "fold", "read", "shared_dir", "small_batches", "tasks_for", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost
-    executor costs a reread instead of a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII white space of the word contract, [\x20\x09-\x0D], as a Java and Python regex class.
+ASCII_SPACE = "[\\x20\\x09-\\x0D]"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
