@@ -18,4 +18,4 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE}
+ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE, "op9_quality_rules": rules.oracle()}

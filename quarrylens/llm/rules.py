@@ -134,3 +134,36 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = divergence_rules(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def oracle() -> str:
+    """The same rules in DuckDB SQL."""
+    letters = lambda keep: f"length(regexp_replace(t, '[^{keep}]+', '', 'g'))"
+    words = ", ".join(f"len(list_filter(w, lambda x: x = '{v}'))" for v in vocabulary())
+    share = lambda c, n: f"CASE WHEN list_sum({c}) > 0 THEN list_transform({c}, lambda x: x / list_sum({c})) ELSE list_transform(range({n}), lambda x: 1.0::DOUBLE / {n}) END"
+    mean = lambda c, n: "[" + ", ".join(f"avg({c}[{i}])" for i in range(1, n + 1)) + "]"
+    half = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((z[1] + z[2]) / 2)) ELSE 0 END"
+    distance = lambda c: f"sqrt(greatest(list_sum(list_transform(list_zip({c}, {c}_ref), lambda z: ({half('z[1]')} + {half('z[2]')}) / 2)), 0))"
+    known = ", ".join(f"'{k}'" for k in COMMON_WORDS)
+    n = len(vocabulary()) + 1
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({known}) THEN lang ELSE 'other' END AS ref,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS k FROM p),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM g, range(3) r(j) WHERE k > 1 GROUP BY 1),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+m AS (SELECT d.doc_id, ref, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {letters('#*$%&|<>')} AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    {letters(chr(92) + 'p{Lu}')} AS upper, {letters('0-9')} AS digits, {letters(".,;:!?''" + '"' + "()" + chr(92) + "[" + chr(92) + "]-")} AS marks, length(t) AS points, [{words}] AS common
+  FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    [upper, digits, marks, n_symbols, points - word_chars, word_chars - upper - digits - marks - n_symbols] AS classes,
+    list_append(common, n_words - coalesce(list_sum(common), 0)) AS counts FROM m),
+s AS (SELECT *, {share('classes', 6)} AS cs, {share('counts', n)} AS ws FROM b),
+r AS (SELECT ref, {mean('cs', 6)} AS cs_ref, {mean('ws', n)} AS ws_ref FROM s WHERE NOT base_failed GROUP BY 1),
+j AS (SELECT s.*, {distance('cs')} AS class_distance, {distance('ws')} AS word_distance FROM s LEFT JOIN r USING (ref))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(n_words >= {MIN_WORDS} AND (class_distance > {MAX_CLASS_DISTANCE} OR word_distance > {MAX_WORD_DISTANCE}), FALSE) AS kept,
+  round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM j
+"""
