@@ -291,6 +291,10 @@ def test_measures_against_brute_force(spark, docs, corpus):
             assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and (r.base_failed <= (not r.kept))
 
 
+def test_rules_against_sql(spark, duck):
+    same(rules.op9_quality_rules(spark, SF), duck, rules.oracle())
+
+
 def test_rules_keep_good_documents(spark):
     out = rules.op9_quality_rules(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     good = out.where("quality = 1 AND NOT base_failed")
