@@ -16,6 +16,19 @@ def _shifted(spark, sf):
     return areas(spark, sf).select("area_id", "grp", (F.col("xmin") + 24).alias("xmin"), (F.col("xmax") + 24).alias("xmax"), (F.col("ymin") + 8).alias("ymin"), (F.col("ymax") + 8).alias("ymax"))
 
 
+def _nested(test, outer_left):
+    """The areas against boxes that lie inside some of them."""
+
+    def run(spark, sf):
+        a = areas(spark, sf)
+        inner = a.where("area_id % 2 = 0").select("area_id", (F.col("xmin") + 10).alias("xmin"), (F.col("xmax") - 10).alias("xmax"), "ymin", (F.col("ymax") - 5).alias("ymax"))
+        left, right = (a, inner) if outer_left else (inner, a)
+        return sp.box_pairs(left, right, 40.0, test).select("area_id", "r_area_id")
+
+    return run
+
+
+NESTED = ", i AS (SELECT area_id, xmin + 10 AS xmin, xmax - 10 AS xmax, ymin, ymax - 5 AS ymax FROM a WHERE area_id % 2 = 0) "
 SHIFTED = "b AS (SELECT area_id AS r_area_id, xmin + 24 AS r_xmin, xmax + 24 AS r_xmax, ymin + 8 AS r_ymin, ymax + 8 AS r_ymax FROM a)"
 
 
@@ -139,6 +152,9 @@ QUERIES = {
     "sp2_great_circle": (great_circle, P + "SELECT pt_id, round(2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(51.5 - y) / 2), 2) + cos(radians(y)) * cos(radians(51.5)) * pow(sin(radians(0 - x) / 2), 2))), 3) AS metres FROM p"),
     "jn4_boxes_intersect": (_box_pairs("intersects"), R + f", {SHIFTED} SELECT area_id, r_area_id FROM a JOIN b ON {BOX['intersects']}"),
     "jn4_boxes_overlap": (_box_pairs("overlaps"), R + f", {SHIFTED} SELECT area_id, r_area_id FROM a JOIN b ON {BOX['overlaps']}"),
+    "jn4_boxes_touch": (lambda s, d: sp.box_pairs(areas(s, d), areas(s, d), 40.0, "touches").select("area_id", "r_area_id"), R + "SELECT l.area_id, r.area_id AS r_area_id FROM a l JOIN a r ON (l.xmin = r.xmax OR l.xmax = r.xmin) AND l.ymin <= r.ymax AND l.ymax >= r.ymin OR (l.ymin = r.ymax OR l.ymax = r.ymin) AND l.xmin <= r.xmax AND l.xmax >= r.xmin"),
+    "jn4_boxes_within": (_nested("within", False), R + NESTED + "SELECT i.area_id, a.area_id AS r_area_id FROM i JOIN a ON i.xmin >= a.xmin AND i.xmax <= a.xmax AND i.ymin >= a.ymin AND i.ymax <= a.ymax"),
+    "jn4_boxes_contain": (_nested("contains", True), R + NESTED + "SELECT a.area_id, i.area_id AS r_area_id FROM a JOIN i ON i.xmin >= a.xmin AND i.xmax <= a.xmax AND i.ymin >= a.ymin AND i.ymax <= a.ymax"),
     "jn4_boxes_disjoint": (disjoint, R + f", {SHIFTED} SELECT area_id, count(*) FILTER (NOT ({BOX['intersects']})) AS disjoint FROM a, b GROUP BY 1"),
     "jn5_box_overlay": (overlay, R + f", {SHIFTED} SELECT area_id, r_area_id, round((least(xmax, r_xmax) - greatest(xmin, r_xmin)) * (least(ymax, r_ymax) - greatest(ymin, r_ymin)), 4) AS area FROM a JOIN b ON {BOX['overlaps']}"),
     "sp3_box_equals": (lambda s, d: sp.box_pairs(areas(s, d), areas(s, d), 40.0, "equals").select("area_id", "r_area_id"), R + "SELECT area_id, area_id AS r_area_id FROM a"),
