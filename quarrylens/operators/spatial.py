@@ -279,3 +279,34 @@ def glyph_grid(df: DataFrame, cell_size: float, values: list[str], weight: str |
     sums = rows.groupBy("gx", "gy").agg(F.sum("__w").alias("weight"), *[F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).alias(f"sum_{v}") for v in values[:6]])
     most = sums.agg(F.max(F.greatest(*[F.abs(f"sum_{v}") for v in values[:6]], F.lit(0.0))).alias("grid_max"))
     return sums.crossJoin(F.broadcast(most))
+
+
+def stitch_rings(edges: DataFrame, group: str) -> DataFrame:
+    """Closed rings from the outer edges of ``dissolve``: (group, ring_number, ring, vertices). Edges of a group are
+    walked from their least vertex on; where several meet, the one with the least end goes first. A group's outline
+    is put together in one task, so groups are meant to be regions, not the whole table."""
+    kind = dict(edges.dtypes)[group]
+
+    def walk(rows):
+        import pandas as pd
+
+        ends: dict[tuple, list] = {}
+        for a, b in zip(zip(rows.ax, rows.ay, strict=True), zip(rows.bx, rows.by, strict=True), strict=True):
+            ends.setdefault(a, []).append(b)
+            ends.setdefault(b, []).append(a)
+        rings = []
+        for start in sorted(ends):
+            while ends[start]:
+                ring, at = [start], start
+                while ends[at]:
+                    nxt = min(ends[at])
+                    ends[at].remove(nxt)
+                    ends[nxt].remove(at)
+                    at = nxt
+                    if at == start:
+                        break
+                    ring.append(at)
+                rings.append(ring)
+        return pd.DataFrame({group: [rows[group].iloc[0]] * len(rings), "ring_number": range(len(rings)), "ring": [[{"x": x, "y": y} for x, y in r] for r in rings], "vertices": [len(r) for r in rings]})
+
+    return edges.groupBy(group).applyInPandas(walk, f"`{group}` {kind}, ring_number long, ring array<struct<x:double,y:double>>, vertices long")

@@ -80,6 +80,12 @@ def dissolve(spark, sf):
     return rounded(edges.groupBy("grp").agg(F.count("*").alias("edges"), F.sum(F.abs(F.col("bx") - F.col("ax")) + F.abs(F.col("by") - F.col("ay"))).alias("perimeter")), 4)
 
 
+def stitched(spark, sf):
+    a = areas(spark, sf).withColumn("ring", sp.box_ring())
+    rings = sp.stitch_rings(sp.dissolve(a, "ring", "area_id"), "area_id")
+    return rounded(sp.ring_metrics(rings, "ring", "area_id").select("area_id", "area", "vertices"), 4)
+
+
 def metrics(spark, sf):
     return rounded(sp.ring_metrics(areas(spark, sf).withColumn("ring", sp.box_ring()), "ring", "area_id").select("area_id", "area", "perimeter", "centroid_x", "centroid_y", "vertices"), 6)
 
@@ -161,6 +167,7 @@ QUERIES = {
     "sp4_extents": (extents, P + "SELECT pt_id % 7 AS g, round(min(x), 4) AS xmin, round(min(y), 4) AS ymin, round(max(x), 4) AS xmax, round(max(y), 4) AS ymax, count(*) AS n FROM p GROUP BY 1"),
     "ag3_common_box": (common, R + "SELECT grp, max(xmin) - 200 AS xmin, max(ymin) - 90 AS ymin, min(xmax) + 200 AS xmax, min(ymax) + 90 AS ymax FROM a GROUP BY 1 HAVING max(xmin) - 200 <= min(xmax) + 200 AND max(ymin) - 90 <= min(ymax) + 90"),
     "sp5_dissolve": (dissolve, R + ", e AS (SELECT CAST(floor(area_id / 10.0) AS BIGINT) AS grp, unnest([{'ax': xmin, 'ay': ymin, 'bx': xmax, 'by': ymin}, {'ax': xmax, 'ay': ymin, 'bx': xmax, 'by': ymax}, {'ax': xmin, 'ay': ymax, 'bx': xmax, 'by': ymax}, {'ax': xmin, 'ay': ymin, 'bx': xmin, 'by': ymax}]) AS s FROM a), o AS (SELECT grp, s FROM e GROUP BY 1, 2 HAVING count(*) = 1) SELECT grp, count(*) AS edges, round(sum(abs(s.bx - s.ax) + abs(s.by - s.ay)), 4) AS perimeter FROM o GROUP BY 1"),
+    "sp5_stitched_rings": (stitched, R + "SELECT area_id, round((xmax - xmin) * (ymax - ymin), 4) AS area, CAST(4 AS BIGINT) AS vertices FROM a"),
     "sp6_metrics": (metrics, R + "SELECT area_id, round((xmax - xmin) * (ymax - ymin), 6) AS area, round(2 * (xmax - xmin + ymax - ymin), 6) AS perimeter, round((xmin + xmax) / 2, 6) AS centroid_x, round((ymin + ymax) / 2, 6) AS centroid_y, CAST(4 AS BIGINT) AS vertices FROM a"),
     "sp7_hexbins": (hexbins, P + ", " + HEX),
     "sp8_cells": (cells, P + ", " + _quadkey_sql(4) + " SELECT cell, count(*) AS n, round(sum(v), 2) AS total, round(avg(v), 5) AS mean FROM k GROUP BY 1"),

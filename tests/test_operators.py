@@ -157,6 +157,13 @@ def test_rings(spark):
     assert (m.area, m.perimeter, m.vertices) == (12.0, 16.0, 6)
 
 
+def test_dissolved_outline(spark):
+    boxes = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 1.0), (1, 1.0, 2.0, 0.0, 1.0), (1, 5.0, 6.0, 0.0, 1.0), (2, 0.0, 1.0, 0.0, 1.0)], "g int, xmin double, xmax double, ymin double, ymax double")
+    edges = spatial.dissolve(boxes.withColumn("ring", spatial.box_ring()), "ring", "g")
+    rings = sorted((r.g, r.vertices) for r in spatial.stitch_rings(edges, "g").collect())
+    assert rings == [(1, 4), (1, 6), (2, 4)]
+
+
 def test_spatial_joins_have_no_nested_loop(spark):
     from quarrylens.queries.inputs import areas, points
 
