@@ -24,17 +24,21 @@ HIDDEN, LEARNT = 8, 4
 INPUTS = 3 + 2 * LEARNT
 #: Labelled documents used of each class; vocabulary of the inputs.
 LABELLED = 2000
-WORDS, GRAMS = 20_000, 60_000
-REMEMBERED = 200_000
+WORDS, GRAMS = 20_000, 40_000
+REMEMBERED = 350_000
 EDGE = ".,;:!?\"'()[]{}#*$%&|<>-_=~^\\/@+"
 THRESHOLD = 0.3
 
 
 def grams_of(word: str) -> list[str]:
-    """Character n-grams of 4 to 6 letters of the word between its edges; shorter ones mean different things in different languages."""
+    """Character n-grams of 4 and 5 letters of the word between its edges; shorter ones mean different things in different languages."""
     s = f"<{word[:40]}>"
     n = len(s)
-    return [s[i : i + k] for k in (4, 5, 6) for i in range(n - k + 1)]
+    return [s[i : i + k] for k in (4, 5) for i in range(n - k + 1)]
+
+
+def _grams_in(words: list[str]) -> set[str]:
+    return set().union(*map(grams_of, set(words)))
 
 
 def _strength(with_it: np.ndarray, without: np.ndarray, n_with: int, n_without: int) -> np.ndarray:
@@ -295,27 +299,18 @@ def learn(texts: list[str | None], toxic: np.ndarray, seed: int = 11, rounds: in
     split = [(t or "").split() for t in texts]
     split = [[w.lower().strip(EDGE) for w in s] for s in split]
     y = toxic.astype(np.int64)
-    counts = {0: (Counter(), Counter()), 1: (Counter(), Counter())}
-    cache: dict[str, list[str]] = {}
-    for s, k in zip(split, y, strict=True):
-        own = set(s)
-        counts[k][0].update(own)
-        grams: set[str] = set()
-        for w in own:
-            if w not in cache:
-                cache[w] = grams_of(w)
-            grams.update(cache[w])
-        counts[k][1].update(grams)
-    cache.clear()
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     tables = []
-    for part, limit in ((0, WORDS), (1, GRAMS)):
-        with_it, without = counts[1][part], counts[0][part]
-        names = sorted(w for w in with_it.keys() | without.keys() if with_it[w] + without[w] >= 3)
-        s = _strength(np.array([with_it[w] for w in names], float), np.array([without[w] for w in names], float), n1, n0) if names else np.zeros(0)
-        top = np.argsort(-np.abs(s), kind="stable")[:limit]
-        tables.append(({names[i]: r + 1 for r, i in enumerate(top)}, np.r_[0.0, s[top]].astype(np.float32)))
-    counts.clear()
+    for units, limit in ((set, WORDS), (_grams_in, GRAMS)):
+        # what fewer than 3 toxic documents hold is no evidence; only the rest is counted in the clean ones
+        with_it = Counter(u for s, k in zip(split, y, strict=True) if k for u in units(s))
+        names = sorted(u for u, n in with_it.items() if n >= 3)
+        known = set(names)
+        without = Counter(u for s, k in zip(split, y, strict=True) if not k for u in known.intersection(units(s)))
+        z = _strength(np.array([with_it[u] for u in names], float), np.array([without[u] for u in names], float), n1, n0)
+        top = [i for i in np.argsort(-z, kind="stable")[:limit] if z[i] > 0]
+        tables.append(({names[i]: r + 1 for r, i in enumerate(top)}, np.r_[0.0, z[top]].astype(np.float32)))
+        del with_it, without, known
     (words, word_strength), (grams, gram_strength) = tables
     long = np.zeros(len(grams) + 1, bool)
     long[[r for g, r in grams.items() if len(g) > 4]] = True
