@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarrylens.llm.common import small_batches
+from quarrylens.llm.common import small_batches, written
 
 #: Words compiled into the automaton, and words a worker remembers with their ids.
 LEXICON_WORDS = 32_768
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -59,7 +59,7 @@ class Vocabulary:
     def words(self, raw: str) -> list[str]:
         """Words of a stretch of text without ASCII white space, normalised and split as the file says (NFC, lower case letter by letter)."""
         if max(raw) < "\u0180":  # Latin letters: composed already, and classed alike in every Unicode version
-            return self.pattern.findall("".join([c.lower() for c in raw]))
+            return self.pattern.findall(raw.lower())
         text = self.library.normalizer.normalize_str(raw)
         letters = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return [bytes(self.bytes[c] for c in w).decode("utf-8") for w in letters]
@@ -68,12 +68,16 @@ class Vocabulary:
         """Token ids of one word: the adjacent pair of lowest rank, leftmost first, is merged until none is left."""
         parts = [self.letters[b] for b in word.encode("utf-8")]
         parts[-1] += self.suffix
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: ranks.get((parts[i], parts[i + 1]), 1 << 30))
-            if (parts[best], parts[best + 1]) not in ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        rank, none = self.ranks.get, 1 << 30
+        pairs = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(pairs):
+                pairs[i] = rank((parts[i], parts[i + 1]), none)
         return [self.ids[p] for p in parts]
 
 
@@ -243,8 +247,20 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def lexicon_file(docs: DataFrame, path: str, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The automaton of the corpus's ``words`` most frequent words, ties by word; a few megabytes at most."""
-    top = word_counts(docs, path, text).orderBy(F.desc("n"), "word").limit(words).collect()
+    """The automaton of the corpus's most frequent words, ``words`` at most; a few megabytes.
+
+    A histogram of the counts in narrow steps gives the least count that leaves no more words than that, so
+    only the words that are kept come to the driver. Words met once are never frequent."""
+    counts = written(word_counts(docs, path, text).where("n > 1"), "word-counts")
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # some hundred steps
+    least, total = 1 << 30, 0
+    for r in sizes:
+        total += r["count"]
+        if total > words:
+            break
+        least = r["step"]
+    top = counts.where(step >= least).select("word").collect()
     vocab = vocabulary(path)
     return compile_lexicon({r.word.encode("utf-8"): vocab.merged(r.word) for r in top})
 
