@@ -1,6 +1,6 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed once into blocks of text and a tree of elements with a hash of each subtree. Spark
+Every page is parsed into blocks of text and a tree of elements with a hash of each subtree. Spark
 counts, per host, on how many different pages a subtree occurs; subtrees that recur on many pages of their
 host are the site's template and are deleted, beside what the markup itself names as menu, form, advert
 and the like. What is left of the article (or of the body, where no article is marked) is the text.
@@ -14,7 +14,6 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +131,7 @@ class Page(HTMLParser):
             self.buffer.append(data)
 
 
-PARSED = "key long, page_id long, url string, host string, body long, parents array<int>, hashes array<long>, texts array<string>, owners array<int>"
+PARSED = "key long, host string, body long, hashes array<long>"
 
 
 def host_of(url: str | None) -> str:
@@ -143,35 +142,31 @@ def host_of(url: str | None) -> str:
 
 
 def _parse(batches):
-    part, number = TaskContext.get().partitionId() << 36, 0
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32())]
-    names = [f.split()[0] for f in PARSED.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
     for b in batches:
         rows = []
-        for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for key, url, html in zip(*(b.column(c).to_pylist() for c in ("key", "url", "html")), strict=True):
             page = Page(html or "")
-            texts = [t for t, _, _ in page.blocks]
-            rows.append((part + number, page_id, url, host_of(url), xxhash.xxh64_intdigest("\n".join(texts)) >> 1, page.parents, page.hashes, texts, [e for _, e, _ in page.blocks]))
-            number += 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
+            body = xxhash.xxh64_intdigest("\n".join([t for t, _, _ in page.blocks])) >> 1
+            rows.append((key, host_of(url), body, list({h for h in page.hashes if h})))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key", "host", "body", "hashes"])
 
 
 def _assemble(batches):
     for b in batches:
         out = []
-        for parents, hashes, texts, owners, template in zip(*(b.column(c).to_pylist() for c in ("parents", "hashes", "texts", "owners", "template")), strict=True):
-            if template:
-                gone, dead = set(template), []
-                for up, h in zip(parents, hashes, strict=True):  # parents come before their children
-                    dead.append(h in gone or (up >= 0 and dead[up]))
-                texts = [t for t, e in zip(texts, owners, strict=True) if not dead[e]]
-            out.append("\n".join(texts))
+        for html, template in zip(*(b.column(c).to_pylist() for c in ("html", "template")), strict=True):
+            page = Page(html or "")
+            gone, dead = set(template or ()), []
+            for up, h in zip(page.parents, page.hashes, strict=True):  # parents come before their children
+                dead.append(h in gone or (up >= 0 and dead[up]))
+            out.append("\n".join([t for t, e, _ in page.blocks if not dead[e]]))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
 def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, hash) of subtrees on many different pages of their host; copies of a page count once."""
-    seen = parsed.select("host", "body", F.explode(F.array_distinct(F.filter("hashes", lambda h: h != 0))).alias("hash")).distinct()
+    seen = parsed.select("host", "body", F.explode("hashes").alias("hash")).distinct()
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("pages"))
     hosts = parsed.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("of"))
     return counts.where(F.col("pages") >= min_pages).join(hosts, "host").where(F.col("pages") >= min_share * F.col("of")).select("host", "hash")
@@ -185,12 +180,12 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     """
     small_batches(pages.sparkSession, 200)
     source = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    parsed = written(source.mapInArrow(_parse, PARSED), "parsed-pages")
+    source = source.withColumn("key", F.xxhash64("page_id", "url", "html"))  # equal for repeated rows, which have one template anyway
+    parsed = written(source.mapInArrow(_parse, PARSED), "parsed-pages")  # hashes only: pages are parsed again rather than kept on disk
     site = written(templates(parsed), "templates")
-    own = parsed.select("key", "host", F.explode(F.array_distinct(F.filter("hashes", lambda h: h != 0))).alias("hash"))
+    own = parsed.select("key", "host", F.explode("hashes").alias("hash")).distinct()
     found = own.join(site, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("template"))  # at most a page's elements
-    both = parsed.join(found, "key", "left").select("page_id", "url", "parents", "hashes", "texts", "owners", "template")
-    out = both.mapInArrow(_assemble, "page_id long, url string, text string")
+    out = source.join(written(found, "found"), "key", "left").mapInArrow(_assemble, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
