@@ -25,8 +25,8 @@ from tokenizers import Tokenizer
 from quarrylens.llm.common import small_batches, written
 
 #: Words compiled into the automaton, and words a worker remembers with their ids.
-LEXICON_WORDS = 32_768
-REMEMBERED = 400_000
+LEXICON_WORDS = 65_536
+REMEMBERED = 350_000
 
 
 def byte_letters() -> list[str]:
@@ -47,12 +47,15 @@ class Vocabulary:
         self.ids = dict(model["vocab"])
         self.specials = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.tokens = {i: t for t, i in (*self.ids.items(), *self.specials.items())}
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
-        self.suffix = model.get("end_of_word_suffix") or ""
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.ranks = {self.ids[a] << 20 | self.ids[b]: i for i, (a, b) in enumerate(merges)}  # by both ids in one number
+        self.made = [self.ids[a + b] for a, b in merges]
+        suffix = model.get("end_of_word_suffix") or ""
         split = next(p for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
         self.letters = byte_letters()
+        self.inner, self.ending = [self.ids[c] for c in self.letters], [self.ids[c + suffix] for c in self.letters]
         self.bytes = {c: b for b, c in enumerate(self.letters)}
         self.library = Tokenizer.from_file(path)  # normalises and splits stretches beyond Latin; never encodes
 
@@ -66,19 +69,20 @@ class Vocabulary:
 
     def merged(self, word: str) -> list[int]:
         """Token ids of one word: the adjacent pair of lowest rank, leftmost first, is merged until none is left."""
-        parts = [self.letters[b] for b in word.encode("utf-8")]
-        parts[-1] += self.suffix
+        *head, tail = word.encode("utf-8")
+        parts = [self.inner[b] for b in head]
+        parts.append(self.ending[tail])
         rank, none = self.ranks.get, 1 << 30
-        pairs = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        pairs = [rank(a << 20 | b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while pairs and (best := min(pairs)) < none:
             i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[i : i + 2] = [self.made[best]]
             del pairs[i]
             if i:
-                pairs[i - 1] = rank((parts[i - 1], parts[i]), none)
+                pairs[i - 1] = rank(parts[i - 1] << 20 | parts[i], none)
             if i < len(pairs):
-                pairs[i] = rank((parts[i], parts[i + 1]), none)
-        return [self.ids[p] for p in parts]
+                pairs[i] = rank(parts[i] << 20 | parts[i + 1], none)
+        return parts
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
@@ -178,13 +182,15 @@ class Encoder:
     encoded on their own, for white space ends every word and never joins its neighbours in NFC."""
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None):
-        self.vocab, self.lexicon, self.ids, self.text, self.blank = vocab, lexicon, {}, {}, set()
-
-    def stretch(self, raw: bytes) -> list[int]:
-        out: list[int] = []
-        for word in self.vocab.words(raw.decode("utf-8")):
-            found = self.lexicon.get(word.encode("utf-8")) if self.lexicon else None
-            out.extend(self.vocab.merged(word) if found is None else found)
+        self.vocab, self.lexicon, self.ids, self.text, self.blank, self.known = vocab, lexicon, {}, {}, set(), {}
+
+    def word(self, word: str) -> tuple[bytes, bytes]:
+        """Ids and token strings of one word, from the lexicon or else merged; stretches differ far more than their words."""
+        if (out := self.known.get(word)) is None:
+            ids = self.lexicon.get(word.encode("utf-8")) if self.lexicon else None
+            if ids is None:
+                ids = self.vocab.merged(word)
+            out = self.known[word] = " ".join(map(str, ids)).encode(), " ".join([self.vocab.tokens[i] for i in ids]).encode("utf-8")
         return out
 
     def rendered(self, text: str) -> tuple[bytes, bytes]:
@@ -200,16 +206,20 @@ class Encoder:
             return b" ".join(p[0] for p in parts), b" ".join(p[1] for p in parts)
         words = text.encode("utf-8").split()
         for w in set(words).difference(self.ids):
-            ids = self.stretch(w)
-            if not ids:
+            parts = [self.word(x) for x in self.vocab.words(w.decode("utf-8"))]
+            if len(parts) == 1:
+                self.ids[w], self.text[w] = parts[0]
+                continue
+            if not parts:
                 self.blank.add(w)
-            self.ids[w] = b" ".join(b"%d" % i for i in ids)
-            self.text[w] = " ".join(self.vocab.tokens[i] for i in ids).encode("utf-8")
+            self.ids[w], self.text[w] = b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
         if self.blank and not self.blank.isdisjoint(words):
             words = [w for w in words if w not in self.blank]
         out = b" ".join(map(self.ids.__getitem__, words)), b" ".join(map(self.text.__getitem__, words))
         if len(self.ids) > REMEMBERED:
             self.ids, self.text, self.blank = {}, {}, set()
+        if len(self.known) > REMEMBERED:
+            self.known = {}
         return out
 
 
