@@ -185,7 +185,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     site = written(templates(parsed), "templates")
     own = parsed.select("key", "host", F.explode("hashes").alias("hash")).distinct()
     found = own.join(site, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("template"))  # at most a page's elements
-    out = source.join(written(found, "found"), "key", "left").mapInArrow(_assemble, "page_id long, url string, text string")
+    # a merge join at every size: what is found grows with the pages and is never broadcast
+    out = source.join(written(found, "found").hint("merge"), "key", "left").mapInArrow(_assemble, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
