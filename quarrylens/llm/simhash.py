@@ -170,8 +170,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     small_batches(docs.sparkSession, 20_000)
     roots = components(similar_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     small_batches(docs.sparkSession)
-    classes = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    classes = written(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
+    # written, so that the join below has plain exchanges on both sides and a component of very many nodes can be split
+    smallest = written(classes.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    named = classes.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
