@@ -1,14 +1,15 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed into blocks of text and a tree of elements with a hash of each subtree. Spark
-counts, per host, on how many different pages a subtree occurs; subtrees that recur on many pages of their
-host are the site's template and are deleted, beside what the markup itself names as menu, form, advert
-and the like. What is left of the article (or of the body, where no article is marked) is the text.
+Every page is parsed into blocks of text and a tree of elements with a hash of each subtree, paragraphs of
+an article included. Spark counts, per host, on how many different pages a subtree occurs; subtrees that
+recur are the site's template and are deleted, beside what the markup itself names as menu, form, advert
+and the like (``markup_rule``) and what is outside a marked article. What is left is the text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -19,9 +20,8 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.common import read, small_batches, written
 
-#: A subtree is template when it is on at least this many different pages of a host, and this share of them.
+#: A subtree is template when it is on at least this many different pages of a host, however many the host has.
 MIN_PAGES = 4
-MIN_SHARE = 0.02
 
 # Element names and words of class, id and role that mark what is not main text.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -30,61 +30,89 @@ DROPPED = set("head title script style noscript template nav footer aside form b
 DROPPED_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 DROPPED_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus replies reply share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager toolbar skip".split())
 WORDS_IN = re.compile(r"[a-z]+")
-#: Paragraph-like elements; inside a marked article they are its own words and never count as template.
-TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody thead tfoot caption figcaption summary hgroup".split())
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+def markup_rule(tag: str, attrs: list, inside: bool) -> str | None:
+    """The rule by which the markup itself says that an element is not main text; None where it does not."""
+    if tag in DROPPED:
+        return "element"
+    if tag == "header" and not inside:
+        return "header"
+    for name, value in attrs:
+        if name == "hidden":
+            return "hidden"
+        if value and name in ("class", "id") and not DROPPED_WORDS.isdisjoint(WORDS_IN.findall(value.lower())):
+            return "name"
+        if value and name == "role" and value.lower() in DROPPED_ROLES:
+            return "role"
+    return None
+
+
 class Page(HTMLParser):
-    """Blocks (text, element number) in page order; parents and subtree hashes of the block elements.
+    """Blocks (text, number of their text node) in page order; parents and subtree hashes of all nodes.
 
-    A hash of 0 means that the element is never template: it holds no text, wraps or is the article,
-    or is a paragraph inside it. Malformed markup is read as far as it goes: open elements end with the page."""
+    Nodes are elements and runs of text. A hash of 0 means that no template can have the node: it holds no
+    block, or it is the only run of text of its element, which has a hash itself. ``removed`` counts the
+    blocks that each markup rule took away. Malformed markup is read as far as it goes: open elements end
+    with the page."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.parents, self.hashes, self.blocks, self.buffer = [], [], [], []
-        self.stack = []  # [tag, number, dropped, in article, parts, is or holds an article]
-        self.has_article = False
-        self._open("#page", False)
+        self.stack = []  # [tag, number, markup rule, in article, digests of the parts, text nodes]
+        self.has_article, self.removed = False, Counter()
+        self._open("#page", None)
         self.feed(html)
         self.close()
         while self.stack:
             self._close()
         if self.has_article:
+            self.removed["outside article"] = sum(not b[2] for b in self.blocks)
             self.blocks = [b for b in self.blocks if b[2]]
+        live = {-1}
+        for _, node, _ in self.blocks:
+            while node not in live:
+                live.add(node)
+                node = self.parents[node]
+        self.hashes = [h if i in live else 0 for i, h in enumerate(self.hashes)]
 
     def _flush(self) -> None:
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             self.buffer.clear()
             if text:
-                tag, number, dropped, inside, parts, *_ = self.stack[-1]
+                _, number, rule, inside, parts, texts = self.stack[-1]
                 parts.append(text)
-                if not dropped:
-                    self.blocks.append((text, number, inside))
-
-    def _open(self, tag: str, dropped: bool) -> None:
+                if rule:
+                    self.removed[rule] += 1
+                else:
+                    texts.append((len(self.parents), text))
+                    self.blocks.append((text, len(self.parents), inside))
+                    self.parents.append(number)
+                    self.hashes.append(0)
+
+    def _open(self, tag: str, rule: str | None) -> None:
         up = self.stack[-1] if self.stack else None
         number = len(self.parents)
         self.parents.append(up[1] if up else -1)
         self.hashes.append(0)
-        dropped = dropped or bool(up and up[2])
-        article = tag in ("article", "main") and not dropped
-        self.stack.append([tag, number, dropped, article or bool(up and up[3]), [], article])
+        rule = (up[2] if up else None) or rule
+        article = tag in ("article", "main") and not rule
+        self.stack.append([tag, number, rule, article or bool(up and up[3]), [], []])
         self.has_article |= article
 
     def _close(self) -> None:
         self._flush()
-        tag, number, _, inside, parts, article = self.stack.pop()
+        tag, number, _, _, parts, texts = self.stack.pop()
         if parts:
             digest = xxhash.xxh64_hexdigest(tag + "\x00" + "\x01".join(parts))
-            if not article and not (inside and tag in TEXT_TAGS) and tag not in ("#page", "html", "body"):
-                self.hashes[number] = int(digest, 16) >> 1 or 1
             if self.stack:
+                self.hashes[number] = int(digest, 16) >> 1 or 1
                 self.stack[-1][4].append(digest)
-        if article and self.stack:
-            self.stack[-1][5] = True
+            if len(parts) > 1 or not self.stack:
+                for node, text in texts:
+                    self.hashes[node] = xxhash.xxh64_intdigest("#text\x00" + text) >> 1 or 1
 
     def _close_to(self, tags: set, until: set) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -99,7 +127,7 @@ class Page(HTMLParser):
         if tag not in BLOCKS and tag not in DROPPED:
             if tag == "br":
                 self.buffer.append(" ")
-            if tag in VOID or not self._marked(attrs):
+            if tag in VOID or not markup_rule(tag, attrs, self.stack[-1][3]):
                 return  # inline: its text belongs to the block around it
         self._flush()
         if tag in BLOCKS:
@@ -107,18 +135,12 @@ class Page(HTMLParser):
         if tag in CLOSED_BY:
             self._close_to(*CLOSED_BY[tag])
         if tag not in VOID:
-            self._open(tag, tag in DROPPED or (tag == "header" and not self.stack[-1][3]) or self._marked(attrs))
+            self._open(tag, markup_rule(tag, attrs, self.stack[-1][3]))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID or tag in BLOCKS:
             self.handle_starttag(tag, attrs)
 
-    def _marked(self, attrs: list) -> bool:
-        for name, value in attrs:
-            if value and (name in ("class", "id") and not DROPPED_WORDS.isdisjoint(WORDS_IN.findall(value.lower())) or name == "role" and value.lower() in DROPPED_ROLES) or name == "hidden":
-                return True
-        return False
-
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
@@ -164,12 +186,10 @@ def _assemble(batches):
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
-def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, hash) of subtrees on many different pages of their host; copies of a page count once."""
     seen = parsed.select("host", "body", F.explode("hashes").alias("hash")).distinct()
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("pages"))
-    hosts = parsed.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    return counts.where(F.col("pages") >= min_pages).join(hosts, "host").where(F.col("pages") >= min_share * F.col("of")).select("host", "hash")
+    return seen.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages).select("host", "hash")
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -429,6 +429,20 @@ def test_template_subtrees_go_and_copies_do_not_make_one(spark):
     assert html_main.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_recurring_paragraphs_of_articles_go_on_hosts_of_any_size(spark):
+    page = "<html><body><article>Read our app<h1>Title {0}</h1><p>Words {0}</p><p>{1}</p></article></body></html>"
+    notice = lambda i: "Subscribe today" if i < 5 else f"More {i}"
+    pages = [(i, f"http://big.example/{i}", page.format(i, notice(i))) for i in range(400)] + [(1000 + i, f"http://other.example/{i}", page.format(i, notice(i))) for i in range(3)]
+    out = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(out[i] == f"Title {i}\nWords {i}" + ("" if i < 5 else f"\nMore {i}") for i in range(400))
+    assert all(out[1000 + i] == f"Read our app\nTitle {i}\nWords {i}\nSubscribe today" for i in range(3))  # three pages are no template
+
+
+def test_markup_rules_are_counted():
+    page = html_main.Page("<nav>a</nav><header>b</header><div class='ad'>c</div><div role='search'>d</div><p hidden>e</p><p>f</p><main><header>g</header></main>")
+    assert page.removed == {"element": 1, "header": 1, "name": 1, "role": 1, "hidden": 1, "outside article": 1} and [b[0] for b in page.blocks] == ["g"]
+
+
 # --- 7: revisits
 
 
