@@ -111,8 +111,9 @@ def crawl_records(pages: DataFrame) -> DataFrame:
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
-    out = resolve_revisits(crawl_records(read(spark, sf_dir, "pages")), with_body=False)
-    return out.select("record_id", "canonical_url", "outcome", "response_id", F.col("headers")["etag"].alias("etag"), F.size("headers").cast("long").alias("n_headers"), "payload_digest")
+    out = resolve_revisits(crawl_records(read(spark, sf_dir, "pages")))
+    # the digest is of the body that was joined, not the one that the response's record names
+    return out.select("record_id", "canonical_url", "outcome", "response_id", F.col("headers")["etag"].alias("etag"), F.size("headers").cast("long").alias("n_headers"), F.md5("body").alias("payload_digest"))
 
 
 ORACLE = r"""

@@ -450,6 +450,13 @@ def test_revisits_against_sql(spark, duck):
     same(warc.op7_warc(spark, SF), duck, warc.ORACLE)
 
 
+def test_revisit_digests_come_from_the_joined_bodies(spark, monkeypatch):
+    key = lambda df: sorted(map(str, df.collect()))
+    plain, records = key(warc.op7_warc(spark, SF)), warc.crawl_records
+    monkeypatch.setattr(warc, "crawl_records", lambda pages: records(pages).withColumn("payload_digest", F.lit("unread")))
+    assert key(warc.op7_warc(spark, SF)) == plain
+
+
 def test_revisit_rules(spark):
     t = lambda s: f"2024-01-01 00:00:{s:02d}"
     full = lambda i, url, s, h: (i, url, "response", t(s), 200, h, f"d{i}", f"b{i}")
