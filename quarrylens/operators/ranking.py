@@ -28,18 +28,19 @@ def sortable(df: DataFrame, field: str) -> Column:
 ROWS_PER_BUCKET, MOST_EDGES = 1_000_000, 64
 
 
-def with_bucket(df: DataFrame, order: Column, row_id: list[str], rows_per_bucket: int | None = None) -> DataFrame:
+def with_bucket(df: DataFrame, order: Column, by: Column, row_id: list[str], rows_per_bucket: int | None = None) -> DataFrame:
     """Adds ``__bucket``: 0, 1, ... in the order of ``order``; nulls after all others. The number of buckets follows
-    the number of rows, so a window over one stays small.
+    the number of rows, so a window over one stays small. ``by`` is the sort expression of the windows; ``order`` may
+    be coarser (the first letters of a text).
 
     Up to some dozen, approximate quantiles are the boundaries and equal values share a bucket. Beyond, the table
-    is range-partitioned by the order and the row id, so even equal values are spread, and written once: every
-    reader sees the same partitions."""
+    is range-partitioned by the sort expression itself and the row id, so even equal values are spread, and written
+    once: every reader sees the same partitions."""
     per = rows_per_bucket or ROWS_PER_BUCKET
     points = [i / MOST_EDGES for i in range(1, MOST_EDGES)]
     rows, edges = df.agg(F.count("*"), F.percentile_approx(order, points, 2000)).first()
     if rows > per * MOST_EDGES:
-        ranged = df.repartitionByRange(-(-rows // per), order.asc_nulls_last(), *row_id)
+        ranged = df.repartitionByRange(-(-rows // per), by, *row_id)
         return written(ranged.withColumn("__bucket", F.spark_partition_id()), "ranged")
     edges = sorted(set(edges or []))
     inside = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < order)) if edges else F.lit(0)
@@ -76,7 +77,7 @@ def _direction(field: str, descending: bool) -> Column:
 def running_sum(df: DataFrame, amount: Column, order: str, row_id: list[str], out: str, descending: bool = True, partition: list[str] | None = None, rows_per_bucket: int | None = None) -> DataFrame:
     """Running sum in the order of a column, nulls last, ties by the row id."""
     key = sortable(df, order)
-    rows = with_bucket(df.withColumn("__value", amount), -key if descending else key, row_id, rows_per_bucket)
+    rows = with_bucket(df.withColumn("__value", amount), -key if descending else key, _direction(order, descending), row_id, rows_per_bucket)
     window = Window.partitionBy(*(partition or []), "__bucket").orderBy(_direction(order, descending), *row_id).rowsBetween(Window.unboundedPreceding, 0)
     return add_offsets(rows.withColumn(out, F.sum("__value").over(window)), partition or [], F.col("__value"), out).drop("__value", "__bucket")
 
@@ -91,7 +92,7 @@ def rank(df: DataFrame, field: str, out: str, descending: bool = True, rows_per_
     their counts, so heavy ties are one row each, and joined back."""
     values = df.groupBy(F.col(field).alias("__v")).agg(F.count("*").alias("__n"))
     key = sortable(values, "__v")
-    values = with_bucket(values, -key if descending else key, ["__v"], rows_per_bucket)
+    values = with_bucket(values, -key if descending else key, _direction("__v", descending), ["__v"], rows_per_bucket)
     window = Window.partitionBy("__bucket").orderBy(_direction("__v", descending)).rowsBetween(Window.unboundedPreceding, -1)
     ranked = add_offsets(values.withColumn(out, F.coalesce(F.sum("__n").over(window), F.lit(0)) + 1), [], F.col("__n"), out)
     return df.join(ranked.select("__v", out), F.col(field).eqNullSafe(F.col("__v"))).drop("__v")

@@ -77,6 +77,17 @@ def test_range_partitioned_buckets_give_the_same(spark):
         assert sorted(make(None).select(*ids, "s").collect()) == sorted(make(20).select(*ids, "s").collect())
 
 
+def test_range_partitions_follow_texts_with_a_common_prefix(spark):
+    rows = [(i, f"Customer#{i * 7919 % 2000 // 2:06d}") for i in range(2000)]  # each text twice, far apart by id
+    df = spark.createDataFrame(rows, "k int, t string")
+    for down in (False, True):
+        want = [k for k, _ in sorted(sorted(rows), key=lambda r: r[1], reverse=down)]
+        got = ranking.running_sum(df, F.lit(1), "t", ["k"], "s", down, rows_per_bucket=20).collect()
+        assert [r.k for r in sorted(got, key=lambda r: r.s)] == want and sorted(r.s for r in got) == list(range(1, 2001))
+        ranks = {r.k: r.r for r in ranking.rank(df, "t", "r", down, rows_per_bucket=10).collect()}
+        assert [ranks[k] for k in want] == [1 + i // 2 * 2 for i in range(2000)]
+
+
 def test_text_and_date_ranks(spark):
     df = spark.createDataFrame([("b", dt.date(2024, 1, 2)), ("a", dt.date(2024, 1, 1)), (None, None), ("b", dt.date(2024, 1, 3))], "t string, d date")
     assert sorted((r.t or "", r.r) for r in ranking.rank(df, "t", "r", descending=False).collect()) == [("", 4), ("a", 1), ("b", 2), ("b", 2)]
