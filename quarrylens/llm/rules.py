@@ -3,7 +3,8 @@
 Every document gets a histogram of character classes and one of common words. The references are the
 mean histograms of the corpus itself, one for each known language and one for the rest, over documents
 that pass the base rules. A document whose Jensen-Shannon distance to its reference is too large is
-rejected, unless it is too short to judge.
+rejected, unless it is too short to judge. How far is too far for words follows from the distances of each
+language's documents; the registered query keeps the fixed limit of its SQL.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ COMMON_WORDS = {
 #: Beyond these distances (square root of the divergence in bits, 0 to 1) a document is rejected.
 MAX_CLASS_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.6
+#: The derived word limit: so many times the distance from the lower quartile to the median above the median.
+#: Both lie among the usual documents, so up to half of a language may be junk without moving the limit far.
+WORD_SPREADS = 6
 #: Shorter documents keep their base verdict.
 MIN_WORDS = 50
 
@@ -103,9 +107,13 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x), F.lit(0.0)))
 
 
-def divergence_rules(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_words: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
+def divergence_rules(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_words: float | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """The input's columns (except the text) with the measures, class_distance, word_distance and kept.
 
+    Without ``max_words``, words are compared among the common words alone (the mass of all others hides any
+    difference), a text without one is at distance 1, and the limit of each language is derived from its
+    documents that pass the base rules. With it, the histogram has the others and the limit is fixed.
+
     Null and empty texts have zero words and fail the base rules. Unknown and null languages share one
     reference; where no document of a language passes the base rules its reference is missing, the
     distances are null and the base verdict stands. Repeated rows are judged alike. Clashing columns of
@@ -113,26 +121,37 @@ def divergence_rules(docs: DataFrame, text: str = "text", lang: str = "lang", ma
     """
     known = F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).otherwise("other")
     made = [c for c in base_measures(docs, text).columns if c != text]
-    bins = {"class_counts": 6, "word_counts": len(vocabulary()) + 1}
+    derived = max_words is None
+    bins = {"class_counts": 6, "word_counts": len(vocabulary()) + (not derived)}
     measured = base_measures(docs, text).select(*made, known.alias("__ref"))
     for c, n in bins.items():
-        measured = measured.withColumn(f"__{c}", shares(F.col(c), n))
+        measured = measured.withColumn(f"__{c}", shares(F.slice(c, 1, n), n))
+    common = F.aggregate(F.slice("word_counts", 1, len(vocabulary())), F.lit(0.0), lambda a, x: a + x)
     measured = written(measured, "measures")  # one pass over the texts; a few numbers for each document
     # language x bins means: at most five rows of 55 numbers
     good = measured.where(~F.col("base_failed")).groupBy("__ref")
-    means = good.agg(*[F.avg(F.get(f"__{c}", F.lit(i))).alias(f"{c}_{i}") for c, n in bins.items() for i in range(n)])
+    told = lambda c, x: F.when(common > 0, x) if derived and c == "word_counts" else x
+    means = good.agg(*[F.avg(told(c, F.get(f"__{c}", F.lit(i)))).alias(f"{c}_{i}") for c, n in bins.items() for i in range(n)])
     refs = means.select("__ref", *[F.array(*[f"{c}_{i}" for i in range(n)]).alias(f"__{c}_ref") for c, n in bins.items()])
     judged = measured.join(F.broadcast(refs), "__ref", "left")
     judged = judged.withColumn("class_distance", js_distance(F.col("__class_counts"), F.col("__class_counts_ref")))
     judged = judged.withColumn("word_distance", js_distance(F.col("__word_counts"), F.col("__word_counts_ref")))
-    far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > max_words))
+    limit = F.lit(max_words)
+    if derived:
+        judged = judged.withColumn("word_distance", F.when(F.get("__word_counts_ref", F.lit(0)).isNotNull(), F.when(common > 0, F.col("word_distance")).otherwise(1.0)))
+        low, middle = (F.percentile_approx("word_distance", q, 10_000) for q in (0.25, 0.5))
+        limits = judged.where(~F.col("base_failed")).groupBy("__ref").agg((middle + WORD_SPREADS * (middle - low)).alias("__limit"))
+        # a text without common words is always beyond; one row for each language
+        judged = judged.join(F.broadcast(limits.withColumn("__limit", F.least("__limit", F.lit(1 - 1e-9)))), "__ref", "left")
+        limit = F.col("__limit")
+    far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > limit))
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
     return judged.withColumn("kept", kept).select(*made, "class_distance", "word_distance", "kept")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    out = divergence_rules(docs)
+    out = divergence_rules(docs, max_words=MAX_WORD_DISTANCE)  # as the SQL
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 

@@ -302,6 +302,22 @@ def test_rules_keep_good_documents(spark):
     assert out.where("quality = 0 AND NOT base_failed AND NOT kept").count() > 0
 
 
+def test_word_rule_rejects_wrong_languages_and_texts_without_common_words(spark):
+    sf = SF.replace("0.001", "0.01")
+    known = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id").select("doc_id", "text", "lang")
+    passing = rules.divergence_rules(known).where("NOT base_failed").select("doc_id")
+    good = known.join(passing, "doc_id")
+    wrong = good.where("lang = 'de'").orderBy("doc_id").limit(8).select((F.col("doc_id") + 10**6).alias("doc_id"), "text", F.lit("en").alias("lang"))
+    words = F.filter(F.split("text", "[ \n]+"), lambda w: ~w.isin(*rules.vocabulary()))
+    bare = good.where(F.size(words) >= 60).orderBy("doc_id").limit(8).select((F.col("doc_id") + 2 * 10**6).alias("doc_id"), F.array_join(words, " ").alias("text"), "lang")
+    planted = good.unionByName(wrong).unionByName(bare)
+    out = rows(rules.divergence_rules(planted, max_class=1.0))
+    assert sum(r["doc_id"] >= 10**6 for r in out) == 16 and not any(r["kept"] for r in out if r["doc_id"] >= 10**6 and not r["base_failed"])
+    assert all(r["kept"] for r in out if r["doc_id"] < 10**6)
+    fixed = rows(rules.divergence_rules(planted, max_class=1.0, max_words=rules.MAX_WORD_DISTANCE))
+    assert all(r["kept"] for r in fixed if not r["base_failed"])  # the fixed limit sees none of them
+
+
 def test_rules_edges(docs, empty):
     assert rules.divergence_rules(docs).count() == len(EDGE) and rules.divergence_rules(empty).count() == 0
     d = lambda p, q: docs.limit(1).select(rules.js_distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)))).first()[0]
