@@ -1,32 +1,36 @@
 """Byte-pair encoding and decoding through a minimal acyclic transducer.
 
-Spark counts the words of the whole corpus; the most frequent ones are compiled into a minimal
-acyclic automaton (equal suffixes shared) whose path numbers point to their token ids. The file is a few
-megabytes, is broadcast, and every Python worker maps it into memory. Words outside it are merged exactly.
+Spark counts the stretches between white space of the whole corpus; the words of the most frequent ones are
+compiled into a minimal acyclic automaton (equal suffixes shared) whose path numbers point to their token
+ids. The file is a few megabytes, is broadcast, and every Python worker maps it into memory. Words outside it
+are merged exactly, many at a time in numpy.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
 import re
 import struct
 import tempfile
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarrylens.llm.common import small_batches, written
+from quarrylens.llm.common import ASCII_SPACE, small_batches, written
 
-#: Words compiled into the automaton, and words a worker remembers with their ids.
+#: Words compiled into the automaton; stretches and words that a worker remembers in each of two generations.
 LEXICON_WORDS = 65_536
-REMEMBERED = 350_000
+REMEMBERED = 200_000
+#: Words of more bytes are merged through a heap, in n log n steps; a setting of speed only, both ways are exact.
+LONG = 64
 
 
 def byte_letters() -> list[str]:
@@ -37,6 +41,39 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class PairRanks:
+    """Ranks of many pairs at once: an open-addressing table in arrays. ``NONE`` stands for a pair that never merges."""
+
+    NONE = 1 << 30
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, ranks: dict[int, int]):
+        self.bits = max(4, (4 * len(ranks)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.NONE, np.int64)
+        keys, values = np.array(list(ranks), np.int64), np.array(list(ranks.values()), np.int64)
+        slots = self._slots(keys)
+        while len(keys):  # of the keys that meet in a free slot one is written, the others go on
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[free]
+            placed = self.keys[slots] == keys
+            self.ranks[slots[placed]] = values[placed]
+            keys, values, slots = keys[~placed], values[~placed], (slots[~placed] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * self.MIX >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left << 20 | right).ravel()
+        slots = self._slots(keys)
+        out = np.where(self.keys[slots] == keys, self.ranks[slots], self.NONE)
+        on = np.flatnonzero((self.keys[slots] != keys) & (self.keys[slots] >= 0))
+        while len(on):
+            slots[on] = (slots[on] + 1) & ((1 << self.bits) - 1)
+            out[on] = np.where(self.keys[slots[on]] == keys[on], self.ranks[slots[on]], self.NONE)
+            on = on[(self.keys[slots[on]] != keys[on]) & (self.keys[slots[on]] >= 0)]
+        return out.reshape(left.shape)
+
+
 class Vocabulary:
     """What the tokenizer file says: ids, merges, special tokens, and the split pattern."""
 
@@ -47,9 +84,12 @@ class Vocabulary:
         self.ids = dict(model["vocab"])
         self.specials = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.tokens = {i: t for t, i in (*self.ids.items(), *self.specials.items())}
+        self.shown = {i: (b"%d" % i, t.encode("utf-8")) for i, t in self.tokens.items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {self.ids[a] << 20 | self.ids[b]: i for i, (a, b) in enumerate(merges)}  # by both ids in one number
         self.made = [self.ids[a + b] for a, b in merges]
+        self.pairs = PairRanks(self.ranks)
+        self.made_ids = np.array([*self.made, 0], np.int64)
         suffix = model.get("end_of_word_suffix") or ""
         split = next(p for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
@@ -62,7 +102,12 @@ class Vocabulary:
     def words(self, raw: str) -> list[str]:
         """Words of a stretch of text without ASCII white space, normalised and split as the file says (NFC, lower case letter by letter)."""
         if max(raw) < "\u0180":  # Latin letters: composed already, and classed alike in every Unicode version
-            return self.pattern.findall(raw.lower())
+            low = raw.lower()
+            if low.isalpha():
+                return [low]
+            if low[-1] in ".,;:!?" and low[:-1].isalpha():
+                return [low[:-1], low[-1]]
+            return self.pattern.findall(low)
         text = self.library.normalizer.normalize_str(raw)
         letters = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return [bytes(self.bytes[c] for c in w).decode("utf-8") for w in letters]
@@ -72,6 +117,8 @@ class Vocabulary:
         *head, tail = word.encode("utf-8")
         parts = [self.inner[b] for b in head]
         parts.append(self.ending[tail])
+        if len(parts) > LONG:
+            return self._merged_long(parts)
         rank, none = self.ranks.get, 1 << 30
         pairs = [rank(a << 20 | b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while pairs and (best := min(pairs)) < none:
@@ -84,6 +131,65 @@ class Vocabulary:
                 pairs[i] = rank(parts[i] << 20 | parts[i + 1], none)
         return parts
 
+    def merged_many(self, words: list[bytes]) -> list[list[int]]:
+        """``merged`` of each word (UTF-8, not empty): one merge in every word of a length at each step."""
+        out: list = [None] * len(words)
+        inner, ending, none = np.array(self.inner, np.int64), np.array(self.ending, np.int64), PairRanks.NONE
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(k)
+        for n, places in by_length.items():
+            if n > LONG or len(places) < 4:
+                for k in places:
+                    out[k] = self.merged(words[k].decode("utf-8"))
+                continue
+            at = np.array(places)
+            raw = np.frombuffer(b"".join([words[k] for k in places]), np.uint8).reshape(-1, n)
+            parts = np.concatenate([inner[raw[:, :-1]], ending[raw[:, -1:]], np.full((len(at), 1), -1)], axis=1)
+            ranks = np.full((len(at), n + 1), none)
+            ranks[:, : n - 1] = self.pairs.get(parts[:, : n - 1], parts[:, 1:n])
+            columns = np.arange(n + 1)
+            while len(at):
+                i = ranks.argmin(axis=1)
+                row = np.arange(len(at))
+                best = ranks[row, i]
+                done = best == none
+                if done.any():
+                    for k, ids in zip(at[done].tolist(), parts[done].tolist(), strict=True):
+                        out[k] = ids[: ids.index(-1)]
+                    at, parts, ranks, i, best = at[~done], parts[~done], ranks[~done], i[~done], best[~done]
+                    row = np.arange(len(at))
+                    if not len(at):
+                        break
+                shift = np.minimum(columns + (columns > i[:, None]), n)
+                parts, ranks = np.take_along_axis(parts, shift, 1), np.take_along_axis(ranks, shift, 1)
+                made = parts[row, i] = self.made_ids[best]
+                # the pair after the merged one, and the one before it
+                right = parts[row, i + 1]
+                ranks[row, i] = np.where(right >= 0, self.pairs.get(made, np.maximum(right, 0)), none)
+                before = np.flatnonzero(i)
+                ranks[before, i[before] - 1] = self.pairs.get(parts[before, i[before] - 1], made[before])
+        return out
+
+    def _merged_long(self, parts: list[int]) -> list[int]:
+        """The same merges over a linked list, the next pair from a heap of (rank, place)."""
+        n, rank = len(parts), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank(parts[i] << 20 | parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] < 0 or j >= n or rank(parts[i] << 20 | parts[j]) != r:
+                continue  # merged away, or another pair stands here by now
+            parts[i], parts[j], after[i] = self.made[r], -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n and (new := rank(parts[left] << 20 | parts[right])) is not None:
+                    heapq.heappush(heap, (new, left))
+        return [x for x in parts if x >= 0]
+
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     """Words with their ids as one file: an acyclic automaton with equal suffixes shared.
@@ -177,49 +283,81 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+class Recent:
+    """Remembered results in two generations of about ``limit`` keys: what is in use survives a change."""
+
+    def __init__(self, limit: int):
+        self.new, self.old, self.limit = {}, {}, limit
+
+    def missing(self, keys: set) -> list:
+        """The keys without a result; those of the old generation move to the new one."""
+        lost = []
+        for k in keys.difference(self.new):
+            if (out := self.old.get(k)) is None:
+                lost.append(k)
+            else:
+                self.new[k] = out
+        return lost
+
+    def turn(self) -> None:
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+
+
 class Encoder:
     """Ids and token strings of texts. Stretches between ASCII white space are remembered: they are
     encoded on their own, for white space ends every word and never joins its neighbours in NFC."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None):
-        self.vocab, self.lexicon, self.ids, self.text, self.blank, self.known = vocab, lexicon, {}, {}, set(), {}
-
-    def word(self, word: str) -> tuple[bytes, bytes]:
-        """Ids and token strings of one word, from the lexicon or else merged; stretches differ far more than their words."""
-        if (out := self.known.get(word)) is None:
-            ids = self.lexicon.get(word.encode("utf-8")) if self.lexicon else None
-            if ids is None:
-                ids = self.vocab.merged(word)
-            out = self.known[word] = " ".join(map(str, ids)).encode(), " ".join([self.vocab.tokens[i] for i in ids]).encode("utf-8")
-        return out
-
-    def rendered(self, text: str) -> tuple[bytes, bytes]:
-        """Decimal ids joined by a space, and the decoded text."""
-        if "<|" in text and self.vocab.special_pattern.search(text):
-            parts = []
-            for piece in self.vocab.special_pattern.split(text):
-                if piece in self.vocab.specials:
-                    parts.append((b"%d" % self.vocab.specials[piece], piece.encode()))
-                elif piece:
-                    parts.append(self.rendered(piece))
-            parts = [p for p in parts if p[0]]
-            return b" ".join(p[0] for p in parts), b" ".join(p[1] for p in parts)
-        words = text.encode("utf-8").split()
-        for w in set(words).difference(self.ids):
-            parts = [self.word(x) for x in self.vocab.words(w.decode("utf-8"))]
-            if len(parts) == 1:
-                self.ids[w], self.text[w] = parts[0]
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None, remembered: int = REMEMBERED):
+        self.vocab, self.lexicon, self.blank = vocab, lexicon, False
+        self.known, self.stretches = Recent(remembered), Recent(remembered)  # stretches differ far more than their words
+
+    def _learn_words(self, words: set[str]) -> None:
+        """Ids and token strings of words, from the lexicon or else merged."""
+        fresh = self.known.missing(words)
+        raw = [w.encode("utf-8") for w in fresh]
+        found = [self.lexicon.get(w) for w in raw] if self.lexicon else [None] * len(raw)
+        unseen = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(unseen, self.vocab.merged_many([raw[k] for k in unseen]), strict=True):
+            found[k] = ids
+        shown = self.vocab.shown
+        for w, ids in zip(fresh, found, strict=True):
+            parts = [shown[i] for i in ids]
+            self.known.new[w] = parts[0] if len(parts) == 1 else (b" ".join([x for x, _ in parts]), b" ".join([x for _, x in parts]))
+
+    def _learn(self, stretches: set[bytes]) -> None:
+        fresh = self.stretches.missing(stretches)
+        split = [self.vocab.words(w.decode("utf-8")) for w in fresh]
+        self._learn_words({w for words in split for w in words})
+        known, new = self.known.new, self.stretches.new
+        for raw, words in zip(fresh, split, strict=True):
+            if len(words) == 1:
+                new[raw] = known[words[0]]
                 continue
-            if not parts:
-                self.blank.add(w)
-            self.ids[w], self.text[w] = b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
-        if self.blank and not self.blank.isdisjoint(words):
-            words = [w for w in words if w not in self.blank]
-        out = b" ".join(map(self.ids.__getitem__, words)), b" ".join(map(self.text.__getitem__, words))
-        if len(self.ids) > REMEMBERED:
-            self.ids, self.text, self.blank = {}, {}, set()
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.blank |= not words
+            parts = [known[w] for w in words]
+            new[raw] = b" ".join([x for x, _ in parts]), b" ".join([x for _, x in parts])
+
+    def rendered(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of each text the decimal ids joined by a space, and the decoded text."""
+        vocab = self.vocab
+        split, marked = [], []  # of each text its stretches, and special tokens as their own results
+        for t in texts:
+            marked.append("<|" in t and vocab.special_pattern.search(t) is not None)
+            if marked[-1]:
+                pieces = [[vocab.shown[vocab.specials[p]]] if p in vocab.specials else p.encode("utf-8").split() for p in vocab.special_pattern.split(t)]
+                split.append([x for p in pieces for x in p])
+            else:
+                split.append(t.encode("utf-8").split())
+        self._learn({w for w in set().union(*split) if type(w) is bytes})
+        get, out = self.stretches.new.get, []
+        for words, special in zip(split, marked, strict=True):
+            parts = [get(w, w) for w in words] if special else list(map(self.stretches.new.__getitem__, words))
+            if self.blank:
+                parts = [p for p in parts if p[0]]  # what normalises to nothing has no words
+            out.append((b" ".join([x for x, _ in parts]), b" ".join([x for _, x in parts])))
+        self.known.turn()
+        self.stretches.turn()
         return out
 
 
@@ -231,37 +369,14 @@ def _encoder(path: str, blob: bytes) -> Encoder:
     return _encoders[key]
 
 
-def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(word, n) over all texts, counted within tasks before the shuffle."""
-
-    def run(batches):
-        vocab, seen = vocabulary(path), Counter()
-
-        def rows():
-            words = Counter()
-            for raw, n in seen.items():
-                for w in vocab.words(raw.decode("utf-8")):
-                    words[w] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    seen.update(t.encode("utf-8").split())
-            if len(seen) > 400_000:
-                yield rows()
-        yield rows()
-
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def lexicon_file(docs: DataFrame, path: str, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The automaton of the corpus's most frequent words, ``words`` at most; a few megabytes.
+def frequent_stretches(docs: DataFrame, text: str, words: int) -> list[str]:
+    """The most frequent stretches between white space, ``words`` at most, counted over all texts.
 
-    A histogram of the counts in narrow steps gives the least count that leaves no more words than that, so
-    only the words that are kept come to the driver. Words met once are never frequent."""
-    counts = written(word_counts(docs, path, text).where("n > 1"), "word-counts")
+    A histogram of the counts in narrow steps gives the least count that leaves no more than that, so only
+    those that are kept come to the driver. What is met once is never frequent; neither is what is longer than a word."""
+    stretch = F.explode(F.split(F.col(text).cast("string"), f"{ASCII_SPACE}+")).alias("word")
+    counts = docs.select(stretch).where(F.length("word").between(1, LONG)).groupBy("word").agg(F.count("*").alias("n"))
+    counts = written(counts.where("n > 1"), "word-counts")
     step = F.floor(F.log2("n") * 16).cast("int")
     sizes = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # some hundred steps
     least, total = 1 << 30, 0
@@ -270,9 +385,14 @@ def lexicon_file(docs: DataFrame, path: str, text: str = "text", words: int = LE
         if total > words:
             break
         least = r["step"]
-    top = counts.where(step >= least).select("word").collect()
+    return [r.word for r in counts.where(step >= least).select("word").collect()]
+
+
+def lexicon_file(docs: DataFrame, path: str, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
+    """The automaton of the words of the corpus's most frequent stretches; a few megabytes."""
     vocab = vocabulary(path)
-    return compile_lexicon({r.word.encode("utf-8"): vocab.merged(r.word) for r in top})
+    top = list({w.encode("utf-8") for s in frequent_stretches(docs, text, words) for w in vocab.words(s)})
+    return compile_lexicon(dict(zip(top, vocab.merged_many(top), strict=True)))
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", digests: bool = False, words: int = LEXICON_WORDS) -> DataFrame:
@@ -293,7 +413,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", digests: bool = Fals
     def run(batches):
         encoder = _encoder(path, blob.value)
         for b in batches:
-            pairs = [encoder.rendered(t) for t in b.column(len(kept)).to_pylist()]
+            pairs = encoder.rendered(b.column(len(kept)).to_pylist())
             counts = [i.count(b" ") + 1 if i else 0 for i, _ in pairs]
             if digests:
                 made = [[hashlib.sha256(p[k]).hexdigest() for p in pairs] for k in (0, 1)]
