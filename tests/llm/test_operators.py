@@ -252,6 +252,39 @@ def test_encoding_equals_the_library(spark):
             assert got[i].decoded == library.decode(want, skip_special_tokens=False) == bpe.decoded_text(want, WORD_BPE)
 
 
+def test_query_equals_the_library(spark, corpus):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD_BPE)
+    got = {r.doc_id: r for r in bpe.op10_bpe(spark, SF).collect()}
+    texts = {r.doc_id: r.text or "" for r in corpus.collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        want = len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == want
+
+
+def test_merges_one_by_one_many_at_once_and_of_long_words():
+    import time
+
+    from tokenizers import Tokenizer
+
+    library, vocab, rng = Tokenizer.from_file(WORD_BPE), bpe.vocabulary(WORD_BPE), random.Random(6)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "theandingß") for n in [*range(1, 20), 40, 64, 65, 300, 2000] for _ in range(5)]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert vocab.merged_many([w.encode() for w in words]) == want == [vocab.merged(w) for w in words]
+    began = time.process_time()
+    assert vocab.merged("ab" * 50_000) and time.process_time() - began < 3
+
+
+def test_a_small_memory_changes_nothing():
+    vocab, texts = bpe.vocabulary(WORD_BPE), odd_texts()
+    small, large = bpe.Encoder(vocab, None, remembered=5), bpe.Encoder(vocab, None)
+    assert [x for t in texts + texts for x in small.rendered([t])] == large.rendered(texts + texts)
+    assert len(small.stretches.new) + len(small.stretches.old) < len(large.stretches.new)
+
+
 def test_encoding_digests_and_edges(docs, empty):
     plain = {(r["doc_id"], r["n_tokens"], hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest(), hashlib.sha256(r["decoded"].encode()).hexdigest()) for r in rows(bpe.encoded(docs, WORD_BPE))}
     assert {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows(bpe.encoded(docs, WORD_BPE, digests=True))} == plain
@@ -421,42 +454,87 @@ def test_pairs_learn_an_order():
 # --- 2: main text
 
 
-def test_main_text_against_a_plain_reading(spark):
+def plain_reading(page):
+    """The text of the pages of the test tables, read by patterns: an article of headings and paragraphs."""
     import html
     import re
 
+    body = re.search(r"<article>(.*?)(</article>|<footer|$)", page, re.S)[1]
+    parts = [" ".join(html.unescape(re.sub(r"</?b>|<br>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+    return "\n".join(p for p in parts if p)
+
+
+def test_main_text_against_a_plain_reading(spark):
     out = {r.page_id: r for r in html_main.op2_html(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
-        body = re.search(r"<article>(.*?)(</article>|<footer|$)", r.html, re.S)[1]
-        parts = [" ".join(html.unescape(re.sub(r"</?b>|<br>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
-        assert out[r.page_id].text == "\n".join(p for p in parts if p) and out[r.page_id].n_chars == len(out[r.page_id].text)
+        assert out[r.page_id].text == plain_reading(r.html) and out[r.page_id].n_chars == len(out[r.page_id].text)
+
+
+def test_counts_alone_find_the_template_and_spare_the_article(spark):
+    """All pages on one host, without one name or class that tells their parts apart."""
+    pages = spark.read.parquet(SF.replace("0.001", "0.1") + "/pages.parquet").orderBy("page_id").limit(600)
+    bare = F.regexp_replace(F.regexp_replace("html", "<(/?)(nav|footer|article)>", "<$1div>"), ' class="ad"', "")
+    bare = pages.select("page_id", F.concat(F.lit("http://one.example/"), F.col("page_id")).alias("url"), bare.alias("html"))
+    want = {r.page_id: plain_reading(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in html_main.main_text(bare).collect()}
+    assert all(want[i] in got[i] for i in want)  # no main text is lost, shared paragraphs included
+    assert sum(want[i] == got[i] for i in want) < len(want)  # footers that name their host stand on few pages here
+    alone = {r.page_id: html_main.Page(r.html).text(set())[0] for r in bare.collect()}
+    assert all(len(got[i]) < len(alone[i]) for i in want)  # without the template table every page differs
 
 
 def test_template_subtrees_go_and_copies_do_not_make_one(spark):
-    shell = "<html><body><div><p>Our shop of things</p></div><section><h2>Story {0}</h2><p>Text {0} &amp; more<br>here</p></section><div class='comments'>first!</div></body></html>"
+    shell = "<html><body><div><p>Our shop of things</p></div><section><h2>Story {0}</h2><p>Text {0} &amp; more of the story<br>here</p></section><div class='comments'>first!</div></body></html>"
     pages = [(i, f"http://Shop.example/{i}", shell.format(i)) for i in range(6)] + [(10, "http://once.example/", shell.format(1))]
-    pages += [(20 + i, f"http://copy.example/{i}", "<body><div><p>The same page</p></div></body>") for i in range(6)]
+    pages += [(20 + i, f"http://copy.example/{i}", f"<body><p>Menu {i}</p><div><p>The same long page</p></div></body>") for i in range(6)]
     pages += [(30, None, None), (31, "not a url", ""), (32, "http://[bad", "plain &lt; text"), (33, "http://x.example", "<p>a<script>x</p>"), (None, "http://x.example", "<article><p>Kept</p><aside>no</aside></article>tail")]
     out = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
-    assert out[0] == "Story 0\nText 0 & more here"  # the shop's own words are on every page
+    assert out[0] == "Story 0\nText 0 & more of the story here"  # the shop's own words are on every page
     assert out[10].startswith("Our shop of things")  # one page is no template
-    assert out[20] == "The same page"
+    assert out[20] == "Menu 0\nThe same long page"
     assert (out[30], out[31], out[32], out[33], out[None]) == ("", "", "plain < text", "a", "Kept")
     assert html_main.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_recurring_paragraphs_of_articles_go_on_hosts_of_any_size(spark):
-    page = "<html><body><article>Read our app<h1>Title {0}</h1><p>Words {0}</p><p>{1}</p></article></body></html>"
-    notice = lambda i: "Subscribe today" if i < 5 else f"More {i}"
-    pages = [(i, f"http://big.example/{i}", page.format(i, notice(i))) for i in range(400)] + [(1000 + i, f"http://other.example/{i}", page.format(i, notice(i))) for i in range(3)]
+def test_notices_go_and_paragraphs_that_some_articles_share_stay(spark):
+    page = "<html><body><div>Advert {2}</div><div>Read our app<h1>Title {0}</h1><p>The words of story {0}</p><p>{1}</p></div></body></html>"
+    shared = lambda i: "A paragraph of five" if i < 5 else f"More {i}"
+    pages = [(i, f"http://big.example/{i}", page.format(i, shared(i), i % 40)) for i in range(400)] + [(1000 + i, f"http://other.example/{i}", page.format(i, shared(i), i)) for i in range(3)]
     out = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
-    assert all(out[i] == f"Title {i}\nWords {i}" + ("" if i < 5 else f"\nMore {i}") for i in range(400))
-    assert all(out[1000 + i] == f"Read our app\nTitle {i}\nWords {i}\nSubscribe today" for i in range(3))  # three pages are no template
-
-
-def test_markup_rules_are_counted():
-    page = html_main.Page("<nav>a</nav><header>b</header><div class='ad'>c</div><div role='search'>d</div><p hidden>e</p><p>f</p><main><header>g</header></main>")
-    assert page.removed == {"element": 1, "header": 1, "name": 1, "role": 1, "hidden": 1, "outside article": 1} and [b[0] for b in page.blocks] == ["g"]
+    assert all(out[i] == f"Title {i}\nThe words of story {i}\n{shared(i)}" for i in range(400))  # each advert is on a fortieth of the pages
+    assert all(out[1000 + i] == f"Advert {i}\nRead our app\nTitle {i}\nThe words of story {i}\nA paragraph of five" for i in range(3))  # three pages are no template
+
+
+def test_marks_are_weak_and_rules_are_counted():
+    read = lambda x: html_main.Page(x).text(set())
+    for body in ('<body class="has-sidebar">{}', '<div class="content no-sidebar">{}', '<article class="post related-posts-enabled">{}', '<main id="skip-target">{}', '<section class="menu-recipes">{}', '<p>{}</p><div class="sidebar">x</div>'):
+        assert read(body.format("The text"))[0] == "The text"
+    text, removed = read("<nav>a</nav><header>b</header><div class='ad'>c</div><div role='search'>d</div><p hidden>e</p><p>f</p><main><header>g</header></main>")
+    assert text == "g" and removed == {"template": 0, "element": 4, "mark": 1, "outside": 1}
+    assert read("<div><article>teaser</article></div><div id='content'>Main long text</div>")[0] == "teaser\nMain long text"
+    assert read("<article><p>A long main text</p><article>a comment</article></article>tail")[0] == "A long main text"
+    assert read("<p>a <span class='notice'>word</span> here</p>")[0] == "a word here"
+    assert read("<article>short</article><div class='comments'>" + "words of readers " * 9 + "</div>")[0] == "short"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>a<![foo[bar]]>b</p>", "ab"), ("<p>a<![ [", "a"), ("<!x[<![zz[", ""), ("<!-->a<!--->b<!-- > -->c", "abc"), ("x<?php y ?>z", "xz"), ("a < b <3 </ c", "a < b <3"), ("a&#39;&lt;&nbsp;b", "a'< b"),
+        ("<p title='a>b'>x<p title=it's>y", "x\ny"), ("<ul><li>a<li>b</ul>", "a\nb"), ("<table><tr><td>a</div><td>b<tr><td>c</table>", "a\nb\nc"), ("<svg><text>n</text></svg>a<SCRIPT>'</p>'</Script >b", "ab"), ("<title>t</title><p>x", "x"), ("<p>cut <a href='", "cut"),
+    ],
+)
+def test_odd_markup(html, text):
+    assert html_main.Page(html).text(set())[0] == text
+
+
+def test_reading_takes_linear_time():
+    import time
+
+    for x in ("<a ", "</div>", "<div>", "<!--", "<p><div>", "<li><blockquote>", "<p a=\"b", "<script>", "&amp", "<template></svg>", "<a b='", "<article>x", "<div class=ad>x"):
+        began = time.process_time()
+        html_main.Page(x * 20_000).text(set())
+        assert time.process_time() - began < 5, x
 
 
 # --- 7: revisits
