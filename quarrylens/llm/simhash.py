@@ -1,9 +1,10 @@
 """SimHash near-duplicates through an inverted index on byte positions with count filtering.
 
 Two 64-bit fingerprints that differ in at most 4 bits differ in at most 4 of their 8 bytes, so at least
-4 bytes agree in place. Postings are groups of byte positions chosen so that any 4 agreeing positions
-hold a whole group (a Turan covering); within a posting list the agreeing bytes of a pair are tallied,
-pairs below 4 fall out, and the rest are verified bit by bit. Lists emit spanning links, not all pairs.
+4 bytes agree in place. The index is keyed by groups of byte positions chosen so that any 4 agreeing positions
+hold a whole group (a Turan covering). The members of a posting list are posted again by each single position and
+byte; the bytes that a pair shares are tallied from these lists, pairs that reach 4 are kept, and only those
+are verified bit by bit. Lists emit spanning links, not all pairs.
 """
 
 from __future__ import annotations
@@ -20,8 +21,16 @@ from quarrylens.llm.common import small_batches, tasks_for, written
 from quarrylens.llm.components import components
 
 MAX_BITS = 4
+MIN_SHARED = 8 - MAX_BITS
+#: Byte positions in a group. With 3 there are 20 groups and 2^24 lists in each, which keeps lists short up to some 10^10
+#: different fingerprints; every width gives the same links.
+WIDTH = 3
 #: Longer posting lists are cut into blocks and every pair of blocks is compared in a group of its own.
 BLOCK = 4096
+#: Hot keys that are broadcast (16 bytes each); more are joined by a shuffle.
+HOT_KEYS = 200_000
+#: A list with more tallied pairs than so many for each member is searched from member to member instead.
+DENSE = 8
 
 
 def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
@@ -60,54 +69,88 @@ def position_groups(width: int) -> list[tuple[int, ...]]:
     return list(combinations(range(8), 4))
 
 
-def _tree_links(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join all fingerprints of a list that are connected within it: a breadth-first forest."""
-    left, links = np.arange(len(fps)), []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
+def _forest(fps: np.ndarray, shared: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all fingerprints of a dense list that are connected within it: from member to member, whose
+    lists are tallied. ``shared``: the bytes of each, one row for each fingerprint."""
+    n, links = len(fps), []
+    order = [np.argsort(shared[:, p], kind="stable") for p in range(8)]
+    start = [np.searchsorted(shared[o, p], np.arange(257)) for p, o in enumerate(order)]
+    unseen = np.ones(n, bool)
+    for root in range(n):
+        if not unseen[root]:
+            continue
+        unseen[root], queue = False, [root]
+        while queue:
             at = queue.pop()
-            diff = fps[left] ^ fps[at]
-            near = _agreeing(diff) >= 8 - MAX_BITS
-            near[near] = np.bitwise_count(diff[near]) <= MAX_BITS
-            if near.any():
-                found = left[near]
-                links.extend((int(fps[at]), int(fps[j])) for j in found)
-                queue.extend(found)
-                left = left[~near]
+            lists = [o[s[b] : s[b + 1]] for o, s, b in zip(order, start, shared[at].tolist(), strict=True)]
+            near = np.flatnonzero((np.bincount(np.concatenate(lists), minlength=n) >= MIN_SHARED) & unseen)
+            near = near[np.bitwise_count(fps[near] ^ fps[at]) <= MAX_BITS]
+            unseen[near] = False
+            links.extend((int(fps[at]), int(x)) for x in fps[near])
+            queue.extend(near.tolist())
     return links
 
 
-def _agreeing(diff: np.ndarray) -> np.ndarray:
-    """How many bytes of each difference are zero."""
-    return (np.ascontiguousarray(diff).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+def _pairs_within(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of equal neighbours in a sorted array: all pairs of each run."""
+    left, right, at, d = [], [], np.flatnonzero(runs[1:] == runs[:-1]), 1
+    while len(at):
+        left.append(at)
+        right.append(at + d)
+        d += 1
+        at = at[at + d < len(runs)]
+        at = at[runs[at] == runs[at + d]]
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def tallied_links(lists: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
+    """Links within posting lists. ``lists`` (sorted) numbers the list of each fingerprint."""
+    n = len(fps)
+    edge = np.r_[0, np.flatnonzero(np.diff(lists) != 0) + 1]
+    sizes = np.diff(np.r_[edge, n])
+    own = np.repeat(np.arange(len(edge)), sizes)
+    some = sizes[own] > 1
+    fps, own = fps[some], np.unique(own[some], return_inverse=True)[1]
+    n, sizes = len(fps), sizes[sizes > 1]
+    if not n:
+        return []
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    shared = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8)
+    same = np.logical_and.reduceat(shared == shared[starts[own]], starts, axis=0)  # positions where a whole list agrees
+    base = same.sum(axis=1)
+    # the members once more, by list, position and byte, where a list does not agree as a whole
+    row, position = np.nonzero(~same[own] & (base < MIN_SHARED)[own, None])
+    key = (own[row] * 8 + position) * 256 + shared[row, position]
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    # how many pairs that is for each list; all pairs where the whole list reaches the minimum
+    run = np.r_[0, np.flatnonzero(np.diff(key)) + 1]
+    length = np.diff(np.r_[run, len(key)])
+    pairs = np.where(base < MIN_SHARED, 0, sizes * (sizes - 1) // 2)
+    if len(key):
+        np.add.at(pairs, key[run] // 2048, length * (length - 1) // 2)
+    dense = pairs > DENSE * sizes
+    links = []
+    for k in np.flatnonzero(dense).tolist():
+        at = slice(starts[k], starts[k] + sizes[k])
+        links.extend(_forest(fps[at], shared[at]))
+    keep = ~dense[own[row]] if len(row) else np.zeros(0, bool)
+    i, j = _pairs_within(key[keep])
+    pair, tally = np.unique(row[keep][i] * n + row[keep][j], return_counts=True)
+    pair = pair[tally + base[own[pair // n]] >= MIN_SHARED]
+    full = np.flatnonzero(~dense[own] & (base >= MIN_SHARED)[own])
+    i, j = _pairs_within(own[full])
+    a, b = np.r_[pair // n, full[i]], np.r_[pair % n, full[j]]
+    near = np.bitwise_count(fps[a] ^ fps[b]) <= MAX_BITS
+    links.extend(zip(fps[a[near]].tolist(), fps[b[near]].tolist(), strict=True))
+    return links
 
 
 def _links(batches):
-    """Sorted rows (group key columns, fp) to links; lists are carried over from batch to batch."""
+    """Sorted rows (group key, fp) to links; lists are carried over from batch to batch."""
     rest_g = rest_f = None
 
-    def solve(groups, fps):
-        links = []
-        if len(fps) < 2:
-            return links
-        edge = np.flatnonzero(np.diff(groups) != 0) + 1
-        starts, stops = np.r_[0, edge], np.r_[edge, len(groups)]
-        sizes = stops - starts
-        for s, e in zip(starts[sizes > 8], stops[sizes > 8], strict=True):
-            links.extend(_tree_links(fps[s:e]))
-        short = np.repeat(sizes <= 8, sizes)
-        stop_of = np.repeat(stops, sizes)
-        at = np.flatnonzero(short)
-        for d in range(1, 8):
-            at = at[at + d < stop_of[at]]
-            if not len(at):
-                break
-            diff = fps[at] ^ fps[at + d]
-            near = (_agreeing(diff) >= 8 - MAX_BITS) & (np.bitwise_count(diff) <= MAX_BITS)
-            links.extend(zip(fps[at[near]].tolist(), fps[at[near] + d].tolist(), strict=True))
-        return links
-
     def out(links):
         a = np.array([x for x, _ in links], np.uint64).view(np.int64)
         c = np.array([x for _, x in links], np.uint64).view(np.int64)
@@ -121,18 +164,16 @@ def _links(batches):
         if not len(g):
             continue
         cut = int(np.searchsorted(g, g[-1], "left"))
-        if found := solve(g[:cut], f[:cut]):
+        if cut and (found := tallied_links(g[:cut], f[:cut])):
             yield out(found)
         rest_g, rest_f = g[cut:].copy(), f[cut:].copy()
-    if rest_g is not None and (found := solve(rest_g, rest_f)):
+    if rest_g is not None and (found := tallied_links(rest_g, rest_f)):
         yield out(found)
 
 
-def similar_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+def similar_links(fps: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints of column ``fp`` within 4 bits of each other."""
     spark = fps.sparkSession
-    count = fps.count()
-    width = 2 if count <= 1 << 19 else 3 if count <= 1 << 26 else 4  # keeps the usual list short; exact in each case
     byte = lambda k: F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255))
 
     def key(number, group):
@@ -143,6 +184,8 @@ def similar_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
     postings = fps.select(F.explode(F.array(*[key(i, g) for i, g in enumerate(position_groups(width))])).alias("key"), "fp")
     hot = postings.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    hot = written(hot, "hot-lists")
+    hot = F.broadcast(hot) if hot.count() <= HOT_KEYS else hot  # beside a table that is broadcast no key is hot
     postings = postings.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.xxhash64("key", F.least(own, c), F.greatest(own, c)))

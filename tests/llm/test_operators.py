@@ -128,13 +128,44 @@ def test_links_of_dense_and_sparse_fingerprints(spark):
     fps = sorted(fps)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     df = spark.createDataFrame(signed, "fp long")
-    for block in (4096, 16):  # 16: hot lists are cut into pairs of blocks
-        found = {r.node: r.root for r in components.components(simhash.similar_links(df, block)).collect()}
+    want = brute_components(fps)
+    for width, block in ((2, 4096), (3, 4096), (4, 4096), (2, 16), (3, 16)):  # 16: hot lists are cut into pairs of blocks
+        found = {r.node: r.root for r in components.components(simhash.similar_links(df, width, block)).collect()}
         got = [found.get(s, s) for (s,) in signed]
-        want = brute_components(fps)
         assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
+def test_tallies_of_lists_against_all_pairs():
+    """Sparse and dense lists, lists that agree as a whole, and lists of two."""
+    rng = random.Random(8)
+
+    def member(base, changed):
+        return base ^ sum(1 << k for k in rng.sample(range(64), changed))
+
+    for dense in (0, 8, 10**6):
+        lists, fps = [], []
+        for number in range(60):
+            base = rng.getrandbits(64)
+            own = {member(base, rng.randrange(0, 9)) for _ in range(rng.choice([1, 2, 3, 8, 40]))} | {rng.getrandbits(64) for _ in range(rng.randrange(3))}
+            fps.extend(sorted(own))
+            lists.extend([number] * len(own))
+        simhash.DENSE, before = dense, simhash.DENSE
+        links = simhash.tallied_links(np.array(lists), np.array(fps, np.uint64))
+        simhash.DENSE = before
+        assert all((a ^ b).bit_count() <= 4 for a, b in links)
+        up = {f: f for f in fps}
+
+        def find(f, up=up):
+            while up[f] != f:
+                f = up[f]
+            return f
+
+        for a, b in links:
+            up[find(a)] = find(b)
+        for i, f in enumerate(fps):
+            assert all(find(f) == find(g) for k, g in zip(lists[i:], fps[i:], strict=True) if k == lists[i] and (f ^ g).bit_count() <= 4)
+
+
 @pytest.mark.parametrize("width", [2, 3, 4])
 def test_position_groups_cover(width):
     from itertools import combinations
