@@ -1,10 +1,10 @@
 """Uniform shuffle into shards of exact size through a hypergeometric communication matrix.
 
-A uniform random permutation cut into shards fixes, for every source block, how many of its rows go
-to each shard: a matrix with given row sums (block sizes) and column sums (shard sizes), distributed
-multivariate-hypergeometrically. The matrix is drawn exactly on the driver (it holds
-blocks x shards numbers, never rows); each block ranks its rows in random order, deals them by its
-row of the matrix, and every shard is permuted again. All row work is DataFrame functions.
+A uniform random permutation cut into shards fixes, for every source partition, how many of its rows go
+to each shard: a matrix with given row sums (partition sizes) and column sums (shard sizes), distributed
+multivariate-hypergeometrically. The matrix is drawn exactly, row by row, and written as a table a few
+thousand rows at a time; each partition ranks its rows in random order, deals them by its row of the
+matrix, and every shard is permuted again. All row work is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -12,11 +12,16 @@ from __future__ import annotations
 import json
 import math
 import random
+from itertools import accumulate, tee
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import written
+from quarrylens.sources.shared import new_path
+
+#: Partitions whose rows of the matrix are drawn, written and kept at once; a matrix of no more is broadcast.
+MATRIX_ROWS = 4000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -51,66 +56,80 @@ def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     return mode
 
 
-def communication_matrix(block_sizes: list[int], shard_sizes: list[int], seed: int) -> list[list[int]]:
-    """A random matrix with these row and column sums, as a uniform shuffle of all rows gives it."""
-    assert sum(block_sizes) == sum(shard_sizes)
-    rng = random.Random(seed)
-    left, matrix = list(shard_sizes), []
-    for size in block_sizes:
+def matrix_rows(partition_sizes, shard_sizes: list[int], seed: int):
+    """Rows of a random matrix with these row and column sums, as a uniform shuffle of all rows gives it, one after another."""
+    rng, left = random.Random(seed), list(shard_sizes)
+    for size in partition_sizes:
         row, need, rest = [], size, sum(left)
         for room in left:
             rest -= room
             k = hypergeometric(rng, room, rest, need) if need else 0
             row.append(k)
             need -= k
+        assert not need
         left = [a - b for a, b in zip(left, row, strict=True)]
-        matrix.append(row)
-    return matrix
+        yield row
+    assert not any(left)
+
+
+def communication_matrix(sizes: DataFrame, shard_sizes: list[int], seed: int) -> DataFrame:
+    """(__part, upto) for every row (__part, count) of ``sizes``: up to which rank rows go to shards 0, 1, ... of it.
+
+    Sizes come to the driver as an iterator and leave it in blocks of ``MATRIX_ROWS`` as a table in the shared folder."""
+    spark, path = sizes.sparkSession, new_path(sizes.sparkSession, "matrix")
+    block: list[dict] = []
+
+    def write() -> None:
+        table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(block)), MATRIX)))
+        table.write.mode("append").parquet(path)
+        block.clear()
+
+    ordered = sizes.orderBy("__part")
+    parts, counts = tee(ordered.toLocalIterator())
+    for r, row in zip(parts, matrix_rows((r["count"] for r in counts), shard_sizes, seed), strict=True):
+        block.append({"__part": r["__part"], "upto": list(accumulate(row))})
+        if len(block) == MATRIX_ROWS:
+            write()
+    write()
+    return spark.read.parquet(path)
+
+
+MATRIX = "array<struct<__part:int,upto:array<bigint>>>"
 
 
-def shuffle_into_shards(df: DataFrame, identity: list[str], shards: int = 24, seed: int = 20, rows_per_block: int = 100_000, shard: str = "shard", slot: str = "slot") -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 20, rows_per_part: int = 100_000, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """Add ``shard`` (0 to shards - 1, counts at most one apart) and ``slot`` (gapless from 0 in each
     shard), a uniform random arrangement of all rows.
 
-    ``identity`` names columns that tell rows apart; their hash seeds the order, so a rerun gives the
-    same arrangement. Nulls hash like any value. Rows equal in all of them are interchangeable and
-    each still gets a place of its own. An empty table gives an empty result. Blocks and parts of a
-    shard grow in number with the rows, so no task holds more than a few times ``rows_per_block``.
-    Other columns are kept; ones named like the two new columns are replaced.
+    A row is told by its partition and its place there, so nulls and repeated rows are rows like others, each
+    with a place of its own. The rows are written once with both, and all that follows reads that table: a task
+    that runs again deals alike. The same input in the same partitions gives the same arrangement. An empty
+    table gives an empty result. Parts of a shard grow in number with the rows. Other columns are kept; ones
+    named like the two new columns are replaced.
     """
-    spark = df.sparkSession
     df = df.drop(shard, slot)
-    total = df.count()
-    blocks = max(64, -(-total // rows_per_block))
-    parts = max(16, -(-total // (rows_per_block * shards)))
-    draw = lambda k: F.xxhash64(F.lit(seed * 31 + k), *identity)
-    tagged = df.withColumn("__block", F.pmod(draw(1), F.lit(blocks)).cast("int"))
-    sizes = dict(tagged.groupBy("__block").count().collect())  # one row for each block
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = written(df.withColumns({"__part": F.spark_partition_id(), "__at": place}), "placed")
+    draw = lambda k: F.xxhash64(F.lit(seed * 31 + k), "__part", "__at")
+    sizes = written(placed.groupBy("__part").count(), "partition-sizes")
+    partitions, total = sizes.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
     even = [total // shards + (s < total % shards) for s in range(shards)]
-    matrix = communication_matrix([sizes.get(b, 0) for b in range(blocks)], even, seed)
-    upto = []
-    for row in matrix:
-        acc, cum = 0, []
-        for k in row:
-            acc += k
-            cum.append(acc)
-        upto.append(cum)
-    text = json.dumps([{"b": b, "upto": cum} for b, cum in enumerate(upto)])
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<b:int,upto:array<bigint>>>"))).withColumnRenamed("b", "__block")
-    local = Window.partitionBy("__block").orderBy(draw(2), *identity)
+    matrix = communication_matrix(sizes, even, seed)
+    local = Window.partitionBy("__part").orderBy(draw(2), "__at")
+    parts = max(16, -(-total // (rows_per_part * shards)))
     dealt = (
-        tagged.withColumn("__rank", F.row_number().over(local))
-        .join(F.broadcast(table), "__block")  # blocks x shards numbers: grows with rows / rows_per_block only
+        placed.withColumn("__rank", F.row_number().over(local))
+        .join(F.broadcast(matrix) if partitions <= MATRIX_ROWS else matrix, "__part")
         .withColumn(shard, F.size(F.filter("upto", lambda c: c < F.col("__rank"))).cast("int"))
-        .withColumn("__part", F.pmod(draw(3), F.lit(parts)).cast("int"))
-        .drop("__block", "__rank", "upto")
+        .withColumn("__bin", F.pmod(draw(3), F.lit(parts)).cast("int"))
+        .drop("__rank", "upto")
     )
     dealt = written(dealt, "dealt")
-    before = Window.partitionBy(shard).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(shard, "__part").count().select(shard, "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(shard, "__part").orderBy(draw(4), *identity)
+    before = Window.partitionBy(shard).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(shard, "__bin").count().select(shard, "__bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(shard, "__bin").orderBy(draw(4), "__part", "__at")
     ranked = dealt.withColumn(slot, F.row_number().over(within))
-    out = ranked.join(F.broadcast(starts), [shard, "__part"])  # shards x parts numbers
+    out = ranked.join(F.broadcast(starts) if shards * parts <= 1_000_000 else starts, [shard, "__bin"])  # shards x parts numbers
     return out.withColumn(slot, (F.col("__start") + F.col(slot) - 1).cast("long")).select(*df.columns, shard, slot)
 
 
@@ -118,5 +137,5 @@ def op8_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = shuffle_into_shards(rows, ["doc_id", "size", "text_crc32"])
+    placed = shuffle_into_shards(rows)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

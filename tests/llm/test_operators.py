@@ -388,17 +388,24 @@ def test_rules_edges(docs, empty):
     assert d([0.5, 0.5], [0.5, 0.5]) == 0 and d([1.0, 0.0], [0.0, 1.0]) == 1
 
 
-def test_shards_are_exact_and_uniform(spark, docs, empty):
-    out = sharding.op8_sharding(spark, SF).collect()
-    sizes = Counter(r.shard for r in out)
-    assert max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(24))
-    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(n)) for s, n in sizes.items())
-    edge = rows(sharding.shuffle_into_shards(docs, ["doc_id", "text"], shards=4))
-    assert sorted(Counter(r["shard"] for r in edge).values()) == [2, 2, 3, 3]
-    assert sharding.shuffle_into_shards(empty, ["doc_id"]).count() == 0
+def test_shards_are_exact_and_uniform(spark, docs, empty, corpus, monkeypatch):
+    texts = {r.doc_id: (r.text or "").encode() for r in corpus.collect()}
+    for most in (4000, 1):  # 1: the matrix is a table of several blocks and is not broadcast
+        monkeypatch.setattr(sharding, "MATRIX_ROWS", most)
+        out = sharding.op8_sharding(spark, SF).collect()
+        sizes = Counter(r.shard for r in out)
+        assert max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(24))
+        assert all(sorted(r.slot for r in out if r.shard == s) == list(range(n)) for s, n in sizes.items())
+        assert sorted((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in out) == sorted((i, len(t) + 8, zlib.crc32(t), "rows", None) for i, t in texts.items())
+    edge = rows(sharding.shuffle_into_shards(docs, shards=4))
+    assert sorted(Counter(r["shard"] for r in edge).values()) == [2, 2, 3, 3] and sorted(map(str, (r["doc_id"] for r in edge))) == sorted(str(d[0]) for d in EDGE)
+    assert sharding.shuffle_into_shards(empty).count() == 0
+    one_row = spark.range(3000).select(F.lit(1).alias("x"), F.lit(None).cast("string").alias("text"))  # nothing tells them apart
+    assert sorted(Counter((r.shard, r.slot) for r in sharding.shuffle_into_shards(one_row, 7).collect()).values()) == [1] * 3000
     many = spark.range(4000)
-    first = [r.shard for r in sharding.shuffle_into_shards(many, ["id"], 8, seed=1).orderBy("id").collect()]
-    assert first != [r.shard for r in sharding.shuffle_into_shards(many, ["id"], 8, seed=2).orderBy("id").collect()]
+    first = [r.shard for r in sharding.shuffle_into_shards(many, 8, seed=1).orderBy("id").collect()]
+    assert first == [r.shard for r in sharding.shuffle_into_shards(many, 8, seed=1).orderBy("id").collect()]
+    assert first != [r.shard for r in sharding.shuffle_into_shards(many, 8, seed=2).orderBy("id").collect()]
     pairs = Counter(zip(first, first[1:], strict=False))
     assert max(pairs.values()) < 120 and len(pairs) == 64
 
@@ -409,7 +416,7 @@ def test_hypergeometric_draws():
     assert abs(np.mean(draws) - 6) < 0.05 and abs(np.var(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.12
     big = sharding.hypergeometric(rng, 10**11, 10**12, 10**9)
     assert abs(big - 10**9 / 11) < 2e5
-    m = sharding.communication_matrix([5, 0, 7], [4, 4, 4], 1)
+    m = list(sharding.matrix_rows([5, 0, 7], [4, 4, 4], 1))
     assert [sum(r) for r in m] == [5, 0, 7] and [sum(c) for c in zip(*m, strict=True)] == [4, 4, 4]
 
 
