@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import read
+from quarrylens.llm.common import read, written
 
 # Headers that a 304 response may update in a stored response, and default ports.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 DEFAULT_PORTS = {"http": "80", "https": "443"}
+#: Revisits that one copy of a response's body serves, and the responses with more copies that are broadcast (12 bytes each).
+REVISITS_OF_COPY = 1000
+HOT_RESPONSES = 200_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -77,13 +80,20 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3600, with_body:
     )
     if not with_body:
         return out
+    out = written(out, "resolved")
+    hot = out.where("response_id IS NOT NULL").groupBy("response_id").count().where(F.col("count") > REVISITS_OF_COPY)
+    hot = written(hot.select("response_id", F.ceil(F.col("count") / REVISITS_OF_COPY).cast("int").alias("copies")), "hot-responses")
+    hot = F.broadcast(hot) if hot.count() <= HOT_RESPONSES else hot
+    copies = F.coalesce("copies", F.lit(1))
     bodies = records.where(full).select(F.col("record_id").alias("response_id"), "body").dropDuplicates(["response_id"])
-    return out.join(bodies, "response_id", "left").select(*out.columns, "body")
+    bodies = bodies.join(hot, "response_id", "left").select("response_id", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "body")
+    dealt = out.join(hot, "response_id", "left").withColumn("copy", F.pmod(F.xxhash64("record_id", "url", "warc_date"), copies).cast("int"))
+    return dealt.join(bodies, ["response_id", "copy"], "left").select(*out.columns, "body")
 
 
 def crawl_records(pages: DataFrame) -> DataFrame:
     """Records of a crawl that follows from ``pages``: each page is a response at an instant given by its
-    page_id, and every third page is asked for again some days later and answered 304; of these answers
+    page_id, and is asked for again some days later and answered 304; of these answers
     some carry an entity tag that the page never had, some only a date, some no validator."""
     t0 = F.lit("2024-01-01 00:00:00").cast("timestamp")
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -102,7 +112,7 @@ def crawl_records(pages: DataFrame) -> DataFrame:
         .when(kind == 6, F.create_map(F.lit("date"), day))
         .otherwise(F.create_map(F.lit("etag"), F.concat(F.lit("W/"), digest), F.lit("date"), day))
     )
-    revisits = base.where(F.pmod("page_id", F.lit(3)) == 0).select(
+    revisits = base.select(
         (F.col("page_id") * 2 + 1).alias("record_id"), "url", F.lit("revisit").alias("warc_type"),
         F.timestamp_seconds(F.unix_timestamp(t0) + F.col("page_id") * 37 + 172800).alias("warc_date"), F.lit(304).alias("status"),
         validators.alias("headers"), F.lit(None).cast("string").alias("payload_digest"), F.lit(None).cast("string").alias("body"),
@@ -130,7 +140,7 @@ c AS (
       || CASE WHEN scheme = 'http' THEN regexp_replace(host0, ':80$', '') WHEN scheme = 'https' THEN regexp_replace(host0, ':443$', '') ELSE host0 END
       || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS canonical_url
   FROM p),
-r AS (SELECT *, t + INTERVAL 2 DAY AS asked, page_id % 12 AS kind FROM c WHERE page_id % 3 = 0),
+r AS (SELECT *, t + INTERVAL 2 DAY AS asked, page_id % 12 AS kind FROM c),
 j AS (
   SELECT r.page_id, r.canonical_url, r.kind, r.digest, r.t, f.page_id AS of_id, f.digest AS of_digest, f.t AS of_t,
          row_number() OVER (PARTITION BY r.page_id ORDER BY f.t DESC, f.page_id DESC) AS k
