@@ -4,12 +4,12 @@ Every document gets a histogram of character classes and one of common words. Th
 mean histograms of the corpus itself, one for each known language and one for the rest, over documents
 that pass the base rules. A document whose Jensen-Shannon distance to its reference is too large is
 rejected, unless it is too short to judge. How far is too far for words follows from the distances of each
-language's documents; the registered query keeps the fixed limit of its SQL.
+language's documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import ASCII_SPACE, written
@@ -23,12 +23,11 @@ COMMON_WORDS = {
 }
 #: Beyond these distances (square root of the divergence in bits, 0 to 1) a document is rejected.
 MAX_CLASS_DISTANCE = 0.28
-MAX_WORD_DISTANCE = 0.6
 #: The derived word limit: so many times the distance from the lower quartile to the median above the median.
 #: Both lie among the usual documents, so up to half of a language may be junk without moving the limit far.
 WORD_SPREADS = 6
-#: Shorter documents keep their base verdict.
-MIN_WORDS = 50
+#: Shorter documents keep their base verdict: their histograms say too little. Above the 50 words of the base rules.
+MIN_WORDS = 80
 
 
 def vocabulary() -> list[str]:
@@ -107,51 +106,55 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x), F.lit(0.0)))
 
 
-def divergence_rules(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_words: float | None = None, min_words: int = MIN_WORDS) -> DataFrame:
+def word_limits(judged: DataFrame) -> DataFrame:
+    """(__ref, __limit), a row for each language: the exact lower quartile and median of the word distances, to four places,
+    from counts of at most 10,001 values."""
+    seen = judged.where(~F.col("base_failed") & F.col("word_distance").isNotNull()).groupBy("__ref", F.round("word_distance", 4).alias("d")).agg(F.count("*").alias("k"))
+    own = Window.partitionBy("__ref")
+    seen = seen.withColumns({"upto": F.sum("k").over(own.orderBy("d")), "n": F.sum("k").over(own)})
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("d")))
+    limits = seen.groupBy("__ref").agg(at(0.25).alias("low"), at(0.5).alias("middle"))
+    limit = F.col("middle") + WORD_SPREADS * (F.col("middle") - F.col("low"))
+    return limits.select("__ref", F.least(limit, F.lit(1 - 1e-9)).alias("__limit"))  # a text without common words is always beyond
+
+
+def divergence_rules(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
     """The input's columns (except the text) with the measures, class_distance, word_distance and kept.
 
-    Without ``max_words``, words are compared among the common words alone (the mass of all others hides any
-    difference), a text without one is at distance 1, and the limit of each language is derived from its
-    documents that pass the base rules. With it, the histogram has the others and the limit is fixed.
+    Words are compared among the common words alone (the mass of all others hides any difference), a text without
+    one is at distance 1, and the limit of each language is derived from its documents that pass the base rules.
 
-    Null and empty texts have zero words and fail the base rules. Unknown and null languages share one
-    reference; where no document of a language passes the base rules its reference is missing, the
-    distances are null and the base verdict stands. Repeated rows are judged alike. Clashing columns of
-    the input are replaced.
+    Null and empty texts have zero words and fail the base rules; texts below ``min_words`` keep the base verdict. Unknown
+    and null languages share one reference; where no document of a language passes the base rules its reference
+    is missing, the distances are null and the base verdict stands. Repeated rows are judged alike. Clashing
+    columns of the input are replaced.
     """
     known = F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).otherwise("other")
     made = [c for c in base_measures(docs, text).columns if c != text]
-    derived = max_words is None
-    bins = {"class_counts": 6, "word_counts": len(vocabulary()) + (not derived)}
+    bins = {"class_counts": 6, "word_counts": len(vocabulary())}
     measured = base_measures(docs, text).select(*made, known.alias("__ref"))
     for c, n in bins.items():
         measured = measured.withColumn(f"__{c}", shares(F.slice(c, 1, n), n))
     common = F.aggregate(F.slice("word_counts", 1, len(vocabulary())), F.lit(0.0), lambda a, x: a + x)
     measured = written(measured, "measures")  # one pass over the texts; a few numbers for each document
-    # language x bins means: at most five rows of 55 numbers
+    # language x bins means: at most five rows of 54 numbers
     good = measured.where(~F.col("base_failed")).groupBy("__ref")
-    told = lambda c, x: F.when(common > 0, x) if derived and c == "word_counts" else x
+    told = lambda c, x: F.when(common > 0, x) if c == "word_counts" else x
     means = good.agg(*[F.avg(told(c, F.get(f"__{c}", F.lit(i)))).alias(f"{c}_{i}") for c, n in bins.items() for i in range(n)])
     refs = means.select("__ref", *[F.array(*[f"{c}_{i}" for i in range(n)]).alias(f"__{c}_ref") for c, n in bins.items()])
     judged = measured.join(F.broadcast(refs), "__ref", "left")
     judged = judged.withColumn("class_distance", js_distance(F.col("__class_counts"), F.col("__class_counts_ref")))
-    judged = judged.withColumn("word_distance", js_distance(F.col("__word_counts"), F.col("__word_counts_ref")))
-    limit = F.lit(max_words)
-    if derived:
-        judged = judged.withColumn("word_distance", F.when(F.get("__word_counts_ref", F.lit(0)).isNotNull(), F.when(common > 0, F.col("word_distance")).otherwise(1.0)))
-        low, middle = (F.percentile_approx("word_distance", q, 10_000) for q in (0.25, 0.5))
-        limits = judged.where(~F.col("base_failed")).groupBy("__ref").agg((middle + WORD_SPREADS * (middle - low)).alias("__limit"))
-        # a text without common words is always beyond; one row for each language
-        judged = judged.join(F.broadcast(limits.withColumn("__limit", F.least("__limit", F.lit(1 - 1e-9)))), "__ref", "left")
-        limit = F.col("__limit")
-    far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > limit))
+    far = F.when(common > 0, js_distance(F.col("__word_counts"), F.col("__word_counts_ref"))).otherwise(1.0)
+    judged = judged.withColumn("word_distance", F.when(F.get("__word_counts_ref", F.lit(0)).isNotNull(), far))
+    judged = judged.join(F.broadcast(word_limits(judged)), "__ref", "left")  # one row for each language
+    far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > F.col("__limit")))
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
     return judged.withColumn("kept", kept).select(*made, "class_distance", "word_distance", "kept")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    out = divergence_rules(docs, max_words=MAX_WORD_DISTANCE)  # as the SQL
+    out = divergence_rules(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
@@ -160,11 +163,11 @@ def oracle() -> str:
     letters = lambda keep: f"length(regexp_replace(t, '[^{keep}]+', '', 'g'))"
     words = ", ".join(f"len(list_filter(w, lambda x: x = '{v}'))" for v in vocabulary())
     share = lambda c, n: f"CASE WHEN list_sum({c}) > 0 THEN list_transform({c}, lambda x: x / list_sum({c})) ELSE list_transform(range({n}), lambda x: 1.0::DOUBLE / {n}) END"
-    mean = lambda c, n: "[" + ", ".join(f"avg({c}[{i}])" for i in range(1, n + 1)) + "]"
+    mean = lambda c, n, which="TRUE": "[" + ", ".join(f"avg({c}[{i}]) FILTER ({which})" for i in range(1, n + 1)) + "]"
     half = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((z[1] + z[2]) / 2)) ELSE 0 END"
     distance = lambda c: f"sqrt(greatest(list_sum(list_transform(list_zip({c}, {c}_ref), lambda z: ({half('z[1]')} + {half('z[2]')}) / 2)), 0))"
     known = ", ".join(f"'{k}'" for k in COMMON_WORDS)
-    n = len(vocabulary()) + 1
+    n = len(vocabulary())
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({known}) THEN lang ELSE 'other' END AS ref,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -178,11 +181,15 @@ m AS (SELECT d.doc_id, ref, len(w) AS n_words, length(array_to_string(w, '')) AS
   FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     [upper, digits, marks, n_symbols, points - word_chars, word_chars - upper - digits - marks - n_symbols] AS classes,
-    list_append(common, n_words - coalesce(list_sum(common), 0)) AS counts FROM m),
+    common AS counts, list_sum(common) > 0 AS told FROM m),
 s AS (SELECT *, {share('classes', 6)} AS cs, {share('counts', n)} AS ws FROM b),
-r AS (SELECT ref, {mean('cs', 6)} AS cs_ref, {mean('ws', n)} AS ws_ref FROM s WHERE NOT base_failed GROUP BY 1),
-j AS (SELECT s.*, {distance('cs')} AS class_distance, {distance('ws')} AS word_distance FROM s LEFT JOIN r USING (ref))
+r AS (SELECT ref, {mean('cs', 6)} AS cs_ref, {mean('ws', n, 'told')} AS ws_ref FROM s WHERE NOT base_failed GROUP BY 1),
+j AS (SELECT s.*, {distance('cs')} AS class_distance, CASE WHEN ws_ref[1] IS NOT NULL THEN CASE WHEN told THEN {distance('ws')} ELSE 1.0 END END AS word_distance FROM s LEFT JOIN r USING (ref)),
+h AS (SELECT ref, round(word_distance, 4) AS d, count(*) AS k FROM j WHERE NOT base_failed AND word_distance IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT ref, d, sum(k) OVER (PARTITION BY ref ORDER BY d) AS upto, sum(k) OVER (PARTITION BY ref) AS n FROM h),
+q AS (SELECT ref, min(d) FILTER (upto >= 0.25 * n) AS low, min(d) FILTER (upto >= 0.5 * n) AS middle FROM u GROUP BY 1),
+v AS (SELECT j.*, least(middle + {WORD_SPREADS} * (middle - low), 1 - 1e-9) AS word_limit FROM j LEFT JOIN q USING (ref))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(n_words >= {MIN_WORDS} AND (class_distance > {MAX_CLASS_DISTANCE} OR word_distance > {MAX_WORD_DISTANCE}), FALSE) AS kept,
-  round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM j
+  NOT base_failed AND NOT coalesce(n_words >= {MIN_WORDS} AND (class_distance > {MAX_CLASS_DISTANCE} OR word_distance > word_limit), FALSE) AS kept,
+  round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM v
 """
