@@ -1,3 +1,9 @@
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from quarrylens.queries import ORACLES, QUERIES
@@ -21,8 +27,33 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_rest_stands_without_llm(monkeypatch):
-    import __spark_entry__ as entry
+def test_rest_stands_without_llm(tmp_path):
+    """A copy without the training-data operators, their tests and the pipeline still imports and keeps all other queries."""
+    root = Path(__file__).resolve().parent.parent
+    for part in ("quarrylens", "tests"):
+        shutil.copytree(root / part, tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for part in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(root / part, tmp_path)
+    modules = [".".join(p.relative_to(tmp_path).with_suffix("").parts) for p in (tmp_path / "quarrylens").rglob("*.py") if p.stem != "__init__"]
+    code = f"import importlib\nfor m in {modules + ['bench', 'tests.conftest']}: importlib.import_module(m)\nimport __spark_entry__ as e\nprint(*sorted(e.queries()))"
+    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == sorted(QUERIES)
+
+
+def test_shared_folder(spark):
+    from quarrylens.sources import shared
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    with shared.scratch(spark) as path:
+        assert shared.written(spark.range(3), "t").count() == 3 and os.listdir(path)
+    assert not os.path.exists(path) and spark.conf.get("spark.checkpoint.dir") == before
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://elsewhere:7077"}.get(key, default)
+
+    class Cluster:
+        conf = Conf()
 
-    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: None)
-    assert set(entry.queries()) == set(QUERIES)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Cluster())
