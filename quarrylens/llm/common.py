@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.sources.shared import shared_dir, written
 
-__all__ = ["ASCII_SPACE", "fold", "read", "shared_dir", "small_batches", "tasks_for", "written"]
+__all__ = ["ASCII_SPACE", "fold", "labelled_texts", "read", "sampled_labels", "shared_dir", "small_batches", "tasks_for", "unused", "written"]
 
 #: ASCII white space of the word contract, [\x20\x09-\x0D], as a Java and Python regex class.
 ASCII_SPACE = "[\\x20\\x09-\\x0D]"
@@ -28,5 +28,28 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def sampled_labels(labels: DataFrame, label: str, in_training: Column, each: int) -> DataFrame:
+    """At most ``each`` labelled ids of each class of the training fold, chosen by hash: a bounded table."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & in_training).select("doc_id", F.col(label).cast("int").alias("label"))
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+    pick = lambda k: rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
+    return pick(0).unionByName(pick(1))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, in_training: Column, each: int) -> DataFrame:
+    """(doc_id, text, label) of the sampled ids, one row for each: of an id that several rows have, the first text in order."""
+    ids = F.broadcast(sampled_labels(labels, label, in_training, each))  # at most 2 x each rows
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or the first of its lengthened forms that is no column yet (names are compared as Spark does, without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def tasks_for(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -9,6 +9,8 @@ join has no hot key, however large a group is.
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import hashlib
 import os
 import pickle
@@ -49,10 +51,10 @@ class Table:
             i = (i + 1) & mask
         return None, i
 
-    def add(self, slot: int, h: int, content: bytes, payload) -> None:
+    def add(self, slot: int, h: int, content: bytes, payload, size: int) -> None:
         self.slots[slot] = len(self.entries)
         self.entries.append([h, content, payload])
-        self.bytes += len(content) + 200
+        self.bytes += len(content) + 200 + size
         if 2 * len(self.entries) > len(self.slots):
             self.slots = np.full(2 * len(self.slots), -1, np.int64)
             mask = len(self.slots) - 1
@@ -63,24 +65,31 @@ class Table:
                 self.slots[i] = k
 
 
-def grace(records, merge, memory: int, level: int = 0, folder: str | None = None):
+def grace(records, merge, memory: int, size=lambda payload: 0):
     """Entries [hash, content, payload], one for each distinct content. ``records`` yields (hash,
-    content, payload); ``merge(a, b)`` joins the payloads of equal contents. Beyond ``memory`` bytes of
-    distinct content, records new to the table go to spill files by the next bits of their hash, and
-    each file is reduced in the same way. Copies never spill: they meet their entry in the table.
-    Level 15 is the last of the 64 bits; beyond it contents of one hash stay together."""
-    table, files, own = Table(), None, folder is None
-    folder = folder or tempfile.mkdtemp(prefix="grace-")
-    paths = []
+    content, payload); ``merge(a, b)`` joins the payloads of equal contents; ``size`` says how many bytes a payload
+    holds beside the content. Beyond ``memory`` bytes of what is held, records new to the table go to spill files by
+    the next bits of their hash, and each file is reduced in the same way. Copies never spill: they meet their entry
+    in the table. Level 15 is the last of the 64 bits; beyond it contents of one hash stay together. The spill
+    folder is the task's own and goes with it, whether it ends, fails or is left half-read."""
+    with contextlib.ExitStack() as stack:
+        folder = functools.cache(lambda: stack.enter_context(tempfile.TemporaryDirectory(prefix="grace-", ignore_cleanup_errors=True)))
+        yield from _reduced(records, merge, memory, size, 0, folder)
+
+
+def _reduced(records, merge, memory: int, size, level: int, folder):
+    table, files, paths = Table(), None, []
     for h, content, payload in records:
         entry, slot = table.find(h, content)
         if entry is not None:
+            table.bytes -= size(entry[2])
             entry[2] = merge(entry[2], payload)
+            table.bytes += size(entry[2])
         elif table.bytes < memory or level > 15:
-            table.add(slot, h, content, payload)
+            table.add(slot, h, content, payload, size(payload))
         else:
             if files is None:
-                paths = [f"{folder}/{level}-{os.urandom(6).hex()}" for _ in range(1 << FAN_OUT_BITS)]
+                paths = [f"{folder()}/{level}-{os.urandom(6).hex()}" for _ in range(1 << FAN_OUT_BITS)]
                 files = [open(p, "wb") for p in paths]  # noqa: SIM115
             packed = pickle.dumps((h, content, payload), 5)
             f = files[(h >> (FAN_OUT_BITS * level)) & ((1 << FAN_OUT_BITS) - 1)]
@@ -92,10 +101,8 @@ def grace(records, merge, memory: int, level: int = 0, folder: str | None = None
         f.close()
     for p in paths:
         if os.path.getsize(p):
-            yield from grace(_spilled(p), merge, memory, level + 1, folder)
+            yield from _reduced(_spilled(p), merge, memory, size, level + 1, folder)
         os.unlink(p)
-    if own:
-        os.rmdir(folder)
 
 
 def _spilled(path: str):
@@ -205,6 +212,17 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
     return rows.join(groups, "group_key").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
+def _bytes_of(value) -> int:
+    """About what a value of a row holds."""
+    if isinstance(value, (str, bytes)):
+        return len(value) + 60
+    if isinstance(value, dict):
+        return 100 + sum(_bytes_of(x) for pair in value.items() for x in pair)
+    if isinstance(value, (list, tuple)):
+        return 60 + sum(map(_bytes_of, value))
+    return 30
+
+
 def _winners(names: list[str], doc_id: str, text: str, memory: int):
     """Whole rows, one for each distinct content of the partition: the row that stays among those seen."""
 
@@ -225,13 +243,13 @@ def _winners(names: list[str], doc_id: str, text: str, memory: int):
             return a if _better(a, b) else b
 
         rows = []
-        for h, _, payload in grace(records(), merge, memory):
-            rows.append((h - (1 << 64) if h >> 63 else h, *payload[4][-len(names) :]))
+        for code, _, payload in grace(records(), merge, memory, lambda p: _bytes_of(p[4])):
+            rows.append((code - (1 << 64) if code >> 63 else code, *payload[4]))
             if len(rows) >= 500:
-                yield _arrow(zip(*rows, strict=True), [("__h", pa.int64()), *kinds[-len(names) :]])
+                yield _arrow(zip(*rows, strict=True), [("h", pa.int64()), *kinds])
                 rows = []
         if rows:
-            yield _arrow(zip(*rows, strict=True), [("__h", pa.int64()), *kinds[-len(names) :]])
+            yield _arrow(zip(*rows, strict=True), [("h", pa.int64()), *kinds])
 
     return run
 
@@ -243,11 +261,12 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
 
     spark = docs.sparkSession
     small_batches(spark)
-    schema = StructType([StructField("__h", LongType()), *docs.schema.fields])
-    names = ["__h", *docs.columns]
-    local = docs.mapInArrow(_winners(docs.columns, doc_id, text, memory), schema)
-    merged = local.repartition(tasks_for(spark), "__h").select(*docs.columns)
-    return merged.mapInArrow(_winners(docs.columns, doc_id, text, memory), schema).select(*names[1:])
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the input's columns are called
+    schema = StructType([StructField("h", LongType()), *inner.schema.fields])
+    winners = _winners(docs.columns, doc_id, text, memory)
+    local = inner.mapInArrow(winners, schema)
+    merged = local.repartition(tasks_for(spark), "h").drop("h")
+    return merged.mapInArrow(winners, schema).drop("h").toDF(*docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from quarrylens.llm.common import small_batches, tasks_for, written
 
 WINDOW = 1024
-#: Tails in one index shard, query terms of a seed, neighbours returned at once.
+#: Parameters of the search: tails in one index shard (all that a seed can find), query terms of a seed, neighbours
+#: returned at once. None drops a row: every tail is packed.
 SHARD = 2048
 TERMS = 24
 NEIGHBOURS = 16
@@ -43,6 +45,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        if self.library.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path}: ids beyond 16 bits are not packed")
         ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in open(path.removesuffix(".json") + ".tiktoken", "rb"))}  # noqa: SIM115
         self.pieces = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -50,7 +54,7 @@ class Tokens:
 
     def __missing(self, piece: str) -> None:
         fit = piece and not piece[0].isspace() and not piece[-1].isspace()
-        self.known[piece] = np.array(self.pieces.encode_ordinary(" " + piece), "<u2").tobytes() if fit else None
+        self.known[piece] = array("H", self.pieces.encode_ordinary(" " + piece)).tobytes() if fit else None
 
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.specials):
@@ -146,18 +150,15 @@ class Shard:
         self.unused = np.ones(n)
 
     def neighbours(self, seed: int) -> list[int]:
-        """Unused tails by falling score, ties by place; every unused tail comes up, those without a shared term last."""
+        """The first unused tails by falling score, ties by place; those without a shared term come last."""
         scores = np.zeros(len(self.unused))
         for q in self.queries[seed]:
             a, b = self.start[q], self.stop[q]
             scores[self.doc[a:b]] += self.weight[a:b]
         scores = (scores + 1e-9) * self.unused
-        if len(scores) > 4 * NEIGHBOURS:
-            top = np.argpartition(-scores, NEIGHBOURS)[:NEIGHBOURS]
-            top = top[np.lexsort((top, -scores[top]))]
-        else:
-            top = np.argsort(-scores, kind="stable")
-        return [int(i) for i in top if scores[i] > 0]
+        least = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS] if len(scores) > NEIGHBOURS else 0.0
+        top = np.flatnonzero(scores >= max(least, 1e-9))  # 1e-9 is an unused tail's own
+        return top[np.lexsort((top, -scores[top]))][:NEIGHBOURS].tolist()
 
 
 def _pack(stats):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import small_batches, tasks_for, written
+from quarrylens.llm.common import small_batches, tasks_for, unused, written
 from quarrylens.llm.components import components
 
 MAX_BITS = 4
@@ -54,8 +54,9 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
 
 def _fingerprints(batches):
     for b in batches:
-        found = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        found = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+        kept = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(found, pa.int64())], names=[*kept, "fp"])
 
 
 def position_groups(width: int) -> list[tuple[int, ...]]:
@@ -195,13 +196,22 @@ def similar_links(fps: DataFrame, width: int = WIDTH, block: int = BLOCK) -> Dat
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed long."""
+    """(doc_id, row_a, row_b, fp): the fingerprint of every row as a signed long, and two hashes of id and text that
+    together tell rows apart where ids are null or repeated."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return source.select("doc_id", *row_hashes("doc_id", "text"), "text").mapInArrow(_fingerprints, "doc_id long, row_a long, row_b long, fp long")
+
+
+def row_hashes(doc_id: str, text: str) -> list:
+    """Two independent hashes of a row's id and text; null differs from every value."""
+    columns = [F.col(doc_id).cast("long"), F.col(text).cast("string"), F.col(doc_id).isNull(), F.col(text).isNull()]
+    return [F.xxhash64(F.lit(seed), *columns).alias(name) for seed, name in ((3, "row_a"), (17, "row_b"))]
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id), one row per document; component_id is the smallest doc_id reachable.
+    """(doc_id, row_a, row_b, fp, root, component_id), one row per document; component_id is the smallest doc_id
+    reachable, root a fingerprint that names the component whatever its ids are.
 
     Null and empty texts have fingerprint zero and are linked like any other. Equal fingerprints are one
     node, so copies cost nothing beyond their row; repeated rows and ids are kept. Null ids never become
@@ -216,8 +226,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = written(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
     # written, so that the join below has plain exchanges on both sides and a component of very many nodes can be split
     smallest = written(classes.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
-    named = classes.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(smallest, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "row_a", "row_b", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each component that with the smallest id (null last),
+    then the smallest fingerprint. Of rows equal in id and text one stays, whichever is met first. Null ids are no
+    group of their own. An empty table gives no rows."""
+    a, b = unused("row_a", docs.columns), unused("row_b", docs.columns)
+    found = near_duplicates(docs, doc_id, text)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row_a", "row_b")
+    kept = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row_a").alias(a), F.col("first.row_b").alias(b))
+    rows = docs.withColumns(dict(zip((a, b), row_hashes(doc_id, text), strict=True))).dropDuplicates([a, b])
+    return rows.join(kept, [a, b], "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

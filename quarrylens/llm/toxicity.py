@@ -16,25 +16,27 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import fold, read, small_batches
-from quarrylens.llm.quality import sampled_labels
+from quarrylens.llm.common import fold, labelled_texts, read, small_batches
 
 WINDOW, STRIDE = 48, 36
 HIDDEN, LEARNT = 8, 4
 INPUTS = 3 + 2 * LEARNT
-#: Labelled documents used of each class; vocabulary of the inputs.
+#: Parameters of the model: labelled documents used of each class; words and n-grams with inputs of their own, the strongest
+#: first; toxic documents that a word or n-gram must be in to have them.
 LABELLED = 2000
-WORDS, GRAMS = 20_000, 40_000
+WORDS, GRAMS = 20_000, 60_000
+EVIDENCE = 3
+SIZES = (3, 4, 5, 6)
 REMEMBERED = 350_000
 EDGE = ".,;:!?\"'()[]{}#*$%&|<>-_=~^\\/@+"
 THRESHOLD = 0.3
 
 
 def grams_of(word: str) -> list[str]:
-    """Character n-grams of 4 and 5 letters of the word between its edges; shorter ones mean different things in different languages."""
-    s = f"<{word[:40]}>"
+    """Character n-grams of the whole word between its edges."""
+    s = f"<{word}>"
     n = len(s)
-    return [s[i : i + k] for k in (4, 5) for i in range(n - k + 1)]
+    return [s[i : i + k] for k in SIZES for i in range(n - k + 1)]
 
 
 def _grams_in(words: list[str]) -> set[str]:
@@ -293,7 +295,7 @@ def _descend(vectors: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient:
     vectors[used] -= (rate * total / np.sqrt(seen[used])[:, None]).astype(np.float32)
 
 
-def learn(texts: list[str | None], toxic: np.ndarray, seed: int = 11, rounds: int = 2, epochs: int = 8) -> Model:
+def learn(texts: list[str | None], toxic: np.ndarray, seed: int = 11, rounds: int = 2, epochs: int = 8, words_kept: int = WORDS, grams_kept: int = GRAMS, evidence: int = EVIDENCE) -> Model:
     """A model from documents with labels. Without both classes, a model that scores all alike."""
     rng = np.random.default_rng(seed)
     split = [(t or "").split() for t in texts]
@@ -301,10 +303,10 @@ def learn(texts: list[str | None], toxic: np.ndarray, seed: int = 11, rounds: in
     y = toxic.astype(np.int64)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     tables = []
-    for units, limit in ((set, WORDS), (_grams_in, GRAMS)):
-        # what fewer than 3 toxic documents hold is no evidence; only the rest is counted in the clean ones
+    for units, limit in ((set, words_kept), (_grams_in, grams_kept)):
+        # what fewer toxic documents hold is no evidence; only the rest is counted in the clean ones
         with_it = Counter(u for s, k in zip(split, y, strict=True) if k for u in units(s))
-        names = sorted(u for u, n in with_it.items() if n >= 3)
+        names = sorted(u for u, n in with_it.items() if n >= evidence)
         known = set(names)
         without = Counter(u for s, k in zip(split, y, strict=True) if not k for u in known.intersection(units(s)))
         z = _strength(np.array([with_it[u] for u in names], float), np.array([without[u] for u in names], float), n1, n0)
@@ -357,11 +359,10 @@ def _cut(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, each: int = LABELLED) -> Model:
-    """Learn from at most ``each`` rows of a class (clean ones: twice) whose crc32(doc_id as text) mod 4 is not 2."""
+    """Learn from at most ``each`` documents of a class whose crc32(doc_id as text) mod 4 is not 2: so many texts come to the driver."""
     small_batches(docs.sparkSession)
-    ids = sampled_labels(labels, "toxic", fold("doc_id", 4) != 2, each)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").collect()  # at most 2 x each documents
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
+    rows = labelled_texts(docs, labels, "toxic", fold("doc_id", 4) != 2, each).collect()
+    rows.sort(key=lambda r: r.doc_id)
     return learn([r.text for r in rows], np.array([r.label for r in rows], bool))
 
 

@@ -69,7 +69,31 @@ def test_grace_settles_equal_hashes_by_content():
     assert sorted((c, n) for _, c, n in out) == [(b"a", 100), (b"b", 50), (b"c", 50)]
 
 
+def test_spill_folders_go_with_their_task(monkeypatch, tmp_path):
+    monkeypatch.setattr(exact_dedup.tempfile, "tempdir", str(tmp_path))
+    records = [(i << 7, b"x%d" % i, i) for i in range(500)]
+    assert len(list(exact_dedup.grace(iter(records), min, memory=10**9))) == 500 and not list(tmp_path.iterdir())  # nothing was spilled
+    half = exact_dedup.grace(iter(records), min, memory=1)
+    next(half)
+    assert list(tmp_path.iterdir())
+    half.close()
+    assert not list(tmp_path.iterdir())
+
+    def failing():
+        yield from records
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        list(exact_dedup.grace(failing(), min, memory=1))
+    assert not list(tmp_path.iterdir())
+    wide = exact_dedup.grace(((i, b"x%d" % i, "w" * 1000) for i in range(500)), min, memory=50_000, size=exact_dedup._bytes_of)
+    next(wide)
+    assert list(tmp_path.iterdir())  # what rows hold beside the text counts too
+
+
 def test_deduplicated_rows(docs, empty):
+    clash = docs.withColumns({"h": F.lit(1), "__h": F.lit(2), "H_": F.lit(3), "a.b": F.array(F.lit("x"))})
+    assert exact_dedup.deduplicated(clash).columns == clash.columns and exact_dedup.deduplicated(clash).count() == 6
     out = exact_dedup.deduplicated(docs)
     assert out.columns == docs.columns and exact_dedup.deduplicated(empty).count() == 0
     assert sorted(r["doc_id"] or 0 for r in rows(out)) == [0, 2, 5, 7, 8, 9]
@@ -252,6 +276,15 @@ def test_index_shard_ranks_like_plain_bm25():
     assert got[0] == max(plain, key=plain.get) and all(plain[a] >= plain[b] - 1e-6 for a, b in zip(got, got[1:], strict=False))
 
 
+def test_ties_of_neighbours_go_by_place():
+    tails = [np.array([1, 2, 3], "<u2")] * 50 + [np.array([9], "<u2")] * 5
+    shard = packing.Shard(tails, np.ones(1 << 16), 3.0)
+    shard.unused[[0, 4]] = 0
+    assert shard.neighbours(0) == [i for i in range(50) if i not in (0, 4)][: packing.NEIGHBOURS]
+    shard.unused[:50] = 0
+    assert shard.neighbours(0) == [50, 51, 52, 53, 54]
+
+
 def test_pieces_equal_the_library():
     from tokenizers import Tokenizer
 
@@ -438,7 +471,58 @@ def test_quality_on_held_out_rows(spark):
 def test_toxicity_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.01")
     out = toxicity.op1_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
-    assert out.where("predicted = toxic").count() >= 0.9 * out.count()
+    toxic, said, both = (out.where(w).count() for w in ("toxic = 1", "predicted = 1", "toxic = 1 AND predicted = 1"))
+    assert both >= 0.6 * toxic and both >= 0.9 * said  # some 35 toxic documents to learn from; the whole of sf0.1 is below
+
+
+def test_toxicity_recall_and_precision_beyond_its_inputs(spark):
+    """All labelled rows of sf0.1: the trained network against the strengths of its inputs alone, both cut on the training fold."""
+    sf = SF.replace("0.001", "0.1")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("toxic IS NOT NULL").select("doc_id", "text", "toxic").collect()
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+    train, test = ([r for r in sorted(rows, key=lambda r: r.doc_id) if held(r) == side] for side in (False, True))
+    y, z = (np.array([r.toxic == 1 for r in x]) for x in (train, test))
+    model = toxicity.learn([r.text for r in train], y)
+    found = toxicity.Scorer(model).scores([r.text for r in test]) >= toxicity.THRESHOLD
+    assert (found & z).sum() >= 0.88 * z.sum() and (found & z).sum() >= 0.9 * found.sum()
+
+    def strongest(text):
+        """The two strongest inputs of a window, in the worst window."""
+        words = [w.lower().strip(toxicity.EDGE) for w in (text or "").split()]
+        own = model.inputs(model.parts(words))[:, [0, 2]].max(axis=1) if words else np.zeros(1)
+        return max(np.sort(own[a:b])[-2:].sum() for a, b in toxicity.windows(len(words)))
+
+    plain, cut = np.array([strongest(r.text) for r in train]), None
+    cut, _ = toxicity._cut(plain, y.astype(int))
+    alone = np.array([strongest(r.text) for r in test]) > cut
+    wrong = lambda x: (x != z).sum()
+    assert wrong(found) < wrong(alone)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_training_texts_are_bounded_where_ids_repeat(spark, module):
+    from quarrylens.llm import common
+
+    docs = spark.range(2000).select((F.col("id") % 4).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    labels = spark.range(4).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    found = rows(common.labelled_texts(docs, labels, "toxic", F.lit(True), 10))
+    assert sorted((r["doc_id"], r["text"], r["label"]) for r in found) == [(i, "text 0", i % 2) for i in range(4)]
+    assert common.labelled_texts(docs, labels, "toxic", F.lit(True), 1).count() == 2
+    assert module.train(docs, labels) is not None
+
+
+def test_long_words_are_read_whole():
+    assert "zebra"[:4] in toxicity.grams_of("x" * 60 + "zebra") and len(toxicity.grams_of("ab" * 40_000)) > 300_000
+
+
+def test_outliers_are_scored_as_they_are_learnt():
+    rng = np.random.default_rng(4)
+    x = rng.random((200, len(quality.FEATURES)))
+    model = quality.learn(x, x[:, 1] < 0.7, 0.3)
+    far = x[:1].copy()
+    far[0, 1] = 1e6
+    further = far * np.where(np.arange(len(quality.FEATURES)) == 1, 1e3, 1)
+    assert model.score(far) == model.score(further)
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
