@@ -26,7 +26,9 @@ MIN_PAGES = 4
 #: Shares beyond which a subtree is template: of the host's pages, and of the recurring subtrees of its place.
 PAGE_SHARE = 0.5
 PLACE_SHARE = 0.5
-#: Copies of the template table, so that the template of a very large host is joined in as many tasks.
+#: A template table of at most so many rows (16 bytes each) is broadcast; a larger one is joined in as many copies, so that
+#: the template of a very large host is spread over as many tasks.
+BROADCAST_ROWS = 200_000
 SALTS = 16
 
 # Names of HTML elements by their part in a page, and words of class and id that often mark what is not main text.
@@ -263,7 +265,7 @@ class Page:
         of an article with another menu or advert are one page."""
         gone = self._below(self.never)
         longest = max((t for t, n in self.blocks if not gone[n]), key=len, default="")
-        return xxhash.xxh64_intdigest(longest) >> 1
+        return _number(longest)
 
     def _below(self, roots) -> list[bool]:
         out: list[bool] = []
@@ -320,7 +322,7 @@ class Page:
         return out
 
 
-PARSED = "key long, host string, body long, places array<long>, hashes array<long>"
+PARSED = "key long, host long, body long, places array<long>, hashes array<long>"
 
 
 def host_of(url: str | None) -> str:
@@ -330,14 +332,19 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def _number(text: str) -> int:
+    """Hosts and blocks are counted by a 63-bit hash: rows of numbers shuffle at a third of the bytes."""
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
 def _parse(batches):
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     for b in batches:
         rows = []
         for key, url, html in zip(*(b.column(c).to_pylist() for c in ("key", "url", "html")), strict=True):
             page = Page(html or "")
             seen = {h: p >> 1 for h, p in zip(page.hashes, page.places, strict=True) if h}
-            rows.append((key, host_of(url), page.identity(), list(seen.values()), list(seen)))
+            rows.append((key, _number(host_of(url)), page.identity(), list(seen.values()), list(seen)))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key", "host", "body", "places", "hashes"])
 
 
@@ -369,9 +376,14 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     source = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     source = source.withColumn("key", F.xxhash64("page_id", "url", "html"))  # equal for repeated rows, which have one template anyway
     parsed = written(source.mapInArrow(_parse, PARSED), "parsed-pages")
-    site = written(templates(parsed), "templates").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = parsed.select("key", "host", F.explode("hashes").alias("hash")).withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
-    found = own.join(site, ["host", "hash", "salt"]).groupBy("key").agg(F.collect_set("hash").alias("template"))  # at most a page's elements
+    site = written(templates(parsed), "templates")
+    own, keys = parsed.select("key", "host", F.explode("hashes").alias("hash")), ["host", "hash"]
+    if site.count() <= BROADCAST_ROWS:
+        own = own.join(F.broadcast(site), keys)
+    else:
+        site = site.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        own = own.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(site, [*keys, "salt"])
+    found = own.groupBy("key").agg(F.collect_set("hash").alias("template"))  # at most a page's elements
     # a merge join at every size: what is found grows with the pages and is never broadcast
     out = source.join(written(found, "found").hint("merge"), "key", "left").mapInArrow(_assemble, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -618,7 +618,9 @@ def test_template_subtrees_go_and_copies_do_not_make_one(spark):
     assert html_main.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_notices_go_and_paragraphs_that_some_articles_share_stay(spark):
+@pytest.mark.parametrize("most", [200_000, 0])  # 0: the template table is joined in copies
+def test_notices_go_and_paragraphs_that_some_articles_share_stay(spark, monkeypatch, most):
+    monkeypatch.setattr(html_main, "BROADCAST_ROWS", most)
     page = "<html><body><div>Advert {2}</div><div>Read our app<h1>Title {0}</h1><p>The words of story {0}</p><p>{1}</p></div></body></html>"
     shared = lambda i: "A paragraph of five" if i < 5 else f"More {i}"
     pages = [(i, f"http://big.example/{i}", page.format(i, shared(i), i % 40)) for i in range(400)] + [(1000 + i, f"http://other.example/{i}", page.format(i, shared(i), i)) for i in range(3)]
