@@ -85,3 +85,12 @@ def normalised_types(df: DataFrame) -> DataFrame:
 def public_columns(df: DataFrame, geometry: tuple[str, ...] = ("geometry", "geom", "wkb_geometry")) -> DataFrame:
     """Without internal (``__``) and geometry columns."""
     return df.select(*[c for c in df.columns if not c.startswith("__") and c not in geometry])
+
+
+def column_subset(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns in the table's order, and the geometry beside them; an error where none or an unknown one is named."""
+    if not columns:
+        raise ValueError("no columns chosen")
+    if unknown := set(columns) - set(df.columns):
+        raise ValueError(f"unknown columns {sorted(unknown)}")
+    return df.select(*[c for c in df.columns if c in columns or c in ("geometry", "geom", "wkb_geometry")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.casts import as_double, as_timestamp
 from quarrylens.operators.filters import context
+from quarrylens.operators.summarise import ids_per_group
 
 GRAINS = {"hour": 3600, "day": 86400, "week": 604800, "month": 2629746, "quarter": 7889238, "year": 31556952}
 
@@ -23,12 +24,18 @@ def measures(df: DataFrame, inside: Column, fn: str, field: str | None, zero: bo
     return [F.count("*").alias("total_count"), full(agg(v)).alias("total_value"), F.count_if(inside).alias("count"), full(agg(F.when(inside, v))).alias("value")]
 
 
-def category_chart(df: DataFrame, dimension: str, specs: list[dict], fn: str = "count", field: str | None = None, most: int | None = None) -> DataFrame:
-    """label, total_count, total_value, count, value of the largest categories; null labels are dropped."""
+def category_chart(df: DataFrame, dimension: str, specs: list[dict], fn: str = "count", field: str | None = None, most: int | None = None, row_id: str | None = None) -> DataFrame:
+    """label, total_count, total_value, count, value of the largest categories; null labels are dropped. With ``row_id`` also
+    ``ids``: the first ids of each label, joined by U+001F."""
     label = F.col(dimension).cast("string")
     inside = context(df, specs, (dimension,))
     groups = df.where(label.isNotNull()).groupBy(label.alias("label")).agg(*measures(df, inside, fn, field))
-    return groups.orderBy(F.desc("total_value"), F.desc("total_count"), "label").limit(clamp(most, 3, 30, 8))
+    chart = groups.orderBy(F.desc("total_value"), F.desc("total_count"), "label").limit(clamp(most, 3, 30, 8))
+    if row_id is None:
+        return chart
+    shown = df.select(label.alias("__label"), F.col(row_id)).join(F.broadcast(chart.select("label")), F.col("__label") == F.col("label"), "left_semi")
+    lists = ids_per_group(shown, "__label", row_id).select(F.col("__label").alias("label"), "ids")
+    return chart.join(lists, "label")  # at most 30 rows on either side
 
 
 def _bounds(df: DataFrame, value: Column) -> DataFrame:
@@ -65,17 +72,19 @@ def choose_grain(low, high, most: int = 60) -> str:
     return next((g for g, seconds in GRAINS.items() if span / seconds <= most), "year")
 
 
-def time_buckets(df: DataFrame, field: str, grain: str | None = None, most: int = 1000) -> DataFrame:
+def time_buckets(df: DataFrame, field: str, grain: str | None = None) -> DataFrame:
     """(bucket, bucket_end) of the field's whole range, the end a millisecond before the next bucket."""
     ts = as_timestamp(df, field)
     low, high = df.agg(F.min(ts), F.max(ts)).first()
     grain = grain or choose_grain(low, high)
-    step = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTH", "year": "INTERVAL 1 YEAR"}[grain]
+    unit, size = {"hour": ("HOUR", 1), "day": ("DAY", 1), "week": ("DAY", 7), "month": ("MONTH", 1), "quarter": ("MONTH", 3), "year": ("MONTH", 12)}[grain]
+    step = f"INTERVAL {size} {unit}"
     spark = df.sparkSession
     if low is None:
         return spark.createDataFrame([], "bucket timestamp_ntz, bucket_end timestamp_ntz")
     first, last = (F.date_trunc(grain, F.lit(x).cast("timestamp_ntz")).cast("timestamp_ntz") for x in (low, high))
-    starts = spark.range(1).select(F.explode(F.slice(F.sequence(first, last, F.expr(step)), 1, most)).alias("bucket"))
+    span = spark.range(1).select(F.timestamp_diff(unit, first, last)).first()[0]
+    starts = spark.range(span // size + 1).select(F.timestamp_add(unit, F.col("id") * size, first).cast("timestamp_ntz").alias("bucket"))
     return starts.select("bucket", (F.col("bucket") + F.expr(step) - F.expr("INTERVAL 0.001 SECOND")).alias("bucket_end"))
 
 

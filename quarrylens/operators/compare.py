@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.casts import as_double, as_timestamp
 from quarrylens.operators.charts import bin_of, top_and_other
+from quarrylens.operators.orderstat import order_statistics
 
 MISSING = "∅ Missing"
 
@@ -134,8 +135,7 @@ def equal_breaks(df: DataFrame, field: str, classes: int) -> list[float]:
 def quantile_breaks(df: DataFrame, field: str, classes: int) -> list[float]:
     """Values at the inner quantiles, each one of the table's own; repeats are dropped."""
     k = max(2, min(9, classes))
-    v = df.select(as_double(df, field).alias("v")).where("v IS NOT NULL")
-    row = v.agg(*[F.expr(f"percentile_disc({i / k!r}) WITHIN GROUP (ORDER BY v)").alias(f"q{i}") for i in range(1, k)]).first()
+    row = order_statistics(df, [], as_double(df, field), tuple(i / k for i in range(1, k)), [f"q{i}" for i in range(1, k)], discrete=True).first()
     return sorted({x for x in row if x is not None})
 
 

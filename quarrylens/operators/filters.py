@@ -78,6 +78,20 @@ def select_ids(df: DataFrame, ids: DataFrame, field: str) -> DataFrame:
     return df.join(wanted, F.col(field).cast("string") == F.col("__wanted"), "left_semi")
 
 
+def select_rows(df: DataFrame, numbers: DataFrame, order: str, row_id: list[str]) -> DataFrame:
+    """Rows by their number from 1 in the order of a column, ties by the row id; ``numbers`` is a one-column table of any size."""
+    from quarrylens.operators.ranking import row_number
+
+    return select_ids(row_number(df, order, row_id, "__number"), numbers, "__number").drop("__number")
+
+
+def ordered(df: DataFrame, field: str, row_id: str, descending: bool = False, most: int | None = 5000) -> DataFrame:
+    """The first rows in the order of a column, nulls last, ties by the row id; all of them without ``most``."""
+    by = F.col(field).desc_nulls_last() if descending else F.col(field).asc_nulls_last()
+    rows = df.orderBy(by, row_id)
+    return rows if most is None else rows.limit(most)
+
+
 def criteria(df: DataFrame, conditions: list[dict], outcome: str = "tag") -> DataFrame:
     """Named conditions {label, expression, hard}. Adds ``excluded``, ``excluded_by`` (labels failed, hard
     and soft, joined by " · ", null when none) and ``excluded_count``; ``drop`` also removes hard failures."""

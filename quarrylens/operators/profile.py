@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.casts import as_double, as_timestamp, semantic_type
 from quarrylens.operators.charts import bin_of
+from quarrylens.operators.orderstat import beside, order_statistics
 
 
-def dataset_profile(df: DataFrame, fields: list[str] | None = None, chunk: int = 12, exact_below: int = 100_000) -> DataFrame:
+def dataset_profile(df: DataFrame, fields: list[str] | None = None, chunk: int = 12, approximate: bool = False) -> DataFrame:
     """A row per field: semantic_type, rows, nulls, null_share, distinct_count, min, max, mean, stddev, q25, q50, q75,
     first_time, last_time. One aggregate for every ``chunk`` fields, so generated code stays small. Distinct counts and
-    quantiles are exact up to ``exact_below`` rows and approximate, in bounded memory, above."""
+    quantiles are exact at every size, each found by itself from one column; ``approximate`` ones share the aggregate."""
     names, out = fields or df.columns, None
-    exact = df.count() <= exact_below
-    distinct, quantile = (F.count_distinct, F.percentile) if exact else (F.approx_count_distinct, F.percentile_approx)
     for at in range(0, len(names), chunk):
-        aggs, rows = [F.count("*").alias("rows")], []
+        aggs, rows, apart = [F.count("*").alias("rows")], [], []
         for i, f in enumerate(names[at : at + chunk]):
             kind = semantic_type(df, f)
             v = as_double(df, f) if kind in ("numeric", "identifier") else F.lit(None).cast("double")
             t = as_timestamp(df, f) if kind == "temporal" else F.lit(None).cast("timestamp_ntz")
-            aggs += [F.count(f).alias(f"n{i}"), distinct(f).alias(f"d{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"), quantile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"), F.min(t).alias(f"t0{i}"), F.max(t).alias(f"t1{i}")]
+            if approximate:
+                aggs += [F.approx_count_distinct(f).alias(f"d{i}"), F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")]
+            else:
+                apart.append(df.agg(F.count_distinct(f).alias(f"d{i}")))
+                if kind in ("numeric", "identifier"):
+                    apart.append(order_statistics(df, [], v, (0.25, 0.5, 0.75), ["a", "b", "c"]).select(F.array("a", "b", "c").alias(f"q{i}")))
+                else:
+                    aggs.append(F.max(F.lit(None).cast("array<double>")).alias(f"q{i}"))
+            aggs += [F.count(f).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"), F.min(t).alias(f"t0{i}"), F.max(t).alias(f"t1{i}")]
             nulls = F.col("rows") - F.col(f"n{i}")
             rows.append(F.struct(F.lit(f).alias("field"), F.lit(kind).alias("semantic_type"), F.col("rows"), nulls.alias("nulls"), F.try_divide(nulls.cast("double"), F.col("rows").cast("double")).alias("null_share"), F.col(f"d{i}").alias("distinct_count"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("stddev"), F.col(f"q{i}")[0].alias("q25"), F.col(f"q{i}")[1].alias("q50"), F.col(f"q{i}")[2].alias("q75"), F.col(f"t0{i}").alias("first_time"), F.col(f"t1{i}").alias("last_time")))
-        part = df.agg(*aggs).select(F.inline(F.array(*rows)))
+        part = reduce(lambda a, b: beside(a, b, []), apart, df.agg(*aggs)).select(F.inline(F.array(*rows)))  # one row each
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -43,6 +52,17 @@ def quality_issues(profile: DataFrame) -> DataFrame:
     return profile.select("field", F.inline(issues))
 
 
+def geometry_issues(df: DataFrame, ring: str) -> DataFrame:
+    """(field, issue, severity, rows): rings (open lists of x and y) that are missing or no polygon: fewer than three points, or no area."""
+    p = F.col(ring)
+    after = lambda i: F.get(p, F.when(i + 1 == F.size(p), F.lit(0)).otherwise(i + 1))
+    parts = F.transform(p, lambda q, i: q["x"] * after(i)["y"] - after(i)["x"] * q["y"])
+    invalid = (F.size(p) < 3) | (F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x) == 0)
+    found = df.agg(F.count_if(p.isNull()).alias("missing"), F.count_if(p.isNotNull() & invalid).alias("invalid"))
+    row = lambda issue, severity, c: F.struct(F.lit(ring).alias("field"), F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), F.col(c).alias("rows"))
+    return found.select(F.inline(F.array(row("missing geometry", "info", "missing"), row("invalid geometry", "warning", "invalid")))).where("rows > 0")
+
+
 def column_profile(df: DataFrame, field: str, bins: int = 12, top: int = 12) -> DataFrame:
     """(kind, label, low, high, count): equal bins where at least four fifths of the values are numbers, else the
     most frequent values."""
@@ -76,13 +96,10 @@ def row_id(df: DataFrame, most: int = 8) -> tuple[DataFrame, str, str]:
 
     named = [c for c in df.columns if re.search(r"id|uuid|guid|key|code", c.lower())]
     tried = (named + [c for c in df.columns if c not in named])[:most]
-    aggs = [F.count("*").alias("__n")]
-    for i, c in enumerate(tried):
-        aggs += [F.count(c).alias(f"c{i}"), F.count_distinct(c).alias(f"d{i}")]
-    found = df.agg(*aggs).first()
-    for i, c in enumerate(tried):
-        if found["__n"] == found[f"c{i}"] == found[f"d{i}"] > 0:
-            return df, c, "validated-unique"
+    if not df.isEmpty():
+        for c in tried:
+            if df.groupBy(c).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) | F.col(c).isNull()).isEmpty():
+                return df, c, "validated-unique"
     return row_number(df, tried[0], df.columns), "__row_id", "materialised"
 
 

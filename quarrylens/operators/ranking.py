@@ -13,30 +13,35 @@ from quarrylens.functions.casts import as_double, as_timestamp, kind_of
 from quarrylens.sources.shared import written
 
 
-def sortable(df: DataFrame, field: str) -> Column:
-    """The column as a double that keeps its order: numbers as they are, times in seconds, texts by their first letters."""
+def sortable(df: DataFrame, field: str) -> Column | None:
+    """The column as a double that keeps its order: numbers as they are, times in microseconds; None for texts."""
     kind = kind_of(df, field).simpleString()
     if kind in ("date", "timestamp", "timestamp_ntz"):
         return F.unix_micros(as_timestamp(df, field).cast("timestamp")).cast("double")
-    if kind == "string":
-        codes = [F.coalesce(F.ascii(F.substring(field, i, 1)).cast("double"), F.lit(0.0)) for i in range(1, 6)]
-        return F.when(F.col(field).isNotNull(), sum((c * 65536.0 ** (4 - i) for i, c in enumerate(codes)), F.lit(0.0)))
-    return as_double(df, field)
+    return None if kind == "string" else as_double(df, field)
+
+
+def _along(df: DataFrame, field: str, descending: bool) -> Column | None:
+    key = sortable(df, field)
+    return -key if descending and key is not None else key
 
 
 #: Rows of one bucket, and how many buckets literal boundaries serve; beyond them buckets are range partitions.
 ROWS_PER_BUCKET, MOST_EDGES = 1_000_000, 64
 
 
-def with_bucket(df: DataFrame, order: Column, by: Column, row_id: list[str], rows_per_bucket: int | None = None) -> DataFrame:
+def with_bucket(df: DataFrame, order: Column | None, by: Column, row_id: list[str], rows_per_bucket: int | None = None) -> DataFrame:
     """Adds ``__bucket``: 0, 1, ... in the order of ``order``; nulls after all others. The number of buckets follows
-    the number of rows, so a window over one stays small. ``by`` is the sort expression of the windows; ``order`` may
-    be coarser (the first letters of a text).
+    the number of rows, so a window over one stays small. ``by`` is the sort expression of the windows; ``order`` is the
+    same as a number, None for a text.
 
-    Up to some dozen, approximate quantiles are the boundaries and equal values share a bucket. Beyond, the table
-    is range-partitioned by the sort expression itself and the row id, so even equal values are spread, and written
-    once: every reader sees the same partitions."""
+    Numbers with up to some dozen buckets have approximate quantiles as boundaries, and equal values share a bucket.
+    Beyond, and for texts, the table is range-partitioned by the sort expression itself and the row id, so even
+    equal values are spread, and written once: every reader sees the same partitions. Both give the same results."""
     per = rows_per_bucket or ROWS_PER_BUCKET
+    if order is None:
+        ranged = df.repartitionByRange(max(1, -(-df.count() // per)), by, *row_id)
+        return written(ranged.withColumn("__bucket", F.spark_partition_id()), "ranged")
     points = [i / MOST_EDGES for i in range(1, MOST_EDGES)]
     rows, edges = df.agg(F.count("*"), F.percentile_approx(order, points, 2000)).first()
     if rows > per * MOST_EDGES:
@@ -76,8 +81,7 @@ def _direction(field: str, descending: bool) -> Column:
 
 def running_sum(df: DataFrame, amount: Column, order: str, row_id: list[str], out: str, descending: bool = True, partition: list[str] | None = None, rows_per_bucket: int | None = None) -> DataFrame:
     """Running sum in the order of a column, nulls last, ties by the row id."""
-    key = sortable(df, order)
-    rows = with_bucket(df.withColumn("__value", amount), -key if descending else key, _direction(order, descending), row_id, rows_per_bucket)
+    rows = with_bucket(df.withColumn("__value", amount), _along(df, order, descending), _direction(order, descending), row_id, rows_per_bucket)
     window = Window.partitionBy(*(partition or []), "__bucket").orderBy(_direction(order, descending), *row_id).rowsBetween(Window.unboundedPreceding, 0)
     return add_offsets(rows.withColumn(out, F.sum("__value").over(window)), partition or [], F.col("__value"), out).drop("__value", "__bucket")
 
@@ -91,8 +95,7 @@ def rank(df: DataFrame, field: str, out: str, descending: bool = True, rows_per_
     """RANK over the whole table, nulls last and tied with each other. Ranks are found on the distinct values with
     their counts, so heavy ties are one row each, and joined back."""
     values = df.groupBy(F.col(field).alias("__v")).agg(F.count("*").alias("__n"))
-    key = sortable(values, "__v")
-    values = with_bucket(values, -key if descending else key, _direction("__v", descending), ["__v"], rows_per_bucket)
+    values = with_bucket(values, _along(values, "__v", descending), _direction("__v", descending), ["__v"], rows_per_bucket)
     window = Window.partitionBy("__bucket").orderBy(_direction("__v", descending)).rowsBetween(Window.unboundedPreceding, -1)
     ranked = add_offsets(values.withColumn(out, F.coalesce(F.sum("__n").over(window), F.lit(0)) + 1), [], F.col("__n"), out)
     return df.join(ranked.select("__v", out), F.col(field).eqNullSafe(F.col("__v"))).drop("__v")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.casts import as_double, as_timestamp
 from quarrylens.operators.filters import context
+from quarrylens.operators.orderstat import beside, order_statistics
 
 
 def measure(df: DataFrame, fn: str, field: str | None = None) -> Column:
@@ -31,7 +33,19 @@ def summarise(df: DataFrame, keys: list[str], measures: list[dict]) -> DataFrame
     aliases = [m.get("alias") or ("row_count" if m["fn"] == "count" and not m.get("field") else re.sub(r"\W+", "_", f"{m['fn']}_{m.get('field')}")) for m in measures]
     if len(set(aliases)) < len(aliases):
         raise ValueError("two measures have the same alias")
-    return df.groupBy(*keys).agg(*[measure(df, m["fn"], m.get("field")).alias(a) for m, a in zip(measures, aliases, strict=True)])
+    # medians, and distinct counts beyond the first, are grouped by themselves: one pass for all would expand every row or hold a group's values
+    plain, apart = [], []
+    for m, a in zip(measures, aliases, strict=True):
+        one = measure(df, m["fn"], m.get("field"))
+        if m["fn"] == "median" or (m["fn"] == "count_distinct" and any(n["fn"] == "count_distinct" for n, _, _ in plain)):
+            apart.append((m, a, one))
+        else:
+            plain.append((m, a, one))
+    out = df.groupBy(*keys).agg(F.count("*").alias("__rows"), *[c.alias(a) for _, a, c in plain])
+    for m, a, c in apart:
+        part = order_statistics(df, keys, as_double(df, m["field"]), (0.5,), [a]) if m["fn"] == "median" else df.groupBy(*keys).agg(c.alias(a))
+        out = beside(out, part, keys)
+    return out.select(*keys, *aliases)
 
 
 def filtered_measures(df: DataFrame, keys: list[str], specs: list[dict], fn: str, field: str | None) -> DataFrame:
@@ -67,14 +81,16 @@ def kpi(df: DataFrame, fn: str, field: str | None, specs: list[dict], compare: s
 
 
 def quantiles(df: DataFrame, field: str, points: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), exact: bool = True) -> DataFrame:
-    fn = F.percentile if exact else F.percentile_approx
-    return df.agg(fn(as_double(df, field), F.array(*map(F.lit, points))).alias("q")).select(*[F.col("q")[i].alias(f"q{round(100 * p)}") for i, p in enumerate(points)])
+    names = [f"q{round(100 * p)}" for p in points]
+    if exact:
+        return order_statistics(df, [], as_double(df, field), points, names)
+    return df.agg(F.percentile_approx(as_double(df, field), F.array(*map(F.lit, points))).alias("q")).select(*[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
-def distinct_counts(df: DataFrame, fields: list[str], exact_below: int | None = None) -> DataFrame:
-    """Exact distinct counts; above ``exact_below`` rows, where given, approximate ones."""
-    fn = F.approx_count_distinct if exact_below is not None and df.count() > exact_below else F.count_distinct
-    return df.agg(*[fn(f).alias(f) for f in fields]).select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("distinct_count")) for f in fields])))
+def distinct_counts(df: DataFrame, fields: list[str], approximate: bool = False) -> DataFrame:
+    """Distinct counts, exact unless asked otherwise; each field is counted by itself, which reads one column."""
+    fn = F.approx_count_distinct if approximate else F.count_distinct
+    return reduce(DataFrame.unionByName, [df.agg(fn(f).alias("distinct_count")).select(F.lit(f).alias("field"), "distinct_count") for f in fields])
 
 
 def moments(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:

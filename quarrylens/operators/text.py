@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that say nothing about what a text claims.
-STOP_WORDS = ["the", "and", "for", "are", "was", "were", "with", "that", "this", "from", "has", "have", "had", "not", "but", "its", "than", "then", "there", "these", "those", "into", "over", "which", "been"]
+# Words that are left out when claims are compared; results depend on this very list.
+STOP_WORDS = ["the", "a", "an", "is", "are", "was", "were", "of", "in", "on", "to", "and", "or", "for", "with", "that", "this", "it", "be", "by", "at", "as", "from", "no", "not"]
 
 
 def tokens(text: Column) -> Column:
@@ -21,10 +21,13 @@ def match_claims(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
     Pairs meet on a token, counts of shared tokens come from the join. Of each set only its rarest tokens are
     posted: two sets with similarity t share one of the |set| - ceil(t |set|) + 1 rarest of either, so frequent words make
-    no pairs and none is lost.
+    no pairs and none is lost. Texts with the same set of tokens are one row in all this, that with the smallest id,
+    which is also the one that ties prefer.
     """
-    a = left.select(F.col(left_id).alias("left_id"), tokens(F.col(text)).alias("a")).where(F.size("a") > 0)
-    b = right.select(F.col(right_id).alias("right_id"), tokens(F.col(text)).alias("b")).where(F.size("b") > 0)
+    mine = left.select(F.col(left_id).alias("__id"), F.array_sort(tokens(F.col(text))).alias("a")).where(F.size("a") > 0)
+    a = mine.groupBy("a").agg(F.min("__id").alias("left_id"))
+    b = right.select(F.col(right_id).alias("__id"), F.array_sort(tokens(F.col(text))).alias("b")).where(F.size("b") > 0)
+    b = b.groupBy("b").agg(F.min("__id").alias("right_id"))
     words = a.select(F.explode("a").alias("w")).unionByName(b.select(F.explode("b").alias("w"))).groupBy("w").agg(F.count("*").alias("df"))
 
     def posted(side: DataFrame, key: str, tokens_: str) -> DataFrame:
@@ -38,13 +41,16 @@ def match_claims(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     scored = pairs.join(a, "left_id").join(b, "right_id").withColumn("similarity", shared / (F.size("a") + F.size("b") - shared)).where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
     best = lambda key, other: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("similarity"), other))
     both = scored.withColumns({"kl": best("left_id", "right_id"), "kr": best("right_id", "left_id")})
-    return both.where("kl = 1").select("left_id", "right_id", "similarity", (F.col("kr") == 1).alias("mutual"))
+    found = both.where("kl = 1").select("left_id", "right_id", "similarity", (F.col("kr") == 1).alias("mutual"))
+    all_left = mine.join(a, "a").select(F.col("__id"), "left_id")
+    return all_left.join(found, "left_id").select(F.col("__id").alias("left_id"), "right_id", "similarity", (F.col("mutual") & (F.col("__id") == F.col("left_id"))).alias("mutual"))
 
 
 def claim_status(left: DataFrame, right: DataFrame, matches: DataFrame, left_id: str, right_id: str, verdict: str) -> DataFrame:
-    """(left_id, right_id, status): agreement or conflict of matched claims by the column ``verdict``, else only-left or only-right."""
+    """(left_id, right_id, status): agreement or conflict of matched claims by the column ``verdict``, else only-left or only-right.
+    A draft (or no verdict) takes no position, so it is in conflict with none."""
     a = left.select(F.col(left_id).alias("left_id"), F.col(verdict).alias("va"))
     b = right.select(F.col(right_id).alias("right_id"), F.col(verdict).alias("vb"))
     pairs = matches.select("left_id", "right_id").join(a, "left_id", "right").join(b, "right_id", "full")
-    status = F.when(F.col("left_id").isNull(), "only-right").when(F.col("right_id").isNull(), "only-left").when(F.col("va").eqNullSafe(F.col("vb")), "agreement").otherwise("conflict")
+    status = F.when(F.col("left_id").isNull(), "only-right").when(F.col("right_id").isNull(), "only-left").when((F.col("va") != F.col("vb")) & (F.col("va") != "draft") & (F.col("vb") != "draft"), "conflict").otherwise("agreement")
     return pairs.select("left_id", "right_id", status.alias("status"))

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.sources.shared import written
+
 
 @dataclass(frozen=True)
 class Step:
@@ -72,12 +74,12 @@ def recipe(blanks: dict[str, Blank], build: Callable[..., DataFrame]) -> Callabl
 
 
 def sweep(variants: dict[str, dict], build: Callable[..., DataFrame]) -> tuple[DataFrame | None, dict[str, str]]:
-    """The results of one pipeline for many parameter sets under one another with ``variant_id``; a set that fails to
-    build is reported and the others go on."""
+    """The results of one pipeline for many parameter sets under one another with ``variant_id``. Each set is run and
+    written by itself; one that fails, in building or in running, is reported and the others go on."""
     out, failed = None, {}
     for name, values in variants.items():
         try:
-            part = build(**values).withColumn("variant_id", F.lit(name))
+            part = written(build(**values).withColumn("variant_id", F.lit(name)), "variant")
         except Exception as e:  # noqa: BLE001 - a failing variant is a result
             failed[name] = str(e)
             continue

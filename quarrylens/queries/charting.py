@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators import charts as ch
 from quarrylens.operators import profile as pf
+from quarrylens.operators.spatial import box_ring
 from quarrylens.queries.inputs import ORDERS_N, POINTS, orders_n, points, rounded, table
 
 N = f"WITH o AS ({ORDERS_N}) "
@@ -18,6 +19,17 @@ def category(spark, sf):
     return rounded(ch.category_chart(orders_n(spark, sf), "prio_n", [OPEN, {"type": "category", "field": "prio_n", "values": ["2-HIGH"]}], "avg", "price_n"), 3)
 
 
+def category_ids(spark, sf):
+    return ch.category_chart(orders_n(spark, sf), "prio_n", [OPEN], "count", most=3, row_id="o_orderkey").select("label", "total_count", "ids")
+
+
+def bad_rings(spark, sf):
+    """Boxes around the points; those of negative value have no width, every ninth is missing."""
+    width = F.when(F.col("v") > 0, 1.0).otherwise(0.0)
+    box = points(spark, sf).select("pt_id", F.col("x").alias("xmin"), F.col("y").alias("ymin"), (F.col("x") + width).alias("xmax"), (F.col("y") + 1).alias("ymax"))
+    return pf.geometry_issues(box.select(F.when(F.col("pt_id") % 9 != 0, box_ring()).alias("ring")), "ring")
+
+
 def histogram(spark, sf):
     return rounded(ch.histogram(orders_n(spark, sf), "price_n", [OPEN, {"type": "range", "field": "price_n", "min": 5}]).select(F.col("bin").cast("long").alias("bin"), "bin_start", "total_count", "count"), 3)
 
@@ -45,7 +57,7 @@ def facet_histogram(spark, sf):
 
 
 def scatter(spark, sf):
-    return rounded(ch.scatter(orders_n(spark, sf).where("o_orderkey % 2 = 0"), "mixed_txt", "price_n", "o_orderkey", [OPEN, LARGE]), 3)
+    return rounded(ch.scatter(orders_n(spark, sf), "mixed_txt", "price_n", "o_orderkey", [OPEN, LARGE]), 3)
 
 
 def export(spark, sf):
@@ -79,13 +91,15 @@ TOTALS = "count(*) AS total_count, round({t}, {p}) AS total_value, count(*) FILT
 
 QUERIES = {
     "ch1_category": (category, N + "SELECT prio_n AS label, count(*) AS total_count, round(coalesce(avg(price_n), 0), 3) AS total_value, count(*) FILTER (o_orderstatus = 'O') AS count, round(coalesce(avg(price_n) FILTER (o_orderstatus = 'O'), 0), 3) AS value FROM o WHERE prio_n IS NOT NULL GROUP BY 1 ORDER BY coalesce(avg(price_n), 0) DESC LIMIT 8"),
+    "ch1_category_ids": (category_ids, N + "SELECT prio_n AS label, count(*) AS total_count, array_to_string(list_slice(list(CAST(o_orderkey AS VARCHAR) ORDER BY CAST(o_orderkey AS VARCHAR)), 1, 200), chr(31)) AS ids FROM o WHERE prio_n IS NOT NULL GROUP BY 1 ORDER BY total_count DESC, label LIMIT 3"),
+    "pf3_geometry_issues": (bad_rings, f"WITH p AS ({POINTS}) SELECT 'ring' AS field, 'missing geometry' AS issue, 'info' AS severity, count(*) AS rows FROM p WHERE pt_id % 9 = 0 HAVING count(*) > 0 UNION ALL SELECT 'ring', 'invalid geometry', 'warning', count(*) FROM p WHERE pt_id % 9 <> 0 AND v <= 0 HAVING count(*) > 0"),
     "ch2_histogram": (histogram, HIST.format(n=12, facet="1", ctx="o_orderstatus = 'O'") + "SELECT CAST(i AS BIGINT) AS bin, round(lo + i * ((hi - lo) / 12), 3) AS bin_start, (SELECT count(*) FROM r WHERE bin = i) AS total_count, (SELECT count(*) FROM r WHERE bin = i AND inside) AS count FROM b, range(12) t(i)"),
     "ch3_temporal": (temporal, N + ", t AS (SELECT coalesce(prio_n, 'Missing') AS s, count(*) AS n FROM o GROUP BY 1 ORDER BY n DESC, s LIMIT 2), r AS (SELECT date_trunc('quarter', o_orderdate) AS bucket, CASE WHEN coalesce(prio_n, 'Missing') IN (SELECT s FROM t) THEN coalesce(prio_n, 'Missing') ELSE 'Other' END AS series, price_n, o_orderstatus = 'O' AS inside FROM o), c AS (SELECT CAST(bucket AS TIMESTAMP) AS bucket, series, count(*) AS total_count, round(sum(price_n), 2) AS total_value, count(*) FILTER (inside) AS count, round(sum(price_n) FILTER (inside), 2) AS value FROM r GROUP BY 1, 2), f AS (SELECT b AS bucket, series FROM (SELECT unnest(generate_series((SELECT min(bucket) FROM c), (SELECT max(bucket) FROM c), INTERVAL 3 MONTH)) AS b), (SELECT DISTINCT series FROM c)) SELECT f.bucket, f.series, coalesce(total_count, 0) AS total_count, total_value, coalesce(count, 0) AS count, value FROM f LEFT JOIN c USING (bucket, series)"),
     "ch4_grain": (grain, "SELECT CASE WHEN s / 2629746.0 <= 60 THEN 'month' WHEN s / 7889238.0 <= 60 THEN 'quarter' ELSE 'year' END AS grain FROM (SELECT epoch(max(o_orderdate)) - epoch(min(o_orderdate)) AS s FROM orders)"),
     "ch4_buckets": (buckets, "SELECT CAST(b AS TIMESTAMP) AS bucket, CAST(b + INTERVAL 1 MONTH - INTERVAL 1 MILLISECOND AS TIMESTAMP) AS bucket_end FROM (SELECT unnest(generate_series(CAST(date_trunc('month', min(o_orderdate)) AS TIMESTAMP), CAST(max(o_orderdate) AS TIMESTAMP), INTERVAL 1 MONTH)) AS b FROM orders)"),
     "ch5_facets": (facets, N + ", t AS (SELECT o_orderstatus AS facet, count(*) AS n FROM o GROUP BY 1 ORDER BY n DESC, facet LIMIT 2), g AS (SELECT o_orderstatus AS facet, prio_n AS label, count(*) AS total_count, coalesce(sum(price_n), 0) AS total_value, count(*) FILTER (o_totalprice >= 100000) AS count, coalesce(sum(price_n) FILTER (o_totalprice >= 100000), 0) AS value FROM o WHERE prio_n IS NOT NULL AND o_orderstatus IN (SELECT facet FROM t) GROUP BY 1, 2) SELECT facet, label, total_count, round(total_value, 2) AS total_value, count, round(value, 2) AS value FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY total_value DESC, total_count DESC, label) AS k FROM g) WHERE k <= 3"),
     "ch5_facet_histogram": (facet_histogram, HIST.format(n=6, facet="o_orderstatus", ctx="o_totalprice >= 100000") + "SELECT facet AS o_orderstatus, CAST(i AS BIGINT) AS bin, (SELECT count(*) FROM r WHERE bin = i AND r.facet = f.facet) AS total_count, (SELECT count(*) FROM r WHERE bin = i AND r.facet = f.facet AND inside) AS count FROM (SELECT DISTINCT facet FROM r) f, range(6) t(i)"),
-    "ch6_scatter": (scatter, N + "SELECT o_orderkey, TRY_CAST(mixed_txt AS DOUBLE) AS x, round(price_n, 3) AS y, o_orderstatus = 'O' AND o_totalprice >= 100000 AS in_context FROM o WHERE o_orderkey % 2 = 0 AND TRY_CAST(mixed_txt AS DOUBLE) IS NOT NULL AND price_n IS NOT NULL"),
+    "ch6_scatter": (scatter, N + "SELECT o_orderkey, TRY_CAST(mixed_txt AS DOUBLE) AS x, round(price_n, 3) AS y, o_orderstatus = 'O' AND o_totalprice >= 100000 AS in_context FROM o WHERE TRY_CAST(mixed_txt AS DOUBLE) IS NOT NULL AND price_n IS NOT NULL"),
     "snk6_chart_export": (export, N + "SELECT 'Orders by priority' AS chart_title, 'count' AS aggregation, 'status O' AS filters, o_orderpriority AS label, count(*) AS total_count, CAST(count(*) AS DOUBLE) AS total_value, count(*) FILTER (o_orderstatus = 'O') AS count, CAST(count(*) FILTER (o_orderstatus = 'O') AS DOUBLE) AS value FROM o GROUP BY o_orderpriority"),
     "pf2_profile": (profile, N + " ".join(
         (" UNION ALL " if i else "") + f"SELECT '{f}' AS field, '{k}' AS semantic_type, count(*) AS rows, count(*) - count({f}) AS nulls, round((count(*) - count({f})) / count(*), 3) AS null_share, count(DISTINCT {f}) AS distinct_count, round(min({v}), 3) AS min, round(max({v}), 3) AS max, round(avg({v}), 3) AS mean, round(stddev_samp({v}), 3) AS stddev, round(quantile_cont({v}, 0.25), 3) AS q25, round(quantile_cont({v}, 0.5), 3) AS q50, round(quantile_cont({v}, 0.75), 3) AS q75, min({t}) AS first_time, max({t}) AS last_time FROM o"

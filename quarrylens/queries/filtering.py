@@ -52,6 +52,11 @@ def id_selection(spark, sf):
     return fl.select_ids(table(spark, sf, "orders"), ids, "o_custkey").select("o_orderkey")
 
 
+def row_numbers(spark, sf):
+    numbers = table(spark, sf, "customer").select((F.col("c_custkey") * 3).alias("n"))
+    return fl.select_rows(table(spark, sf, "orders"), numbers, "o_orderdate", ["o_orderkey"]).select("o_orderkey")
+
+
 def selection_add(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"))
     c = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
@@ -74,7 +79,8 @@ def record(spark, sf):
 
 
 def join_left(spark, sf):
-    out = jn.attribute_join(table(spark, sf, "customer").where("c_custkey % 3 = 0"), table(spark, sf, "nation").where("n_nationkey < 20"), "c_nationkey", "n_nationkey")
+    keyed = table(spark, sf, "customer").withColumn("k", F.when(F.col("c_custkey") % 3 == 0, 100 + F.col("c_nationkey")).when(F.col("c_custkey") % 3 == 1, F.col("c_nationkey")))
+    out = jn.attribute_join(keyed, table(spark, sf, "nation"), "k", "n_nationkey")  # some keys are null, some are no nation's
     return out.select("c_custkey", "r_n_name")
 
 
@@ -94,12 +100,12 @@ def semi_join(spark, sf):
 
 
 def _years(spark, sf):
+    """All orders in two groups: those of even and of odd years."""
     o = orders_n(spark, sf)
-    years = sorted(r[0] for r in o.select(F.year("o_orderdate").alias("y")).distinct().collect())  # a handful of years
-    return [o.where(F.year("o_orderdate") == y) for y in years[:2]]
+    return [o.where(F.year("o_orderdate") % 2 == 0), o.where(F.year("o_orderdate") % 2 == 1)]
 
 
-YEARS = N + ", y AS (SELECT DISTINCT year(o_orderdate) AS y FROM o ORDER BY 1 LIMIT 2), a AS (SELECT * FROM o WHERE year(o_orderdate) = (SELECT min(y) FROM y)), b AS (SELECT * FROM o WHERE year(o_orderdate) = (SELECT max(y) FROM y)), ka AS (SELECT CAST(o_custkey AS VARCHAR) AS key, sum(price_n) AS v FROM a GROUP BY 1), kb AS (SELECT CAST(o_custkey AS VARCHAR) AS key, sum(price_n) AS v FROM b GROUP BY 1) "
+YEARS = N + ", a AS (SELECT * FROM o WHERE year(o_orderdate) % 2 = 0), b AS (SELECT * FROM o WHERE year(o_orderdate) % 2 = 1), ka AS (SELECT CAST(o_custkey AS VARCHAR) AS key, sum(price_n) AS v FROM a GROUP BY 1), kb AS (SELECT CAST(o_custkey AS VARCHAR) AS key, sum(price_n) AS v FROM b GROUP BY 1) "
 
 
 def aligned(spark, sf):
@@ -152,6 +158,7 @@ QUERIES = {
     "flt8_exclude": (_filter({"type": "range", "field": "price_n", "min": 50000, "mode": "exclude"}), N + "SELECT o_orderkey FROM o WHERE NOT coalesce(price_n >= 50000, FALSE)"),
     "flt9_search": (lambda s, d: fl.search(table(s, d, "part"), "st").select("p_partkey"), "SELECT p_partkey FROM part WHERE CAST(p_partkey AS VARCHAR) ILIKE '%st%' OR p_name ILIKE '%st%' OR p_brand ILIKE '%st%' OR p_type ILIKE '%st%'"),
     "flt10_id_selection": (id_selection, "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)"),
+    "flt10_row_numbers": (row_numbers, "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k IN (SELECT c_custkey * 3 FROM customer)"),
     "flt11_criteria_tag": (criteria_tag, N + f", t AS ({TESTS}) SELECT o_orderkey, NOT (p1 AND p2) AS excluded, nullif(concat_ws(' · ', CASE WHEN NOT p1 THEN 'large' END, CASE WHEN NOT p2 THEN 'open' END, CASE WHEN NOT p3 THEN 'urgent' END), '') AS excluded_by, CAST(CAST(NOT p1 AS INT) + CAST(NOT p2 AS INT) + CAST(NOT p3 AS INT) AS BIGINT) AS excluded_count FROM t"),
     "flt11_criteria_drop": (criteria_drop, N + f", t AS ({TESTS}) SELECT o_orderkey, CASE WHEN NOT p3 THEN 'urgent' END AS excluded_by FROM t WHERE p1 AND p2"),
     "flt12_funnel": (funnel, N + f", t AS ({TESTS}), a AS (SELECT count(*) AS total, count(*) FILTER (NOT p1) AS r1, count(*) FILTER (NOT p2) AS r2, count(*) FILTER (NOT p3) AS r3, count(*) FILTER (p1) AS k1, count(*) FILTER (p1 AND NOT p2) AS h2, count(*) FILTER (p1 AND p2) AS k2 FROM t) SELECT CAST(0 AS BIGINT) AS position, 'large' AS label, TRUE AS hard, total, r1 AS removed_alone, r1 AS removed_here, k1 AS remaining FROM a UNION ALL SELECT 1, 'open', TRUE, total, r2, h2, k2 FROM a UNION ALL SELECT 2, 'urgent', FALSE, total, r3, NULL, NULL FROM a"),
@@ -161,7 +168,7 @@ QUERIES = {
     "flt15_selection_subtract": (selection_subtract, "SELECT o_custkey AS id FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0"),
     "flt17_page": (page, N + "SELECT o_orderkey, round(price_n, 4) AS price_n, (SELECT count(*) FROM o WHERE o_totalprice >= 50000) AS filtered_count FROM (SELECT * FROM o WHERE o_totalprice >= 50000 ORDER BY price_n DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 75)"),
     "flt18_record": (record, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7"),
-    "jn1_left_join": (join_left, "SELECT c_custkey, n_name AS r_n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0"),
+    "jn1_left_join": (join_left, "SELECT c_custkey, n_name AS r_n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_custkey % 3 = 1"),
     "jn1_inner_join": (join_inner, "SELECT c_mktsegment AS r_c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "jn6_membership": (membership, "SELECT o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AS rich, count(*) AS n FROM orders GROUP BY 1"),
     "jn7_materialise_selected": (semi_join, "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)"),

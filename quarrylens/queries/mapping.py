@@ -17,23 +17,23 @@ def _shifted(spark, sf):
 
 
 def _nested(test, outer_left):
-    """The areas against boxes that lie inside some of them."""
+    """The areas against boxes of which every other lies inside one."""
 
     def run(spark, sf):
         a = areas(spark, sf)
-        inner = a.where("area_id % 2 = 0").select("area_id", (F.col("xmin") + 10).alias("xmin"), (F.col("xmax") - 10).alias("xmax"), "ymin", (F.col("ymax") - 5).alias("ymax"))
+        inner = a.select("area_id", (F.col("xmin") + 1).alias("xmin"), (F.col("xmax") - 2).alias("xmax"), "ymin", (F.col("ymax") + (F.col("area_id") % 2) * 4 - 3).alias("ymax"))
         left, right = (a, inner) if outer_left else (inner, a)
         return sp.box_pairs(left, right, 40.0, test).select("area_id", "r_area_id")
 
     return run
 
 
-NESTED = ", i AS (SELECT area_id, xmin + 10 AS xmin, xmax - 10 AS xmax, ymin, ymax - 5 AS ymax FROM a WHERE area_id % 2 = 0) "
+NESTED = ", i AS (SELECT area_id, xmin + 1 AS xmin, xmax - 2 AS xmax, ymin, ymax + (area_id % 2) * 4 - 3 AS ymax FROM a) "
 SHIFTED = "b AS (SELECT area_id AS r_area_id, xmin + 24 AS r_xmin, xmax + 24 AS r_xmax, ymin + 8 AS r_ymin, ymax + 8 AS r_ymax FROM a)"
 
 
 def _point_join(kind, how):
-    return lambda s, d: sp.points_in_boxes(points(s, d), areas(s, d).where("area_id % 4 <> 0"), 30.0, kind, how).select("pt_id", "area_id")
+    return lambda s, d: sp.points_in_boxes(points(s, d), areas(s, d).withColumn("xmax", F.col("xmax") - 3), 30.0, kind, how).select("pt_id", "area_id")
 
 
 def ring_join(spark, sf):
@@ -43,7 +43,7 @@ def ring_join(spark, sf):
 
 def distance_join(spark, sf):
     p = points(spark, sf)
-    out = sp.within_distance(p.where("pt_id % 2 = 0").select("pt_id", "x", "y"), p.where("pt_id % 2 = 1").select("pt_id", "x", "y"), 6.0)
+    out = sp.within_distance(p.select("pt_id", "x", "y"), p.select("pt_id", "x", "y"), 6.0).where("pt_id < r_pt_id")
     return rounded(out.select("pt_id", "r_pt_id", "distance"), 6)
 
 
@@ -75,15 +75,16 @@ def common(spark, sf):
 
 
 def dissolve(spark, sf):
-    a = areas(spark, sf).withColumn("grp", F.expr("CAST(floor(area_id / 10.0) AS BIGINT)"))
+    a = areas(spark, sf).withColumn("grp", F.expr("CAST(floor(area_id / 9.0) AS BIGINT)"))
     edges = sp.dissolve(a.withColumn("ring", sp.box_ring()), "ring", "grp")
     return rounded(edges.groupBy("grp").agg(F.count("*").alias("edges"), F.sum(F.abs(F.col("bx") - F.col("ax")) + F.abs(F.col("by") - F.col("ay"))).alias("perimeter")), 4)
 
 
 def stitched(spark, sf):
-    a = areas(spark, sf).withColumn("ring", sp.box_ring())
-    rings = sp.stitch_rings(sp.dissolve(a, "ring", "area_id"), "area_id")
-    return rounded(sp.ring_metrics(rings, "ring", "area_id").select("area_id", "area", "vertices"), 4)
+    """Strips of nine neighbours, each dissolved into one ring."""
+    a = areas(spark, sf).select(F.expr("CAST(floor(area_id / 9.0) AS BIGINT)").alias("grp"), sp.box_ring().alias("ring"))
+    rings = sp.stitch_rings(sp.dissolve(a, "ring", "grp"), "grp")
+    return rounded(sp.ring_metrics(rings, "ring", "grp").select("grp", "area", "vertices"), 4)
 
 
 def metrics(spark, sf):
@@ -151,10 +152,10 @@ BOX = {"intersects": "xmin <= r_xmax AND xmax >= r_xmin AND ymin <= r_ymax AND y
 LAT = "degrees(atan(sinh(pi() * (1 - 2 * ({y}) / {n}))))"
 
 QUERIES = {
-    "jn2_points_intersect": (_point_join("intersects", "left"), R + "SELECT pt_id, area_id FROM p LEFT JOIN (SELECT * FROM a WHERE area_id % 4 <> 0) ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax"),
-    "jn2_points_within": (_point_join("within", "inner"), R + "SELECT pt_id, area_id FROM p JOIN (SELECT * FROM a WHERE area_id % 4 <> 0) ON x > xmin AND x < xmax AND y > ymin AND y < ymax"),
+    "jn2_points_intersect": (_point_join("intersects", "left"), R + "SELECT pt_id, area_id FROM p LEFT JOIN (SELECT area_id, xmin, xmax - 3 AS xmax, ymin, ymax FROM a) ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax"),
+    "jn2_points_within": (_point_join("within", "inner"), R + "SELECT pt_id, area_id FROM p JOIN (SELECT area_id, xmin, xmax - 3 AS xmax, ymin, ymax FROM a) ON x > xmin AND x < xmax AND y > ymin AND y < ymax"),
     "sp1_points_in_rings": (ring_join, R + "SELECT area_id, count(*) AS n FROM p JOIN a ON x > xmin AND x < xmax AND y > ymin AND y < ymax GROUP BY 1"),
-    "jn3_within_distance": (distance_join, P + "SELECT l.pt_id, r.pt_id AS r_pt_id, round(sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)), 6) AS distance FROM p l JOIN p r ON l.pt_id % 2 = 0 AND r.pt_id % 2 = 1 AND sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)) <= 6"),
+    "jn3_within_distance": (distance_join, P + "SELECT l.pt_id, r.pt_id AS r_pt_id, round(sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)), 6) AS distance FROM p l JOIN p r ON l.pt_id < r.pt_id AND sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)) <= 6"),
     "sp2_great_circle": (great_circle, P + "SELECT pt_id, round(2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(51.5 - y) / 2), 2) + cos(radians(y)) * cos(radians(51.5)) * pow(sin(radians(0 - x) / 2), 2))), 3) AS metres FROM p"),
     "jn4_boxes_intersect": (_box_pairs("intersects"), R + f", {SHIFTED} SELECT area_id, r_area_id FROM a JOIN b ON {BOX['intersects']}"),
     "jn4_boxes_overlap": (_box_pairs("overlaps"), R + f", {SHIFTED} SELECT area_id, r_area_id FROM a JOIN b ON {BOX['overlaps']}"),
@@ -163,11 +164,11 @@ QUERIES = {
     "jn4_boxes_contain": (_nested("contains", True), R + NESTED + "SELECT a.area_id, i.area_id AS r_area_id FROM a JOIN i ON i.xmin >= a.xmin AND i.xmax <= a.xmax AND i.ymin >= a.ymin AND i.ymax <= a.ymax"),
     "jn4_boxes_disjoint": (disjoint, R + f", {SHIFTED} SELECT area_id, count(*) FILTER (NOT ({BOX['intersects']})) AS disjoint FROM a, b GROUP BY 1"),
     "jn5_box_overlay": (overlay, R + f", {SHIFTED} SELECT area_id, r_area_id, round((least(xmax, r_xmax) - greatest(xmin, r_xmin)) * (least(ymax, r_ymax) - greatest(ymin, r_ymin)), 4) AS area FROM a JOIN b ON {BOX['overlaps']}"),
-    "sp3_box_equals": (lambda s, d: sp.box_pairs(areas(s, d), areas(s, d), 40.0, "equals").select("area_id", "r_area_id"), R + "SELECT area_id, area_id AS r_area_id FROM a"),
+    "sp3_box_equals": (lambda s, d: sp.box_pairs(areas(s, d), areas(s, d), 40.0, "equals").select("area_id", "r_area_id"), R + "SELECT l.area_id, r.area_id AS r_area_id FROM a l JOIN a r USING (xmin, ymin, xmax, ymax)"),
     "sp4_extents": (extents, P + "SELECT pt_id % 7 AS g, round(min(x), 4) AS xmin, round(min(y), 4) AS ymin, round(max(x), 4) AS xmax, round(max(y), 4) AS ymax, count(*) AS n FROM p GROUP BY 1"),
     "ag3_common_box": (common, R + "SELECT grp, max(xmin) - 200 AS xmin, max(ymin) - 90 AS ymin, min(xmax) + 200 AS xmax, min(ymax) + 90 AS ymax FROM a GROUP BY 1 HAVING max(xmin) - 200 <= min(xmax) + 200 AND max(ymin) - 90 <= min(ymax) + 90"),
-    "sp5_dissolve": (dissolve, R + ", e AS (SELECT CAST(floor(area_id / 10.0) AS BIGINT) AS grp, unnest([{'ax': xmin, 'ay': ymin, 'bx': xmax, 'by': ymin}, {'ax': xmax, 'ay': ymin, 'bx': xmax, 'by': ymax}, {'ax': xmin, 'ay': ymax, 'bx': xmax, 'by': ymax}, {'ax': xmin, 'ay': ymin, 'bx': xmin, 'by': ymax}]) AS s FROM a), o AS (SELECT grp, s FROM e GROUP BY 1, 2 HAVING count(*) = 1) SELECT grp, count(*) AS edges, round(sum(abs(s.bx - s.ax) + abs(s.by - s.ay)), 4) AS perimeter FROM o GROUP BY 1"),
-    "sp5_stitched_rings": (stitched, R + "SELECT area_id, round((xmax - xmin) * (ymax - ymin), 4) AS area, CAST(4 AS BIGINT) AS vertices FROM a"),
+    "sp5_dissolve": (dissolve, R + ", e AS (SELECT CAST(floor(area_id / 9.0) AS BIGINT) AS grp, unnest([{'ax': xmin, 'ay': ymin, 'bx': xmax, 'by': ymin}, {'ax': xmax, 'ay': ymin, 'bx': xmax, 'by': ymax}, {'ax': xmin, 'ay': ymax, 'bx': xmax, 'by': ymax}, {'ax': xmin, 'ay': ymin, 'bx': xmin, 'by': ymax}]) AS s FROM a), o AS (SELECT grp, s FROM e GROUP BY 1, 2 HAVING count(*) = 1) SELECT grp, count(*) AS edges, round(sum(abs(s.bx - s.ax) + abs(s.by - s.ay)), 4) AS perimeter FROM o GROUP BY 1"),
+    "sp5_stitched_rings": (stitched, R + "SELECT CAST(floor(area_id / 9.0) AS BIGINT) AS grp, round(sum((xmax - xmin) * (ymax - ymin)), 4) AS area, 2 * count(*) + 2 AS vertices FROM a GROUP BY 1"),
     "sp6_metrics": (metrics, R + "SELECT area_id, round((xmax - xmin) * (ymax - ymin), 6) AS area, round(2 * (xmax - xmin + ymax - ymin), 6) AS perimeter, round((xmin + xmax) / 2, 6) AS centroid_x, round((ymin + ymax) / 2, 6) AS centroid_y, CAST(4 AS BIGINT) AS vertices FROM a"),
     "sp7_hexbins": (hexbins, P + ", " + HEX),
     "sp8_cells": (cells, P + ", " + _quadkey_sql(4) + " SELECT cell, count(*) AS n, round(sum(v), 2) AS total, round(avg(v), 5) AS mean FROM k GROUP BY 1"),

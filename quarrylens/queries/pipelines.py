@@ -108,6 +108,27 @@ def claims(spark, sf):
     return rounded(tx.match_claims(table(spark, sf, "benchmark"), lines, "item_id", "line_id").select(F.col("left_id").alias("item_id"), F.col("right_id").alias("line_id"), "similarity"), 6)
 
 
+def claim_statuses(spark, sf):
+    """Claims of the benchmark against lines of the documents; the verdict is the length of a text, or a draft."""
+    verdict = lambda key: F.when(F.col(key) % 3 == 0, "draft").when(F.length("text") % 2 == 0, "even").otherwise("odd").alias("verdict")
+    left = table(spark, sf, "benchmark").select("item_id", "text", verdict("item_id"))
+    right = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select((F.col("doc_id") * 100000 + F.col("pos")).alias("line_id"), "text")
+    right = right.select("line_id", "text", verdict("line_id"))
+    matches = tx.match_claims(left, right, "item_id", "line_id")
+    return tx.claim_status(left, right, matches, "item_id", "line_id", "verdict").groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("left_id").alias("claims"))
+
+
+def coalesced_stream(spark, sf):
+    """The stream form, run to the end of the input; runs close with the watermark."""
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select("user_id", "event_type", "ts", "event_id")
+    path = folder(spark)
+    runs = st.coalesce_stream(events, "user_id", "event_type", "ts", 3600)
+    query = runs.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).outputMode("append").start()
+    query.awaitTermination()
+    return spark.read.parquet(path).select("user_id", "event_type", F.col("ts").alias("last_ts"), "run_length")
+
+
 TOKENS = "list_distinct(list_filter(string_split(regexp_replace(lower(coalesce({t}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "], w)))"
 
 QUERIES = {
@@ -123,5 +144,7 @@ QUERIES = {
     "ev1_coalesce": (coalesced, "SELECT event_id FROM (SELECT *, lead(event_type) OVER w AS nk, lead(ts) OVER w AS nt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE NOT coalesce(nk = event_type AND nt - ts <= INTERVAL 1 HOUR, FALSE)"),
     "ev2_touching": (touching, "SELECT event_id FROM events WHERE event_id % 50 = 7"),
     "ev3_stream_windows": (stream, "SELECT window_start, event_type, n FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"),
+    "ev1_coalesce_stream": (coalesced_stream, "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)), r AS (SELECT *, sum(opens) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g), e AS (SELECT user_id, event_type, max(ts) AS last_ts, count(*) AS run_length FROM r GROUP BY user_id, event_type, run) SELECT * FROM e WHERE last_ts + INTERVAL 1 HOUR + INTERVAL 1 MICROSECOND <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"),
     "tx1_claims": (claims, f"WITH l AS (SELECT item_id, {TOKENS.format(t='text')} AS a FROM benchmark), s AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), r AS (SELECT doc_id * 100000 + i AS line_id, {TOKENS.format(t='parts[i + 1]')} AS b FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM s)), p AS (SELECT item_id, line_id, len(list_intersect(a, b)) AS k, len(a) AS na, len(b) AS nb FROM l, r WHERE len(a) > 0 AND len(b) > 0), q AS (SELECT *, k / (na + nb - k) AS similarity FROM p WHERE k / (na + nb - k) >= 0.4), t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, line_id) AS n FROM q) SELECT item_id, line_id, round(similarity, 6) AS similarity FROM t WHERE n = 1"),
+    "tx1_claim_status": (claim_statuses, f"WITH l AS (SELECT item_id, text AS lt, {TOKENS.format(t='text')} AS a FROM benchmark), s AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), r AS (SELECT doc_id * 100000 + i AS line_id, parts[i + 1] AS rt, {TOKENS.format(t='parts[i + 1]')} AS b FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM s)), p AS (SELECT item_id, line_id, len(list_intersect(a, b)) AS k, len(a) AS na, len(b) AS nb FROM l, r WHERE len(a) > 0 AND len(b) > 0), q AS (SELECT *, k / (na + nb - k) AS similarity FROM p WHERE k / (na + nb - k) >= 0.4), t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, line_id) AS n FROM q), m AS (SELECT item_id, line_id FROM t WHERE n = 1), lv AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'draft' WHEN length(lt) % 2 = 0 THEN 'even' ELSE 'odd' END AS va FROM l), rv AS (SELECT line_id, CASE WHEN line_id % 3 = 0 THEN 'draft' WHEN length(rt) % 2 = 0 THEN 'even' ELSE 'odd' END AS vb FROM r), j AS (SELECT lv.item_id, rv.line_id, CASE WHEN lv.item_id IS NULL THEN 'only-right' WHEN rv.line_id IS NULL THEN 'only-left' WHEN va <> vb AND va <> 'draft' AND vb <> 'draft' THEN 'conflict' ELSE 'agreement' END AS status FROM (lv LEFT JOIN m USING (item_id)) FULL JOIN rv USING (line_id)) SELECT status, count(*) AS n, count(DISTINCT item_id) AS claims FROM j GROUP BY 1"),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylens.operators import charts as ch
+from quarrylens.operators import filters as fl
 from quarrylens.operators import ranking as rk
 from quarrylens.operators import score as sc
 from quarrylens.queries.inputs import ORDERS_N, orders_n, rounded, table
@@ -76,6 +77,10 @@ def _allocate(mode, *columns):
     return lambda spark, sf: rounded(sc.allocate(orders_n(spark, sf).withColumn("price_n", F.expr("CAST(floor(price_n) AS DOUBLE)")), "price_n", 3e7, "o_orderdate", ["o_orderkey"], mode, partition=["o_orderstatus"]).select("o_orderkey", *columns), 1)
 
 
+def text_ranks(spark, sf):
+    return rk.rank(table(spark, sf, "documents").select("doc_id", "text"), "text", "r").select("doc_id", "r")
+
+
 def label(spark, sf):
     c = table(spark, sf, "customer")
     return spark.range(1).select(F.lit(sc.label_column(c, "c_custkey")).alias("label_column"), F.lit(c.count()).cast("long").alias("rows"))
@@ -105,6 +110,7 @@ QUERIES = {
     "rk1_row_number": (row_numbers, "SELECT l_partkey, row_number() OVER (ORDER BY n DESC, l_partkey) AS k FROM (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1)"),
     "rk2_rank": (ranks, N + "SELECT o_orderkey, rank() OVER (ORDER BY price_n DESC NULLS LAST) AS r FROM o"),
     "rk2_rank_ties": (tied_ranks, "SELECT l_quantity, r, count(*) AS n FROM (SELECT l_quantity, rank() OVER (ORDER BY l_quantity DESC) AS r FROM lineitem) GROUP BY 1, 2"),
+    "rk2_rank_texts": (text_ranks, "SELECT doc_id, rank() OVER (ORDER BY text DESC NULLS LAST) AS r FROM documents"),
     "rk3_percent_rank": (percent_ranks, N + "SELECT o_orderkey, round(percent_rank() OVER (ORDER BY price_n ASC NULLS LAST), 8) AS p FROM o"),
     "rk4_over_all": (over_all, N + "SELECT o_orderkey, round((price_n - min(price_n) OVER ()) / (max(price_n) OVER () - min(price_n) OVER ()), 6) AS share, round((price_n - avg(price_n) OVER ()) / stddev_pop(price_n) OVER (), 6) AS z FROM o"),
     "rk5_running_sum": (running, "SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM orders"),
@@ -122,8 +128,8 @@ QUERIES = {
     "al1_allocate_flag": (_allocate("flag", "cumulative_price_n", "price_n_status"), ALLOC + "SELECT o_orderkey, round(cum, 1) AS cumulative_price_n, CASE WHEN cum <= 3e7 THEN 'within' ELSE 'over' END AS price_n_status FROM c"),
     "al2_allocate_cut": (_allocate("cut", "cumulative_price_n"), ALLOC + "SELECT o_orderkey, round(cum, 1) AS cumulative_price_n FROM c WHERE cum <= 3e7"),
     "al3_allocate_scale": (_allocate("scale", "allocated_price_n"), ALLOC + "SELECT o_orderkey, round(least(a, greatest(0, 3e7 - (cum - a))), 1) AS allocated_price_n FROM c"),
-    "st1_sorted_page": (lambda s, d: orders_n(s, d).orderBy(F.asc_nulls_last("prio_n"), "o_orderkey").limit(500).select("o_orderkey", "prio_n"), N + "SELECT o_orderkey, prio_n FROM o ORDER BY prio_n ASC NULLS LAST, o_orderkey LIMIT 500"),
-    "st2_result_cap": (lambda s, d: table(s, d, "lineitem").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").limit(5000).select("l_orderkey", "l_linenumber", "l_partkey"), "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5000"),
+    "st1_sorted_page": (lambda s, d: fl.ordered(orders_n(s, d), "prio_n", "o_orderkey", most=500).select("o_orderkey", "prio_n"), N + "SELECT o_orderkey, prio_n FROM o ORDER BY prio_n ASC NULLS LAST, o_orderkey LIMIT 500"),
+    "st2_result_cap": (lambda s, d: fl.ordered(table(s, d, "events"), "ts", "event_id", descending=True).select("event_id", "ts"), "SELECT event_id, ts FROM events ORDER BY ts DESC NULLS LAST, event_id LIMIT 5000"),
     "st3_top_groups": (lambda s, d: ch.top_groups(orders_n(s, d), "prio_n", 4), N + "SELECT prio_n AS label, count(*) AS count FROM o GROUP BY 1 ORDER BY count DESC, label NULLS LAST LIMIT 4"),
     "st4_top_and_other": (lambda s, d: ch.top_and_other(table(s, d, "part"), "p_brand", 5).select("label", "count"), "WITH c AS (SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS k FROM part GROUP BY 1) SELECT CASE WHEN k <= 5 THEN p_brand ELSE 'Other' END AS label, CAST(sum(n) AS BIGINT) AS count FROM c GROUP BY 1"),
     "st5_sample": (seeded, None),

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quarrylens.functions.casts import normalised_types, public_columns
+from quarrylens.functions.casts import column_subset, normalised_types, public_columns
 from quarrylens.operators import profile as pf
 from quarrylens.operators.filters import filtered, search
 from quarrylens.queries.inputs import AREAS, ORDERS_N, POINTS, areas, orders_n, points, rounded, table
@@ -101,7 +101,7 @@ def ring_wkt(spark, sf):
 
 
 def lines(spark, sf):
-    rows = io.geojson_lines(points(spark, sf).where("pt_id <= 50").select("pt_id", "x", "y"), "x", "y")
+    rows = io.geojson_lines(points(spark, sf).select("pt_id", "x", "y"), "x", "y")
     return rows.select(F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.properties.pt_id").cast("long").alias("pt_id"), F.get_json_object("value", "$.geometry.type").alias("geometry"))
 
 
@@ -137,7 +137,7 @@ QUERIES = {
     "src4_json_rows": (json_rows, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation"),
     "src5_geojson": (geojson, f"SELECT pt_id, 'Point' AS geometry_type, round(x, 6) AS x, round(y, 6) AS y FROM ({POINTS})"),
     "src7_area_read": (area_read, f"SELECT area_id FROM ({AREAS}) WHERE xmin <= 40 AND xmax >= -50 AND ymin <= 20 AND ymax >= -40"),
-    "src8_inspect": (inspect, "SELECT f AS field, (SELECT count(*) FROM nation) AS rows, TRUE AS area_pushdown FROM (VALUES ('area_id'), ('bbox')) t(f)"),
+    "src8_inspect": (inspect, "SELECT f AS field, (SELECT count(*) FROM supplier) AS rows, TRUE AS area_pushdown FROM (VALUES ('area_id'), ('bbox')) t(f)"),
     "src9_named_relation": (named, "SELECT * FROM region"),
     "src10_list_tables": (listing, "SELECT 'listed_region' AS name, 'r_regionkey,r_name' AS columns"),
     "src11_proven_row_id": (proven_id, "SELECT 'o_orderkey' AS row_id, 'validated-unique' AS quality, count(DISTINCT o_orderkey) AS ids FROM orders"),
@@ -145,12 +145,12 @@ QUERIES = {
     "src12_cell_column": (cell_column, "SELECT 'cell' AS found, count(*) AS rows FROM orders"),
     "snk1_parquet": (round_trip("parquet"), BRANDS),
     "snk1_json": (round_trip("json"), BRANDS),
-    "snk2_geojson_lines": (lines, "SELECT 'Feature' AS type, c_custkey AS pt_id, 'Point' AS geometry FROM customer WHERE c_custkey <= 50"),
+    "snk2_geojson_lines": (lines, "SELECT 'Feature' AS type, c_custkey AS pt_id, 'Point' AS geometry FROM customer"),
     "snk3_csv_wkt": (wkt, f"SELECT pt_id, 'POINT (' || {NUM.format('x')} || ' ' || {NUM.format('y')} || ')' AS geometry_wkt FROM ({POINTS})"),
     "snk3_ring_wkt": (ring_wkt, "SELECT area_id, 'POLYGON ((' || " + " || ', ' || ".join(f"{NUM.format(x)} || ' ' || {NUM.format(y)}" for x, y in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin"))) + f" || '))' AS geometry_wkt FROM ({AREAS})"),
     "snk4_materialise": (materialised, "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1"),
     "snk5_export_view": (exported, f"SELECT o_orderkey, round(price_n, 4) AS price_n FROM ({ORDERS_N}) WHERE price_n >= 200000 AND prio_n ILIKE '%high%'"),
-    "prj3_subset": (lambda s, d: table(s, d, "part").select("p_partkey", "p_brand"), "SELECT p_partkey, p_brand FROM part"),
+    "prj3_subset": (lambda s, d: column_subset(table(s, d, "part").withColumn("geom", F.lit(None).cast("string")), ["p_brand", "p_partkey"]), "SELECT p_partkey, p_brand, CAST(NULL AS VARCHAR) AS geom FROM part"),
     "prj4_normalised_types": (types, "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS price, CAST(o_custkey AS INT) AS small FROM orders"),
     "prj5_public_columns": (public, "SELECT * FROM region"),
 }

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,4 +237,101 @@ def test_claims_find_every_best_pair(spark):
     a = spark.createDataFrame([(1, "red fox jumps over lazy dogs"), (2, "nothing alike here"), (3, None), (4, "red fox jumps")], "id int, text string")
     b = spark.createDataFrame([(7, "Red fox jumps, lazy dogs!"), (8, "red fox"), (9, "")], "id int, text string")
     got = {(r.left_id, r.right_id, round(r.similarity, 3), r.mutual) for r in text.match_claims(a, b, "id", "id").collect()}
-    assert got == {(1, 7, 1.0, True), (4, 8, 0.667, True)}
+    assert got == {(1, 7, 0.833, True), (4, 8, 0.667, True)}
+
+
+def test_time_buckets_are_never_cut(spark):
+    df = spark.range(3000).select(F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("t"))
+    assert charts.temporal_chart(df, "t", [], grain="hour").agg(F.sum("total_count")).first()[0] == 3000
+    for grain, n in (("hour", 3000), ("day", 125), ("week", 19), ("month", 5), ("quarter", 2), ("year", 1)):
+        found = charts.time_buckets(df, "t", grain).orderBy("bucket").collect()
+        assert len(found) == n and all(a.bucket_end < b.bucket for a, b in zip(found, found[1:], strict=False))
+
+
+def test_text_ranks_beyond_the_basic_plane(spark):
+    import random
+
+    rng = random.Random(3)
+    letters = "ab\uffff\U00010000\U0001f600\U0010ffff"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(5))) for _ in range(1500)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    order = sorted((t for t in texts if t is not None), key=lambda t: t.encode())
+    first = {t: order.index(t) + 1 for t in set(order)} | {None: len(order) + 1}
+    for per in (None, 40):
+        got = {r.k: r.r for r in ranking.rank(df, "t", "r", descending=False, rows_per_bucket=per).collect()}
+        assert all(got[i] == first[t] for i, t in enumerate(texts))
+        cum = ranking.running_sum(df, F.lit(1), "t", ["k"], "n", descending=False, rows_per_bucket=per).orderBy("n").collect()
+        assert [r.t for r in cum] == [*order, None] and [r.n for r in cum] == list(range(1, len(texts) + 1))
+
+
+def test_order_statistics_against_numpy(spark):
+    import numpy as np
+
+    from quarrylens.operators.orderstat import order_statistics
+
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 7 == 0 else int(i % 3), None if i % 11 == 0 else float(rng.integers(0, 40)) if i % 3 else 5.0) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    points, names = (0.0, 0.1, 0.5, 0.77, 1.0), ["a", "b", "c", "d", "e"]
+    by = {r.g: [r[n] for n in names] for r in order_statistics(df, ["g"], F.col("v"), points, names).collect()}
+    for g in (None, 0, 1, 2):
+        assert np.allclose(by[g], np.quantile([v for k, v in rows if k == g and v is not None], points))
+    disc = order_statistics(df, [], F.col("v"), points, names, discrete=True).first()
+    assert np.allclose(list(disc), np.quantile([v for _, v in rows if v is not None], points, method="inverted_cdf"))
+    plain = plan(summarise.summarise(df, ["g"], [{"fn": "median", "field": "v"}, {"fn": "count_distinct", "field": "v"}, {"fn": "count_distinct", "field": "g"}]))
+    assert "percentile(" not in plain and "median(" not in plain and "Expand" not in plain
+    assert order_statistics(df.limit(0), [], F.col("v"), points, names).first()[0] is None
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    df = spark.range(5000).repartition(7)
+    want = sorted(df.select(F.xxhash64(F.col("id"), F.lit(7)).alias("h"), "id").collect())[:300]
+    assert sorted(r.id for r in charts.sample(df, "id", 300, 7).collect()) == sorted(r.id for r in want)
+
+
+def test_sweep_reports_what_fails_while_running(spark):
+    from quarrylens.plans.recipes import sweep
+
+    out, failed = sweep({"good": {"x": 1}, "bad": {"x": 0}, "worse": {"y": 1}}, lambda x: spark.range(3).select(F.expr(f"assert_true({x} = 1 OR id < 0)").alias("ok")))
+    assert set(failed) == {"bad", "worse"} and out.count() == 3
+
+
+def test_column_subset_and_rows_by_number(spark):
+    from quarrylens.functions.casts import column_subset
+
+    df = spark.createDataFrame([(i, (i * 7) % 10, None) for i in range(10)], "id int, v int, geometry string")
+    assert column_subset(df, ["v"]).columns == ["v", "geometry"]
+    for wrong in ([], ["nothing"]):
+        with pytest.raises(ValueError, match="column"):
+            column_subset(df, wrong)
+    numbers = spark.createDataFrame([(1,), (3,), (99,), (None,)], "n int")
+    assert sorted(r.v for r in filters.select_rows(df, numbers, "v", ["id"]).collect()) == [0, 2]
+    assert [r.v for r in filters.ordered(df, "v", "id", descending=True, most=2).collect()] == [9, 8]
+
+
+def test_drafts_are_in_no_conflict(spark):
+    left = spark.createDataFrame([(1, "draft"), (2, "yes"), (3, "yes"), (4, "yes"), (5, None)], "a int, s string")
+    right = spark.createDataFrame([(11, "no"), (12, "no"), (13, "yes"), (14, "draft"), (15, "no"), (16, "no")], "b int, s string")
+    pairs = spark.createDataFrame([(1, 11), (2, 12), (3, 13), (4, 14), (5, 15)], "left_id int, right_id int")
+    got = {(r.left_id, r.right_id): r.status for r in text.claim_status(left, right, pairs, "a", "b", "s").collect()}
+    assert got == {(1, 11): "agreement", (2, 12): "conflict", (3, 13): "agreement", (4, 14): "agreement", (5, 15): "agreement", (None, 16): "only-right"}
+
+
+def test_claims_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(9)
+    words = "river stone cloud amber field winter the and of not copper lantern".split()
+    make = lambda n, at: [(at + i, " ".join(rng.choices(words, k=rng.randrange(7)))) for i in range(n)]
+    a, b = make(60, 0) + [(900, "river stone"), (901, "stone, RIVER!")], make(80, 1000) + [(1900, "stone river"), (1901, "river stone")]
+    cut = lambda t: {w for w in re.findall("[a-z]+", t.lower()) if len(w) > 2 and w not in text.STOP_WORDS}
+    sim = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    got = {r.left_id: r for r in text.match_claims(spark.createDataFrame(a, "i int, text string"), spark.createDataFrame(b, "j int, text string"), "i", "j").collect()}
+    for i, t in a:
+        best = max(((sim(cut(t), cut(u)), -j) for j, u in b), default=(0, 0))
+        if best[0] < 0.4:
+            assert i not in got
+            continue
+        assert got[i].right_id == -best[1] and abs(got[i].similarity - best[0]) < 1e-9
+        back = max((sim(cut(x), cut(dict(b)[-best[1]])), -k) for k, x in a)
+        assert got[i].mutual == (-back[1] == i)

@@ -40,13 +40,13 @@ def test_rest_stands_without_llm(tmp_path):
     assert out.stdout.split() == sorted(QUERIES)
 
 
-def test_shared_folder(spark):
+def test_shared_folder(spark, monkeypatch):
     from quarrylens.sources import shared
 
-    before = spark.conf.get("spark.checkpoint.dir")
+    before = shared.shared_dir(spark)
     with shared.scratch(spark) as path:
         assert shared.written(spark.range(3), "t").count() == 3 and os.listdir(path)
-    assert not os.path.exists(path) and spark.conf.get("spark.checkpoint.dir") == before
+    assert not os.path.exists(path) and shared.shared_dir(spark) == before == spark.conf.get("spark.checkpoint.dir")
 
     class Conf:
         def get(self, key, default=None):
@@ -57,3 +57,6 @@ def test_shared_folder(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared.shared_dir(Cluster())
+    monkeypatch.setattr(shared, "_own", [])
+    monkeypatch.setattr(Conf, "get", lambda self, key, default=None: {"spark.master": "local[2]"}.get(key, default))
+    assert os.path.isdir(shared.shared_dir(Cluster())) and shared.shared_dir(Cluster()) == shared.shared_dir(Cluster())
