@@ -12,8 +12,8 @@ TILES = "greatest(0, least({n} - 1, floor((x + 180) / 360 * {n})))", "greatest(0
 
 
 def _shifted(spark, sf):
-    """The areas moved by a third of their width, so that boxes overlap across borders."""
-    return areas(spark, sf).select("area_id", "grp", (F.col("xmin") + 24).alias("xmin"), (F.col("xmax") + 24).alias("xmax"), (F.col("ymin") + 8).alias("ymin"), (F.col("ymax") + 8).alias("ymax"))
+    """The areas moved by parts of their width and height, so that boxes overlap across borders."""
+    return areas(spark, sf).select("area_id", "grp", (F.col("xmin") + 27).alias("xmin"), (F.col("xmax") + 27).alias("xmax"), (F.col("ymin") + 3).alias("ymin"), (F.col("ymax") + 3).alias("ymax"))
 
 
 def _nested(test, outer_left):
@@ -29,7 +29,7 @@ def _nested(test, outer_left):
 
 
 NESTED = ", i AS (SELECT area_id, xmin + 1 AS xmin, xmax - 2 AS xmax, ymin, ymax + (area_id % 2) * 4 - 3 AS ymax FROM a) "
-SHIFTED = "b AS (SELECT area_id AS r_area_id, xmin + 24 AS r_xmin, xmax + 24 AS r_xmax, ymin + 8 AS r_ymin, ymax + 8 AS r_ymax FROM a)"
+SHIFTED = "b AS (SELECT area_id AS r_area_id, xmin + 27 AS r_xmin, xmax + 27 AS r_xmax, ymin + 3 AS r_ymin, ymax + 3 AS r_ymax FROM a)"
 
 
 def _point_join(kind, how):
