@@ -17,9 +17,12 @@ MEAN_EARTH = 6371008.8
 MAX_LATITUDE = 85.05112878
 
 
-def _cells(x0: Column, x1: Column, y0: Column, y1: Column, size: float) -> Column:
-    at = lambda v: F.floor(v / size)
-    return F.explode(F.flatten(F.transform(F.sequence(at(x0), at(x1)), lambda i: F.transform(F.sequence(at(y0), at(y1)), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
+def _on_cells(df: DataFrame, prefix: str, size: float) -> DataFrame:
+    """A row for each grid cell that the row's box meets, as ``__cell``. Columns are split first, then rows, so a large box
+    never holds all its cells in one array."""
+    at = lambda c: F.floor(F.col(f"{prefix}{c}") / size)
+    wide = df.withColumn("__i", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("__j", F.explode(F.sequence(at("ymin"), at("ymax"))))
+    return wide.withColumn("__cell", F.struct(F.col("__i").alias("i"), F.col("__j").alias("j"))).drop("__i", "__j")
 
 
 def in_ring(ring: Column, x: Column, y: Column) -> Column:
@@ -53,7 +56,7 @@ def point_in_box(kind: str) -> Column:
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float, kind: str = "intersects", how: str = "left", row_id: str = "pt_id", ring: str | None = None) -> DataFrame:
     """Each point with the boxes (or rings within them) it lies in. A point has one cell, so no pair comes up twice."""
-    right = boxes.select("*", _cells(F.col("xmin"), F.col("xmax"), F.col("ymin"), F.col("ymax"), cell).alias("__cell"))
+    right = _on_cells(boxes, "", cell)
     left = points.withColumn("__cell", F.struct(F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j")))
     test = point_in_box(kind)
     if ring:
@@ -100,8 +103,7 @@ BOX_TESTS |= {"covers": BOX_TESTS["contains"], "coveredby": BOX_TESTS["within"]}
 def box_pairs(left: DataFrame, right: DataFrame, cell: float, test: str = "intersects", id_left: str = "area_id", id_right: str = "area_id") -> DataFrame:
     """Pairs of boxes for which the test holds; every test but disjoint needs a common point, so a common cell."""
     right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    box = lambda p: _cells(*(F.col(f"{p}{c}") for c in ("xmin", "xmax", "ymin", "ymax")), cell).alias("__cell")
-    pairs = left.select("*", box("")).join(right.select("*", box("r_")), "__cell").where(BOX_TESTS[test])
+    pairs = _on_cells(left, "", cell).join(_on_cells(right, "r_", cell), "__cell").where(BOX_TESTS[test])
     return pairs.drop("__cell").dropDuplicates([id_left, f"r_{id_right}"])
 
 

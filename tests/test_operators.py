@@ -190,6 +190,23 @@ def test_events_gap_is_inclusive(spark):
     assert sorted(r.id for r in events.coalesce_events(df, "u", "k", "ts", "id", 0.7).collect()) == [2, 3, 4, 5]
 
 
+def test_events_across_spans_equal_one_window(spark):
+    import random
+
+    rng, base = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = [(i, i % 3 if i % 9 else None, rng.choice("ab"), None if i % 17 == 0 else base + dt.timedelta(seconds=rng.randrange(400))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, u int, k string, ts timestamp_ntz")
+    kept = []
+    for u in (0, 1, 2, None):
+        log = sorted((r for r in rows if r[1] == u and r[3]), key=lambda r: (r[3], r[0]))
+        kept += [r[0] for r in rows if r[1] == u and not r[3]]
+        kept += [r[0] for r, n in zip(log, [*log[1:], None], strict=True) if not (n and n[2] == r[2] and (n[3] - r[3]).total_seconds() <= 5)]
+    for span in (1, 7, 1000):
+        out = events.coalesce_events(df, "u", "k", "ts", "id", 5, span)
+        assert out.columns == df.columns and sorted(r.id for r in out.collect()) == sorted(kept)
+    assert events.coalesce_events(df.limit(0), "u", "k", "ts", "id", 5).count() == 0
+
+
 def test_event_stream(spark, tmp_path):
     from quarrylens.streaming.coalesce import coalesce_stream
 
