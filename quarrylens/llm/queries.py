@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quarrylens.llm import bpe, exact_dedup, html_main, packing, quality, rules, sharding, simhash, toxicity, warc
+from quarrylens.llm import bpe, exact_dedup, html_main, negatives, neighbours, packing, quality, rules, sharding, simhash, spelling, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_bpe": bpe.op10_bpe,
+    "op11_neighbours": neighbours.op11_neighbours,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_negatives": negatives.op13_negatives,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE, "op9_quality_rules": rules.oracle()}
+ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE, "op9_quality_rules": rules.oracle(), "op13_negatives": negatives.ORACLE}
