@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.casts import half_up
+from quarrylens.operators.cells import ROWS_PER_CELL, CellMap, salted
+from quarrylens.sources.shared import written
 
 EARTH = 6378137.0
 MEAN_EARTH = 6371008.8
@@ -21,7 +23,8 @@ def _on_cells(df: DataFrame, prefix: str, size: float) -> DataFrame:
     """A row for each grid cell that the row's box meets, as ``__cell``. Columns are split first, then rows, so a large box
     never holds all its cells in one array."""
     at = lambda c: F.floor(F.col(f"{prefix}{c}") / size)
-    wide = df.withColumn("__i", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("__j", F.explode(F.sequence(at("ymin"), at("ymax"))))
+    good = df.where(f"{prefix}xmin <= {prefix}xmax AND {prefix}ymin <= {prefix}ymax")
+    wide = good.withColumn("__i", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("__j", F.explode(F.sequence(at("ymin"), at("ymax"))))
     return wide.withColumn("__cell", F.struct(F.col("__i").alias("i"), F.col("__j").alias("j"))).drop("__i", "__j")
 
 
@@ -54,15 +57,15 @@ def point_in_box(kind: str) -> Column:
     return (F.col("x") > F.col("xmin")) & (F.col("x") < F.col("xmax")) & (F.col("y") > F.col("ymin")) & (F.col("y") < F.col("ymax"))
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float, kind: str = "intersects", how: str = "left", row_id: str = "pt_id", ring: str | None = None) -> DataFrame:
-    """Each point with the boxes (or rings within them) it lies in. A point has one cell, so no pair comes up twice."""
-    right = _on_cells(boxes, "", cell)
-    left = points.withColumn("__cell", F.struct(F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j")))
+def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float, kind: str = "intersects", how: str = "left", row_id: str = "pt_id", ring: str | None = None, limit: int = ROWS_PER_CELL) -> DataFrame:
+    """Each point with the boxes (or rings within them) it lies in. A point has one cell, so no pair comes up twice. Cells
+    with more than ``limit`` points are split."""
+    grid = CellMap(points, cell, limit)
     test = point_in_box(kind)
     if ring:
         edge = on_ring(F.col(ring), F.col("x"), F.col("y"))
         test = (in_ring(F.col(ring), F.col("x"), F.col("y")) | edge) if kind == "intersects" else in_ring(F.col(ring), F.col("x"), F.col("y")) & ~edge
-    hits = left.join(right, "__cell").where(test).drop("__cell")
+    hits = grid.points(points).join(grid.boxes(boxes), list(CellMap.KEYS)).where(test).drop(*CellMap.KEYS)
     if how == "inner":
         return hits
     extra = [c for c in boxes.columns if c not in points.columns]
@@ -79,16 +82,49 @@ def haversine(lon1, lat1, lon2, lat2) -> Column:
     return 2 * MEAN_EARTH * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def within_distance(left: DataFrame, right: DataFrame, distance: float = 100.0) -> DataFrame:
+def within_distance(left: DataFrame, right: DataFrame, distance: float = 100.0, limit: int = ROWS_PER_CELL) -> DataFrame:
     """Pairs of points (x, y in both; the right columns are renamed r_) at most ``distance`` apart, and the distance.
-    Cells are as wide as the distance, so a partner is in one of nine."""
-    at = lambda c: F.floor(F.col(c) / distance)
-    near = F.explode(F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda e: F.struct((at("r_x") + d).alias("i"), (at("r_y") + e).alias("j"))))))
-    right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    pairs = left.withColumn("__cell", F.struct(at("x").alias("i"), at("y").alias("j"))).join(right.select("*", near.alias("__cell")), "__cell").drop("__cell")
+    Cells are as wide as the distance, so a partner is in one of nine; cells with more than ``limit`` left points are split.
+    A distance of 0 asks for equal coordinates. Points without coordinates have no partner."""
+    if not 0 <= distance < math.inf:
+        raise ValueError("the distance is a finite number of at least 0")
+    right = right.select(*[F.col(f"`{c}`").alias(f"r_{c}") for c in right.columns])
+    if distance == 0:
+        return left.join(right, (F.col("x") == F.col("r_x")) & (F.col("y") == F.col("r_y"))).withColumn("distance", F.lit(0.0))
+    grid = CellMap(left, distance, limit)
+    wider = {"__xmin": F.col("r_x") - distance, "__xmax": F.col("r_x") + distance, "__ymin": F.col("r_y") - distance, "__ymax": F.col("r_y") + distance}
+    near = grid.boxes(right.withColumns(wider), "__xmin", "__ymin", "__xmax", "__ymax").drop(*wider)
+    pairs = grid.points(left).join(near, list(CellMap.KEYS)).drop(*CellMap.KEYS)
     return pairs.withColumn("distance", planar(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y"))).where(F.col("distance") <= distance)
 
 
+def within_great_circle(left: DataFrame, right: DataFrame, metres: float, lon: str = "x", lat: str = "y", limit: int = ROWS_PER_CELL) -> DataFrame:
+    """Pairs of points at most ``metres`` apart on the sphere of mean radius (the right columns are renamed r_), and the
+    distance. Points are laid on a grid of cubes around the unit sphere, as wide as the chord of the distance, so that
+    poles and the date line are places like any other; a partner is in one of the 27 cubes around, of which those off the
+    sphere hold nothing. Cubes with more than ``limit`` left points are dealt over several salts. Points without
+    coordinates have no partner; a distance that reaches around half the sphere is an error, as it asks for all pairs."""
+    if not 0 <= metres < math.pi * MEAN_EARTH:
+        raise ValueError("the distance is at least 0 and below half the circumference")
+    # a little wider than the chord for rounding; cubes below some metres would only be more numerous
+    wide = max(2 * math.sin(metres / (2 * MEAN_EARTH)) * (1 + 1e-9), 1e-6)
+    place = lambda p: (F.cos(F.radians(F.col(p + lat))) * F.cos(F.radians(F.col(p + lon))), F.cos(F.radians(F.col(p + lat))) * F.sin(F.radians(F.col(p + lon))), F.sin(F.radians(F.col(p + lat))))
+    axes = ("__i", "__j", "__k")
+    cube = lambda p: {a: F.floor(v / wide) for a, v in zip(axes, place(p), strict=True)}
+    right = right.select(*[F.col(f"`{c}`").alias(f"r_{c}") for c in right.columns])
+    own = left.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumns(cube(""))
+    around = right.where(F.col(f"r_{lon}").isNotNull() & F.col(f"r_{lat}").isNotNull()).withColumns(cube("r_"))
+    for a in axes:
+        around = around.withColumn(a, F.explode(F.array(*[F.col(a) + d for d in (-1, 0, 1)])))
+    nearest = lambda a: F.when(F.col(a) >= 0, F.col(a)).when(F.col(a) < -1, -(F.col(a) + 1)).otherwise(0) * wide
+    farthest = lambda a: F.greatest(F.abs(a), F.abs(F.col(a) + 1)) * wide
+    square = lambda of: sum((of(a) * of(a) for a in axes), F.lit(0.0))
+    around = around.where((square(nearest) <= 1 + 1e-9) & (square(farthest) >= 1 - 1e-9))
+    own, around = salted(own, around, list(axes), limit)
+    pairs = own.join(around, [*axes, "__salt"]).drop(*axes, "__salt")
+    return pairs.withColumn("distance", haversine(F.col(lon), F.col(lat), F.col(f"r_{lon}"), F.col(f"r_{lat}"))).where(F.col("distance") <= metres)
+
+
 BOX_TESTS = {
     "intersects": "xmin <= r_xmax AND xmax >= r_xmin AND ymin <= r_ymax AND ymax >= r_ymin",
     "within": "xmin >= r_xmin AND xmax <= r_xmax AND ymin >= r_ymin AND ymax <= r_ymax",
@@ -97,14 +133,25 @@ BOX_TESTS = {
     "touches": "(xmin = r_xmax OR xmax = r_xmin) AND ymin <= r_ymax AND ymax >= r_ymin OR (ymin = r_ymax OR ymax = r_ymin) AND xmin <= r_xmax AND xmax >= r_xmin",
     "overlaps": "xmin < r_xmax AND xmax > r_xmin AND ymin < r_ymax AND ymax > r_ymin AND NOT (xmin >= r_xmin AND xmax <= r_xmax AND ymin >= r_ymin AND ymax <= r_ymax) AND NOT (xmin <= r_xmin AND xmax >= r_xmax AND ymin <= r_ymin AND ymax >= r_ymax)",
 }
+#: Boxes at most a distance apart (a parameter of ``box_pairs``).
+BOX_TESTS["dwithin"] = "hypot(greatest(0.0D, r_xmin - xmax, xmin - r_xmax), greatest(0.0D, r_ymin - ymax, ymin - r_ymax)) <= {distance}"
 BOX_TESTS |= {"covers": BOX_TESTS["contains"], "coveredby": BOX_TESTS["within"]}
 
 
-def box_pairs(left: DataFrame, right: DataFrame, cell: float, test: str = "intersects", id_left: str = "area_id", id_right: str = "area_id") -> DataFrame:
-    """Pairs of boxes for which the test holds; every test but disjoint needs a common point, so a common cell."""
-    right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    pairs = _on_cells(left, "", cell).join(_on_cells(right, "r_", cell), "__cell").where(BOX_TESTS[test])
-    return pairs.drop("__cell").dropDuplicates([id_left, f"r_{id_right}"])
+def box_pairs(left: DataFrame, right: DataFrame, cell: float, test: str = "intersects", distance: float = 0.0, limit: int = ROWS_PER_CELL) -> DataFrame:
+    """Pairs of boxes for which the test holds (the right columns are renamed r_). Every test needs a common point of the
+    right box and the left one, grown by ``distance`` for ``dwithin``. Of the cells that both meet only the one that holds
+    the lowest corner of what they share tells of the pair, so each comes up once without a shuffle that removes repeats.
+    Cells with more than ``limit`` left boxes are dealt over several salts. Boxes with a null bound or none between their
+    bounds have no partner."""
+    if not 0 <= distance < math.inf or (distance and test != "dwithin"):
+        raise ValueError("only dwithin takes a distance, a finite number of at least 0")
+    right = right.select(*[F.col(f"`{c}`").alias(f"r_{c}") for c in right.columns])
+    grown = {f"__{c}": F.col(c) + (distance if c[1:] == "max" else -distance) for c in ("xmin", "ymin", "xmax", "ymax")}
+    own, other = salted(_on_cells(left.withColumns(grown), "__", cell), _on_cells(right, "r_", cell), ["__cell"], limit)
+    pairs = own.join(other, ["__cell", "__salt"]).where(BOX_TESTS[test].format(distance=repr(float(distance)) + "D"))
+    corner = lambda c: F.floor(F.greatest(f"__{c}", f"r_{c}") / cell)
+    return pairs.where((corner("xmin") == F.col("__cell.i")) & (corner("ymin") == F.col("__cell.j"))).drop("__cell", "__salt", *grown)
 
 
 def box_disjoint_counts(left: DataFrame, right: DataFrame, cell: float, id_left: str = "area_id") -> DataFrame:
@@ -121,6 +168,35 @@ def box_overlay(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return pairs.withColumns(corner).where("o_xmin < o_xmax AND o_ymin < o_ymax").withColumn("area", (F.col("o_xmax") - F.col("o_xmin")) * (F.col("o_ymax") - F.col("o_ymin")))
 
 
+def box_difference(left: DataFrame, right: DataFrame, cell: float, row_id: str = "area_id") -> DataFrame:
+    """What is left of each left box without all right boxes that meet it: the left columns with pieces (o_xmin, o_ymin, o_xmax,
+    o_ymax) that do not overlap, and their area. A box that is wholly covered has no piece.
+
+    Boxes are cut by the grid first, so a large one is spread over its cells and a piece meets the right boxes of one cell
+    only. The bounds of those cut it into slabs along x, and in every slab the gaps between the covered stretches of y are
+    what is left. ``row_id`` tells the left boxes apart. Boxes with a null bound have no piece and cover nothing."""
+    bounds = {"xmin": ("i", 0), "ymin": ("j", 0), "xmax": ("i", 1), "ymax": ("j", 1)}
+    clip = {f"__{c}": (F.greatest if c[1:] == "min" else F.least)(F.col(c), (F.col(f"__cell.{axis}") + step) * F.lit(float(cell))) for c, (axis, step) in bounds.items()}
+    pieces = _on_cells(left, "", cell).withColumns(clip).where("__xmin < __xmax AND __ymin < __ymax")
+    pieces = written(pieces, "pieces")
+    key = [row_id, "__cell"]
+    own = pieces.select(*key, *clip)
+    cover = _on_cells(right.select(*[F.col(c).alias(f"r_{c}") for c in bounds]), "r_", cell)
+    met = own.join(cover, "__cell").select(*own.columns, *[(F.greatest if c[1:] == "min" else F.least)(f"__{c}", f"r_{c}").alias(f"c_{c}") for c in bounds]).where("c_xmin < c_xmax AND c_ymin < c_ymax")
+    met = written(met, "covers")
+    cuts = own.select(*key, F.explode(F.array("__xmin", "__xmax")).alias("x")).unionByName(met.select(*key, F.explode(F.array("c_xmin", "c_xmax")).alias("x"))).distinct()
+    along = Window.partitionBy(*key).orderBy("x")
+    slabs = cuts.select(*key, F.col("x").alias("x0"), F.lead("x").over(along).alias("x1")).where("x1 IS NOT NULL")
+    covered = slabs.join(met.select(*key, "c_xmin", "c_xmax", "c_ymin", "c_ymax"), key).where("c_xmin <= x0 AND c_xmax >= x1").select(*key, "x0", "x1", "c_ymin", "c_ymax")
+    tops = slabs.join(own, key).select(*key, "x0", "x1", F.col("__ymax").alias("c_ymin"), F.col("__ymax").alias("c_ymax"))
+    before = Window.partitionBy(*key, "x0").orderBy("c_ymin", "c_ymax").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = covered.unionByName(tops).withColumn("__from", F.max("c_ymax").over(before))
+    gaps = stretches.join(own.select(*key, "__ymin"), key).withColumn("__from", F.coalesce("__from", "__ymin")).where("__from < c_ymin")
+    gaps = gaps.select(*key, F.col("x0").alias("o_xmin"), F.col("__from").alias("o_ymin"), F.col("x1").alias("o_xmax"), F.col("c_ymin").alias("o_ymax"))
+    out = pieces.drop(*clip).join(gaps, key).drop("__cell")
+    return out.select(*left.columns, "o_xmin", "o_ymin", "o_xmax", "o_ymax").withColumn("area", (F.col("o_xmax") - F.col("o_xmin")) * (F.col("o_ymax") - F.col("o_ymin")))
+
+
 def extents(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
     return df.groupBy(*keys).agg(F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax"), F.count("*").alias("n"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylens.operators import outline as ol
 from quarrylens.operators import spatial as sp
-from quarrylens.queries.inputs import AREAS, POINTS, areas, points, rounded
+from quarrylens.queries.inputs import AREAS, POINTS, areas, derived, points, rounded
 
 P, R = f"WITH p AS ({POINTS}) ", f"WITH p AS ({POINTS}), a AS ({AREAS}) "
 TILES = "greatest(0, least({n} - 1, floor((x + 180) / 360 * {n})))", "greatest(0, least({n} - 1, floor((1 - ln(tan(radians(greatest(least(y, 85.05112878), -85.05112878))) + 1 / cos(radians(greatest(least(y, 85.05112878), -85.05112878)))) / pi()) / 2 * {n})))"
@@ -137,6 +138,69 @@ def back(spark, sf):
     return rounded(m.select("pt_id", lon.alias("lon"), lat.alias("lat")), 6)
 
 
+#: Points on the globe with some on the date line, near it, and at both poles.
+GLOBE = """SELECT c_custkey AS pt_id, CASE c_custkey % 10 WHEN 3 THEN 180.0 WHEN 4 THEN -180 + CAST(c_custkey % 7 AS DOUBLE) / 4 ELSE CAST((c_custkey * 7919) % 36000 AS DOUBLE) / 100 - 180 END AS x,
+ CASE c_custkey % 25 WHEN 0 THEN 90.0 WHEN 1 THEN -90.0 WHEN 2 THEN 89.5 ELSE CAST((c_custkey * 6007) % 16000 AS DOUBLE) / 100 - 80 END AS y FROM customer"""
+#: Points of which nine in ten lie in four by four degrees, a third of these in one place.
+DENSE = """SELECT l_orderkey AS pt_id, CASE WHEN l_orderkey % 10 = 9 THEN CAST((l_partkey * 7919) % 36000 AS DOUBLE) / 100 - 180 WHEN l_orderkey % 3 = 0 THEN 1.25 ELSE CAST(l_partkey % 400 AS DOUBLE) / 100 END AS x,
+ CASE WHEN l_orderkey % 10 = 9 THEN CAST((l_suppkey * 6007) % 16000 AS DOUBLE) / 100 - 80 WHEN l_orderkey % 3 = 0 THEN 2.5 ELSE CAST((l_partkey * 31 + l_suppkey) % 400 AS DOUBLE) / 100 END AS y FROM lineitem"""
+
+
+def great_circle_join(spark, sf):
+    p = derived(spark, sf, GLOBE).select("pt_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return rounded(sp.within_great_circle(p, p, 300_000.0).where("pt_id < r_pt_id").select("pt_id", "r_pt_id", F.col("distance").alias("metres")), 2)
+
+
+def dense_points(spark, sf):
+    """Small boxes over points most of which share one grid cell."""
+    p = derived(spark, sf, DENSE).select("pt_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    boxes = areas(spark, sf).select("area_id", (F.col("area_id") % 10 * 0.4).alias("xmin"), (F.col("area_id") % 10 * 0.4 + 0.5).alias("xmax"), (F.col("area_id") % 7 * 0.5).alias("ymin"), (F.col("area_id") % 7 * 0.5 + 0.75).alias("ymax"))
+    return sp.points_in_boxes(p, boxes, 30.0, "within", "inner", limit=2000).groupBy("area_id").agg(F.count("*").alias("n"))
+
+
+def boxes_within_distance(spark, sf):
+    return sp.box_pairs(areas(spark, sf), _shifted(spark, sf), 40.0, "dwithin", 9.5).select("area_id", "r_area_id")
+
+
+def difference(spark, sf):
+    """Two in three of the areas, moved and widened so that they overlap each other, taken out of the areas."""
+    cover = areas(spark, sf).where("area_id % 3 > 0").select((F.col("xmin") + 3).alias("xmin"), (F.col("xmax") + 3 + F.col("area_id") % 4 * 2).alias("xmax"), (F.col("ymin") - 2).alias("ymin"), (F.col("ymax") - 3 + F.col("area_id") % 5).alias("ymax"))
+    left = sp.box_difference(areas(spark, sf), cover, 40.0)
+    return rounded(left.groupBy("area_id").agg(F.sum("area").alias("area")), 4)
+
+
+def _two_sizes(spark, sf):
+    """Boxes of which every other is cut into halves, so that corners of one meet sides of another; strips of nine."""
+    a = areas(spark, sf).select("area_id", F.expr("CAST(floor(area_id / 9.0) AS BIGINT)").alias("grp"), "xmin", "ymin", "xmax", "ymax", ((F.col("ymin") + F.col("ymax")) / 2).alias("ymid"))
+    part = lambda k, lo, hi: F.struct(F.lit(k).alias("part"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    parts = F.when(F.col("area_id") % 2 == 0, F.array(part(1, "ymin", "ymid"), part(2, "ymid", "ymax"))).otherwise(F.array(part(0, "ymin", "ymax")))
+    b = a.select("area_id", "grp", "xmin", "xmax", F.inline(parts)).select((F.col("area_id") * 3 + F.col("part")).alias("piece"), "grp", "xmin", F.col("lo").alias("ymin"), "xmax", F.col("hi").alias("ymax"))
+    return b.select("piece", "grp", sp.box_ring().alias("ring"))
+
+
+def dissolve_two_sizes(spark, sf):
+    edges = ol.dissolve_noded(_two_sizes(spark, sf), "ring", "grp", "piece")
+    return rounded(edges.groupBy("grp").agg(F.count("*").alias("edges"), F.sum(F.abs(F.col("bx") - F.col("ax")) + F.abs(F.col("by") - F.col("ay"))).alias("perimeter")), 4)
+
+
+def ring_outlines(spark, sf):
+    points = ol.ring_points(ol.dissolve_noded(_two_sizes(spark, sf), "ring", "grp", "piece"), "grp")
+    return rounded(ol.ring_sizes(points, "grp").select("grp", "start_x", "start_y", "vertices", "area", "perimeter"), 4)
+
+
+def polygons(spark, sf):
+    """A slanted four-corner ring around each area with a diamond inside as a hole."""
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, x1, y0, y1 = (F.col(c) for c in ("xmin", "xmax", "ymin", "ymax"))
+    outer = F.array(p(x0 - 8, y0 - 5), p(x1 + 9, y0 + 0), p(x1 + 0, y1 + 11), p(x0 + 2, y1 + 3))
+    hole = F.array(p(x0 + 4, y0 + 0), p(x1 + 0, y0 + 4), p(x0 + 4, y1 + 0), p(x0 + 0, y0 + 4))
+    return areas(spark, sf).select("area_id", "grp", F.array(outer, hole).alias("rings"))
+
+
+def polyfill_rings(spark, sf):
+    return ol.polyfill_rings(polygons(spark, sf), "rings", 6, "area_id", "grp").select("tile_x", "tile_y", "feature_count", "total")
+
+
 def _tile_sql(n):
     return [t.format(n=n) for t in TILES]
 
@@ -175,6 +239,13 @@ QUERIES = {
     "sp9_roll_up": (roll_up, P + ", " + _quadkey_sql(5) + " SELECT CAST(l AS BIGINT) AS level, cell[1:l] AS cell, count(*) AS n FROM k, (VALUES (1), (2), (3)) v(l) GROUP BY 1, 2"),
     "sp10_cell_boxes": (cell_boxes, P + ", " + _quadkey_sql(3) + f" SELECT cell, count(*) AS n, round(tx / 8 * 360 - 180, 6) AS xmin, round((tx + 1) / 8 * 360 - 180, 6) AS xmax, round({LAT.format(y='ty + 1', n=8)}, 6) AS ymin, round({LAT.format(y='ty', n=8)}, 6) AS ymax FROM k GROUP BY cell, tx, ty"),
     "sp11_polyfill": (polyfill, R + f", c AS (SELECT i AS tile_x, j AS tile_y, (i + 0.5) / 16 * 360 - 180 AS lon, {LAT.format(y='j + 0.5', n=16)} AS lat FROM range(16) a1(i), range(16) b1(j)) SELECT tile_x, tile_y, count(*) AS feature_count, CAST(sum(grp) AS BIGINT) AS total FROM c JOIN a ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax GROUP BY 1, 2"),
+    "sp2_great_circle_join": (great_circle_join, f"WITH p AS ({GLOBE}), d AS (SELECT l.pt_id, r.pt_id AS r_pt_id, 2 * 6371008.8::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians(r.y - l.y) / 2), 2) + cos(radians(l.y)) * cos(radians(r.y)) * pow(sin(radians(r.x - l.x) / 2), 2)))) AS m FROM p l JOIN p r ON l.pt_id < r.pt_id) SELECT pt_id, r_pt_id, round(m, 2) AS metres FROM d WHERE m <= 300000"),
+    "sp1_dense_cell": (dense_points, f"WITH p AS ({DENSE}), a AS ({AREAS}), b AS (SELECT area_id, area_id % 10 * 0.4::DOUBLE AS xmin, area_id % 7 * 0.5::DOUBLE AS ymin FROM a) SELECT area_id, count(*) AS n FROM p JOIN b ON x > xmin AND x < xmin + 0.5::DOUBLE AND y > ymin AND y < ymin + 0.75::DOUBLE GROUP BY 1"),
+    "jn4_boxes_dwithin": (boxes_within_distance, R + f", {SHIFTED} SELECT area_id, r_area_id FROM a JOIN b ON sqrt(pow(greatest(0, r_xmin - xmax, xmin - r_xmax), 2) + pow(greatest(0, r_ymin - ymax, ymin - r_ymax), 2)) <= 9.5"),
+    "jn5_box_difference": (difference, R + ", c AS (SELECT xmin + 3 AS x0, xmax + 3 + area_id % 4 * 2 AS x1, ymin - 2 AS y0, ymax - 3 + area_id % 5 AS y1 FROM a WHERE area_id % 3 > 0), u AS (SELECT area_id, xmin + i AS x, ymin + j AS y FROM a, range(8) r(i), range(8) s(j)) SELECT area_id, CAST(count(*) AS DOUBLE) AS area FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE x0 <= x AND x1 > x AND y0 <= y AND y1 > y) GROUP BY 1"),
+    "sp5_dissolve_noded": (dissolve_two_sizes, R + "SELECT CAST(floor(area_id / 9.0) AS BIGINT) AS grp, 2 * count(*) + 2 + (min(area_id) + 1) % 2 + (max(area_id) + 1) % 2 AS edges, 16.0::DOUBLE * count(*) + 16 AS perimeter FROM a GROUP BY 1"),
+    "sp5_ring_outlines": (ring_outlines, R + "SELECT CAST(floor(area_id / 9.0) AS BIGINT) AS grp, min(xmin) AS start_x, min(ymin) AS start_y, 2 * count(*) + 2 + (min(area_id) + 1) % 2 + (max(area_id) + 1) % 2 AS vertices, sum((xmax - xmin) * (ymax - ymin)) AS area, 16.0::DOUBLE * count(*) + 16 AS perimeter FROM a GROUP BY 1"),
+    "sp11_polyfill_rings": (polyfill_rings, R + f", c AS (SELECT i AS tile_x, j AS tile_y, (i + 0.5) / 64 * 360 - 180 AS lon, {LAT.format(y='j + 0.5', n=64)} AS lat FROM range(64) a1(i), range(64) b1(j)), e AS (SELECT area_id, grp, unnest([[xmin - 8, ymin - 5, xmax + 9, ymin], [xmax + 9, ymin, xmax, ymax + 11], [xmax, ymax + 11, xmin + 2, ymax + 3], [xmin + 2, ymax + 3, xmin - 8, ymin - 5], [xmin + 4, ymin, xmax, ymin + 4], [xmax, ymin + 4, xmin + 4, ymax], [xmin + 4, ymax, xmin, ymin + 4], [xmin, ymin + 4, xmin + 4, ymin]]) AS q FROM a), h AS (SELECT area_id, grp, tile_x, tile_y FROM e JOIN c ON (q[2] > lat) <> (q[4] > lat) AND lon < (q[3] - q[1]) * (lat - q[2]) / (q[4] - q[2]) + q[1] GROUP BY ALL HAVING count(*) % 2 = 1) SELECT tile_x, tile_y, count(*) AS feature_count, CAST(sum(grp) AS BIGINT) AS total FROM h GROUP BY 1, 2"),
     "sp13_dot_density": (dots, R + "SELECT area_id, CAST(greatest(1, floor(area_id * 3 / 10.0)) AS BIGINT) AS dots FROM a WHERE area_id * 3 > 0"),
     "sp14_tile_index": (tiles, R + ", z AS (SELECT area_id, z, n, " + "greatest(0, least(n - 1, floor((xmin + 180) / 360 * n))) AS x0, greatest(0, least(n - 1, floor((xmax + 180) / 360 * n))) AS x1, " + TILES[1].format(n="n").replace("(y,", "(ymax,") + " AS y0, " + TILES[1].format(n="n").replace("(y,", "(ymin,") + " AS y1 FROM a, (VALUES (1, 2), (2, 4), (3, 8)) v(z, n)) SELECT CAST(z AS BIGINT) AS z, i AS tile_x, j AS tile_y, count(*) AS features FROM z, range(8) r1(i), range(8) r2(j) WHERE i BETWEEN x0 AND x1 AND j BETWEEN y0 AND y1 GROUP BY 1, 2, 3"),
     "sp15_glyph_grid": (glyphs, P + ", g AS (SELECT CAST(floor(x * pi() / 180 * 6378137 / 2000000) AS BIGINT) AS gx, CAST(floor(ln(tan(radians(y) / 2 + pi() / 4)) * 6378137 / 2000000) AS BIGINT) AS gy, count(*) * 1.0::DOUBLE AS weight, sum(v) AS s FROM p WHERE abs(y) <= 85 GROUP BY 1, 2) SELECT gx, gy, weight, round(s, 2) AS sum_v, (SELECT round(max(abs(s)), 2) FROM g) AS grid_max FROM g"),
