@@ -48,19 +48,22 @@ def bin_of(value: Column, low: Column, high: Column, n: int) -> Column:
     return F.when(high > low, F.least(F.lit(n - 1), F.floor((value - low) / width).cast("int"))).otherwise(F.lit(0))
 
 
-def histogram(df: DataFrame, dimension: str, specs: list[dict], bins: int | None = None, facet: str | None = None) -> DataFrame:
+def histogram(df: DataFrame, dimension: str, specs: list[dict], bins: int | None = None, facet: str | None = None, panels: int | None = None) -> DataFrame:
     """bin, bin_start, bin_end, total_count, count over the unfiltered extent, empty bins with 0; a point extent is one bin of
-    width 1. With ``facet`` the same bins for each value of that column."""
+    width 1. With ``facet`` the same bins for each of the largest values of that column; null is no facet."""
     n, v = clamp(bins, 4, 24, 12), as_double(df, dimension)
     inside = context(df, specs, (dimension,))
     bounds = _bounds(df, v).where("low IS NOT NULL")
     keys = ([facet] if facet else []) + ["bin"]
     rows = df.withColumn("__v", v).withColumn("__in", inside).where("__v IS NOT NULL").crossJoin(F.broadcast(bounds))
+    if facet:
+        top = df.where(F.col(facet).isNotNull()).groupBy(facet).count().orderBy(F.desc("count"), facet).limit(clamp(panels, 1, 12, 6)).select(facet)
+        rows = rows.join(F.broadcast(top), facet)  # at most 12
     counts = rows.withColumn("bin", bin_of(F.col("__v"), F.col("low"), F.col("high"), n)).groupBy(*keys).agg(F.count("*").alias("total_count"), F.count_if("__in").alias("count"))
     width = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / n).otherwise(1.0)
     frame = bounds.select(F.explode(F.sequence(F.lit(0), F.when(F.col("high") > F.col("low"), n - 1).otherwise(0))).alias("bin"), (F.col("low") + F.col("bin") * width).alias("bin_start"), (F.col("low") + (F.col("bin") + 1) * width).alias("bin_end"))
     if facet:
-        frame = frame.crossJoin(F.broadcast(counts.select(facet).distinct()))
+        frame = frame.crossJoin(F.broadcast(top))
     return frame.join(counts, keys, "left").select(*keys, "bin_start", "bin_end", F.coalesce("total_count", F.lit(0)).alias("total_count"), F.coalesce("count", F.lit(0)).alias("count"))
 
 

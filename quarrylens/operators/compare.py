@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.casts import as_double, as_timestamp
 from quarrylens.operators.charts import bin_of, top_and_other
-from quarrylens.operators.orderstat import order_statistics
+from quarrylens.operators.orderstat import many_order_statistics
+from quarrylens.operators.summarise import fields_by_kind
 
 MISSING = "∅ Missing"
 
@@ -112,17 +113,39 @@ def explain_selection(df: DataFrame, selected: Column, numeric: list[str], categ
         rows.append(F.struct(F.lit(f).alias("field"), F.lit("numeric").alias("kind"), F.when(F.col(f"d{i}") > 0, gap / F.col(f"d{i}")).otherwise(F.when(gap == 0, 0.0).otherwise(1.0)).alias("strength")))
     out = df.agg(*aggs).select(F.inline(F.array(*rows))) if numeric else None
     if categorical:
-        labels = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit(MISSING)).alias("label")) for f in categorical])
-        counts = df.select(inside.alias("inside"), F.inline(labels)).groupBy("field", "label").agg(F.count_if("inside").alias("s"), F.count_if(~F.col("inside")).alias("r"))
-        sums = counts.groupBy("field").agg(F.sum("s").alias("all_s"), F.sum("r").alias("all_r"))
-        order = Window.partitionBy("field").orderBy(F.desc(F.col("s") + F.col("r")), "label")
-        top = counts.withColumn("k", F.row_number().over(order)).where("k <= 8").join(F.broadcast(sums), "field")
-        gap = F.abs(F.coalesce(F.try_divide(F.col("s"), F.col("all_s")), F.lit(0.0)) - F.coalesce(F.try_divide(F.col("r"), F.col("all_r")), F.lit(0.0)))
-        part = top.groupBy("field").agg((F.sum(gap) / 2).alias("strength")).select("field", F.lit("categorical").alias("kind"), "strength")
+        part = _share_gaps(df, inside, categorical).groupBy("field").agg((F.sum("gap") / 2).alias("strength")).select("field", F.lit("categorical").alias("kind"), "strength")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return df.sparkSession.createDataFrame([], "field string, kind string, strength double")
     return out.where("strength IS NOT NULL").orderBy(F.desc("strength"), "field").limit(most)
 
 
+def _share_gaps(df: DataFrame, inside: Column, categorical: list[str]) -> DataFrame:
+    """(field, label, selected_share, rest_share, gap) of the 8 most common labels of each field; null is a label."""
+    labels = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit(MISSING)).alias("label")) for f in categorical])
+    counts = df.select(inside.alias("inside"), labels.alias("labels")).select("inside", F.inline("labels")).groupBy("field", "label").agg(F.count_if("inside").alias("s"), F.count_if(~F.col("inside")).alias("r"))
+    sums = counts.groupBy("field").agg(F.sum("s").alias("all_s"), F.sum("r").alias("all_r"))
+    order = Window.partitionBy("field").orderBy(F.desc(F.col("s") + F.col("r")), "label")
+    top = counts.withColumn("k", F.row_number().over(order)).where("k <= 8").join(F.broadcast(sums), "field")
+    share = lambda n, of: F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0))
+    shares = top.select("field", "label", share("s", "all_s").alias("selected_share"), share("r", "all_r").alias("rest_share"))
+    return shares.withColumn("gap", F.abs(F.col("selected_share") - F.col("rest_share")))
+
+
+def selection_gaps(df: DataFrame, selected: Column, categorical: list[str], most: int = 3) -> DataFrame:
+    """(field, place, label, selected_share, rest_share, gap): the labels behind an explained selection, of each field those whose
+    shares differ most, ties by label."""
+    order = Window.partitionBy("field").orderBy(F.desc("gap"), "label")
+    gaps = _share_gaps(df, F.coalesce(selected, F.lit(False)), categorical)
+    return gaps.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("field", "place", "label", "selected_share", "rest_share", "gap")
+
+
+def explain_any(df: DataFrame, selected: Column, fields: list[str] | None = None, most: int = 8) -> DataFrame:
+    """``explain_selection`` over all fields, told apart by the four-fifths rule: at most 24 numeric and 5 categorical ones."""
+    numeric, categorical = fields_by_kind(df, fields)
+    return explain_selection(df, selected, numeric[:24], categorical[:5], most)
+
+
 def equal_breaks(df: DataFrame, field: str, classes: int) -> list[float]:
     """Inner breaks of equal intervals; one value gives itself, no value none."""
     k = max(2, min(9, classes))
@@ -132,11 +155,17 @@ def equal_breaks(df: DataFrame, field: str, classes: int) -> list[float]:
     return [low] if low == high else [low + (high - low) * i / k for i in range(1, k)]
 
 
-def quantile_breaks(df: DataFrame, field: str, classes: int) -> list[float]:
-    """Values at the inner quantiles, each one of the table's own; repeats are dropped."""
+def quantile_breaks_of(df: DataFrame, fields: list[str], classes: int) -> list[list[float]]:
+    """For each field its values at the inner quantiles, each one of the table's own; repeats are dropped. All in the same scans."""
     k = max(2, min(9, classes))
-    row = order_statistics(df, [], as_double(df, field), tuple(i / k for i in range(1, k)), [f"q{i}" for i in range(1, k)], discrete=True).first()
-    return sorted({x for x in row if x is not None})
+    names = [f"q{i}" for i in range(1, k)]
+    found = many_order_statistics(df, [], [as_double(df, f) for f in fields], tuple(i / k for i in range(1, k)), names, discrete=True)
+    rows = {r["__column"]: [r[n] for n in names] for r in found.collect()}  # one row for each field
+    return [sorted({x for x in rows.get(i, []) if x is not None}) for i in range(len(fields))]
+
+
+def quantile_breaks(df: DataFrame, field: str, classes: int) -> list[float]:
+    return quantile_breaks_of(df, [field], classes)[0]
 
 
 def class_of(value: Column, breaks: list[float]) -> Column:
@@ -147,7 +176,8 @@ def class_of(value: Column, breaks: list[float]) -> Column:
 
 
 def bivariate(df: DataFrame, x: str, y: str, classes: int = 3) -> DataFrame:
-    a, b = class_of(as_double(df, x), quantile_breaks(df, x, classes)), class_of(as_double(df, y), quantile_breaks(df, y, classes))
+    breaks = quantile_breaks_of(df, [x, y], classes)
+    a, b = class_of(as_double(df, x), breaks[0]), class_of(as_double(df, y), breaks[1])
     return df.withColumn("bivariate_class", b * classes + a)
 
 

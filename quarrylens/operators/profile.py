@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.casts import as_double, as_timestamp, semantic_type
 from quarrylens.operators.charts import bin_of
-from quarrylens.operators.orderstat import beside, order_statistics
+from quarrylens.operators.orderstat import many_distinct, many_order_statistics
 
 
 def dataset_profile(df: DataFrame, fields: list[str] | None = None, chunk: int = 12, approximate: bool = False) -> DataFrame:
@@ -17,26 +15,29 @@ def dataset_profile(df: DataFrame, fields: list[str] | None = None, chunk: int =
     first_time, last_time. One aggregate for every ``chunk`` fields, so generated code stays small. Distinct counts and
     quantiles are exact at every size, each found by itself from one column; ``approximate`` ones share the aggregate."""
     names, out = fields or df.columns, None
+    kinds = {f: semantic_type(df, f) for f in names}
+    numbers = [f for f in names if kinds[f] in ("numeric", "identifier")]
     for at in range(0, len(names), chunk):
-        aggs, rows, apart = [F.count("*").alias("rows")], [], []
+        aggs, rows = [F.count("*").alias("rows")], []
         for i, f in enumerate(names[at : at + chunk]):
-            kind = semantic_type(df, f)
-            v = as_double(df, f) if kind in ("numeric", "identifier") else F.lit(None).cast("double")
-            t = as_timestamp(df, f) if kind == "temporal" else F.lit(None).cast("timestamp_ntz")
+            v = as_double(df, f) if f in numbers else F.lit(None).cast("double")
+            t = as_timestamp(df, f) if kinds[f] == "temporal" else F.lit(None).cast("timestamp_ntz")
+            aggs += [F.count(f).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"), F.min(t).alias(f"t0{i}"), F.max(t).alias(f"t1{i}")]
+            rough = [F.lit(None).cast("long").alias("distinct_count"), F.lit(None).cast("array<double>").alias("q")]
             if approximate:
                 aggs += [F.approx_count_distinct(f).alias(f"d{i}"), F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")]
-            else:
-                apart.append(df.agg(F.count_distinct(f).alias(f"d{i}")))
-                if kind in ("numeric", "identifier"):
-                    apart.append(order_statistics(df, [], v, (0.25, 0.5, 0.75), ["a", "b", "c"]).select(F.array("a", "b", "c").alias(f"q{i}")))
-                else:
-                    aggs.append(F.max(F.lit(None).cast("array<double>")).alias(f"q{i}"))
-            aggs += [F.count(f).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"), F.min(t).alias(f"t0{i}"), F.max(t).alias(f"t1{i}")]
+                rough = [F.col(f"d{i}").alias("distinct_count"), F.col(f"q{i}").alias("q")]
             nulls = F.col("rows") - F.col(f"n{i}")
-            rows.append(F.struct(F.lit(f).alias("field"), F.lit(kind).alias("semantic_type"), F.col("rows"), nulls.alias("nulls"), F.try_divide(nulls.cast("double"), F.col("rows").cast("double")).alias("null_share"), F.col(f"d{i}").alias("distinct_count"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("stddev"), F.col(f"q{i}")[0].alias("q25"), F.col(f"q{i}")[1].alias("q50"), F.col(f"q{i}")[2].alias("q75"), F.col(f"t0{i}").alias("first_time"), F.col(f"t1{i}").alias("last_time")))
-        part = reduce(lambda a, b: beside(a, b, []), apart, df.agg(*aggs)).select(F.inline(F.array(*rows)))  # one row each
+            more = [F.col(f"{c}{i}").alias(n) for c, n in (("lo", "min"), ("hi", "max"), ("m", "mean"), ("s", "stddev"), ("t0", "first_time"), ("t1", "last_time"))]
+            rows.append(F.struct(F.lit(f).alias("field"), F.lit(kinds[f]).alias("semantic_type"), F.col("rows"), nulls.alias("nulls"), F.try_divide(nulls.cast("double"), F.col("rows").cast("double")).alias("null_share"), *rough, *more))
+        part = df.agg(*aggs).select(F.inline(F.array(*rows)))
         out = part if out is None else out.unionByName(part)
-    return out
+    if not approximate:  # one row each, so both joins are of some rows
+        out = out.drop("distinct_count", "q").join(F.broadcast(many_distinct(df, names)), "field")
+        found = many_order_statistics(df, [], [as_double(df, f) for f in numbers], (0.25, 0.5, 0.75), ["a", "b", "c"]) if numbers else None
+        of = F.array(*map(F.lit, numbers))
+        out = out.withColumn("q", F.lit(None).cast("array<double>")) if found is None else out.join(F.broadcast(found.select(F.get(of, F.col("__column")).alias("field"), F.array("a", "b", "c").alias("q"))), "field", "left")
+    return out.select("field", "semantic_type", "rows", "nulls", "null_share", "distinct_count", "min", "max", "mean", "stddev", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q25", "q50", "q75"))], "first_time", "last_time")
 
 
 def quality_issues(profile: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ totals of the buckets before it (a handful of rows) are added.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,43 +30,51 @@ def _along(df: DataFrame, field: str, descending: bool) -> Column | None:
 
 #: Rows of one bucket, and how many buckets literal boundaries serve; beyond them buckets are range partitions.
 ROWS_PER_BUCKET, MOST_EDGES = 1_000_000, 64
+#: Buckets whose offsets are broadcast (some 24 bytes each), and buckets of one group of the prefix scan.
+BROADCAST_BUCKETS, FAN = 100_000, 1024
 
 
-def with_bucket(df: DataFrame, order: Column | None, by: Column, row_id: list[str], rows_per_bucket: int | None = None) -> DataFrame:
-    """Adds ``__bucket``: 0, 1, ... in the order of ``order``; nulls after all others. The number of buckets follows
-    the number of rows, so a window over one stays small. ``by`` is the sort expression of the windows; ``order`` is the
+def with_bucket(df: DataFrame, order: Column | None, by: Column, row_id: list[str], rows_per_bucket: int | None = None) -> tuple[DataFrame, int]:
+    """``df`` with ``__bucket``: 0, 1, ... in the order of ``order``, nulls after all others, and how many buckets there are. Their number
+    follows the number of rows, so a window over one stays small. ``by`` is the sort expression of the windows; ``order`` is the
     same as a number, None for a text.
 
     Numbers with up to some dozen buckets have approximate quantiles as boundaries, and equal values share a bucket.
-    Beyond, and for texts, the table is range-partitioned by the sort expression itself and the row id, so even
-    equal values are spread, and written once: every reader sees the same partitions. Both give the same results."""
+    Beyond, for texts, and where nulls or one value alone are more than a bucket (it then stands at several quantiles), the
+    table is range-partitioned by the sort expression itself and the row id, so even equal values are spread, and written
+    once: every reader sees the same partitions. Both give the same results."""
     per = rows_per_bucket or ROWS_PER_BUCKET
     if order is None:
-        ranged = df.repartitionByRange(max(1, -(-df.count() // per)), by, *row_id)
-        return written(ranged.withColumn("__bucket", F.spark_partition_id()), "ranged")
-    points = [i / MOST_EDGES for i in range(1, MOST_EDGES)]
-    rows, edges = df.agg(F.count("*"), F.percentile_approx(order, points, 2000)).first()
-    if rows > per * MOST_EDGES:
-        ranged = df.repartitionByRange(-(-rows // per), by, *row_id)
-        return written(ranged.withColumn("__bucket", F.spark_partition_id()), "ranged")
+        rows, known, edges = df.count(), 0, None
+    else:
+        points = [i / MOST_EDGES for i in range(1, MOST_EDGES)]
+        rows, known, edges = df.agg(F.count("*"), F.count(order), F.percentile_approx(order, points, 2000)).first()
+    most = max(Counter(edges or []).values(), default=0)
+    if order is None or rows > per * MOST_EDGES or rows - known > per or (most > 1 and most * known > per * MOST_EDGES):
+        n = max(1, -(-rows // per))
+        return written(df.repartitionByRange(n, by, *row_id).withColumn("__bucket", F.spark_partition_id()), "ranged"), n
     edges = sorted(set(edges or []))
     inside = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < order)) if edges else F.lit(0)
-    return df.withColumn("__bucket", F.when(order.isNull(), len(edges) + 1).otherwise(inside).cast("int"))
+    return df.withColumn("__bucket", F.when(order.isNull(), len(edges) + 1).otherwise(inside).cast("int")), len(edges) + 2
 
 
-def add_offsets(df: DataFrame, partition: list[str], amount: Column, out: str) -> DataFrame:
+def add_offsets(df: DataFrame, buckets: int, partition: list[str], amount: Column, out: str) -> DataFrame:
     """Adds to ``out`` the sum of ``amount`` over the earlier buckets (of the same partition). The totals have one
-    row for each bucket and partition."""
-    totals = df.groupBy(*partition, "__bucket").agg(F.sum(amount).alias("__amount"))
-    if partition:
-        before = Window.partitionBy(*partition).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(*[F.col(p).alias(f"__p_{p}") for p in partition], F.col("__bucket").alias("__b"), F.sum("__amount").over(before).alias("__offset"))
-        on = (F.col("__bucket") == F.col("__b")) & _all(F.col(p).eqNullSafe(F.col(f"__p_{p}")) for p in partition)
-    else:
-        earlier = totals.select(F.col("__bucket").alias("__e"), F.col("__amount").alias("__before"))
-        offsets = F.broadcast(totals.select(F.col("__bucket").alias("__b"))).join(F.broadcast(earlier), F.col("__e") < F.col("__b"), "left").groupBy("__b").agg(F.sum("__before").alias("__offset"))
-        offsets, on = F.broadcast(offsets), F.col("__bucket") == F.col("__b")
-    joined = df.join(offsets, on, "left")
+    row for each bucket and partition, and are summed up in two steps: within groups of ``FAN`` buckets, and over the groups."""
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    group = F.floor(F.col("__bucket") / FAN)
+    totals = df.groupBy(*partition, "__bucket").agg(F.sum(amount).alias("__amount")).withColumn("__group", group)
+    totals = totals.withColumn("__offset", F.sum("__amount").over(earlier(*partition, "__group").orderBy("__bucket")))
+    if buckets > FAN:
+        groups = totals.groupBy(*partition, "__group").agg(F.sum("__amount").alias("__amount"))
+        groups = groups.withColumn("__above", F.sum("__amount").over(earlier(*partition).orderBy("__group")))
+        renamed = groups.select(*[F.col(p).alias(f"__p_{p}") for p in partition], F.col("__group").alias("__g"), "__above")
+        totals = totals.join(renamed, (F.col("__group") == F.col("__g")) & _all(F.col(p).eqNullSafe(F.col(f"__p_{p}")) for p in partition))
+        totals = totals.withColumn("__offset", F.coalesce("__offset", F.lit(0)) + F.coalesce("__above", F.lit(0))).drop("__g", *[f"__p_{p}" for p in partition])
+    offsets = totals.select(*[F.col(p).alias(f"__p_{p}") for p in partition], F.col("__bucket").alias("__b"), "__offset")
+    if not partition and buckets <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)
+    joined = df.join(offsets, (F.col("__bucket") == F.col("__b")) & _all(F.col(p).eqNullSafe(F.col(f"__p_{p}")) for p in partition), "left")
     return joined.withColumn(out, F.col(out) + F.coalesce("__offset", F.lit(0))).drop("__offset", "__b", *[f"__p_{p}" for p in partition])
 
 
@@ -81,9 +91,9 @@ def _direction(field: str, descending: bool) -> Column:
 
 def running_sum(df: DataFrame, amount: Column, order: str, row_id: list[str], out: str, descending: bool = True, partition: list[str] | None = None, rows_per_bucket: int | None = None) -> DataFrame:
     """Running sum in the order of a column, nulls last, ties by the row id."""
-    rows = with_bucket(df.withColumn("__value", amount), _along(df, order, descending), _direction(order, descending), row_id, rows_per_bucket)
+    rows, buckets = with_bucket(df.withColumn("__value", amount), _along(df, order, descending), _direction(order, descending), row_id, rows_per_bucket)
     window = Window.partitionBy(*(partition or []), "__bucket").orderBy(_direction(order, descending), *row_id).rowsBetween(Window.unboundedPreceding, 0)
-    return add_offsets(rows.withColumn(out, F.sum("__value").over(window)), partition or [], F.col("__value"), out).drop("__value", "__bucket")
+    return add_offsets(rows.withColumn(out, F.sum("__value").over(window)), buckets, partition or [], F.col("__value"), out).drop("__value", "__bucket")
 
 
 def row_number(df: DataFrame, order: str, row_id: list[str], out: str = "__row_id", descending: bool = False) -> DataFrame:
@@ -95,9 +105,9 @@ def rank(df: DataFrame, field: str, out: str, descending: bool = True, rows_per_
     """RANK over the whole table, nulls last and tied with each other. Ranks are found on the distinct values with
     their counts, so heavy ties are one row each, and joined back."""
     values = df.groupBy(F.col(field).alias("__v")).agg(F.count("*").alias("__n"))
-    values = with_bucket(values, _along(values, "__v", descending), _direction("__v", descending), ["__v"], rows_per_bucket)
+    values, buckets = with_bucket(values, _along(values, "__v", descending), _direction("__v", descending), ["__v"], rows_per_bucket)
     window = Window.partitionBy("__bucket").orderBy(_direction("__v", descending)).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = add_offsets(values.withColumn(out, F.coalesce(F.sum("__n").over(window), F.lit(0)) + 1), [], F.col("__n"), out)
+    ranked = add_offsets(values.withColumn(out, F.coalesce(F.sum("__n").over(window), F.lit(0)) + 1), buckets, [], F.col("__n"), out)
     return df.join(ranked.select("__v", out), F.col(field).eqNullSafe(F.col("__v"))).drop("__v")
 
 

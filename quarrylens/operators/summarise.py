@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.casts import as_double, as_timestamp
 from quarrylens.operators.filters import context
-from quarrylens.operators.orderstat import beside, order_statistics
+from quarrylens.operators.orderstat import beside, many_distinct, many_order_statistics, order_statistics
 
 
 def measure(df: DataFrame, fn: str, field: str | None = None) -> Column:
@@ -42,9 +41,13 @@ def summarise(df: DataFrame, keys: list[str], measures: list[dict]) -> DataFrame
         else:
             plain.append((m, a, one))
     out = df.groupBy(*keys).agg(F.count("*").alias("__rows"), *[c.alias(a) for _, a, c in plain])
+    medians = [(m, a) for m, a, _ in apart if m["fn"] == "median"]
+    if medians:  # all in the same scans
+        found = many_order_statistics(df, keys, [as_double(df, m["field"]) for m, _ in medians], (0.5,), ["__q"])
+        out = beside(out, found.groupBy(*keys).agg(*[F.max(F.when(F.col("__column") == i, F.col("__q"))).alias(a) for i, (_, a) in enumerate(medians)]), keys)
     for m, a, c in apart:
-        part = order_statistics(df, keys, as_double(df, m["field"]), (0.5,), [a]) if m["fn"] == "median" else df.groupBy(*keys).agg(c.alias(a))
-        out = beside(out, part, keys)
+        if m["fn"] != "median":
+            out = beside(out, df.groupBy(*keys).agg(c.alias(a)), keys)
     return out.select(*keys, *aliases)
 
 
@@ -88,9 +91,10 @@ def quantiles(df: DataFrame, field: str, points: tuple[float, ...] = (0.0, 0.25,
 
 
 def distinct_counts(df: DataFrame, fields: list[str], approximate: bool = False) -> DataFrame:
-    """Distinct counts, exact unless asked otherwise; each field is counted by itself, which reads one column."""
-    fn = F.approx_count_distinct if approximate else F.count_distinct
-    return reduce(DataFrame.unionByName, [df.agg(fn(f).alias("distinct_count")).select(F.lit(f).alias("field"), "distinct_count") for f in fields])
+    """Distinct counts of all fields in one scan, exact unless asked otherwise."""
+    if not approximate:
+        return many_distinct(df, fields)
+    return df.agg(*[F.approx_count_distinct(f).alias(f"d{i}") for i, f in enumerate(fields)]).select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"d{i}").alias("distinct_count")) for i, f in enumerate(fields)])))
 
 
 def moments(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
@@ -116,8 +120,28 @@ def date_range(df: DataFrame, field: str) -> DataFrame:
     return df.agg(F.min(day).alias("first_date"), F.max(day).alias("last_date"), F.count(day).alias("dated_rows")).where("dated_rows > 0")
 
 
+def fields_by_kind(df: DataFrame, fields: list[str] | None = None) -> tuple[list[str], list[str]]:
+    """(numeric, categorical) of the fields, by default all: numeric where at least four fifths of the values that are not null are
+    numbers, whatever the column's type; fields without values are neither. One pass for all."""
+    names = df.columns if fields is None else fields
+    if not names:
+        return [], []
+    row = df.agg(*[c for f in names for c in (F.count(as_double(df, f)), F.count(F.col(f"`{f}`")))]).first()
+    numbers, present = row[0::2], row[1::2]
+    numeric = [f for f, n, all_ in zip(names, numbers, present, strict=True) if all_ and n >= 0.8 * all_]
+    return numeric, [f for f, all_ in zip(names, present, strict=True) if all_ and f not in numeric]
+
+
+def chosen_field_summary(df: DataFrame, selected: Column, active: Column, fields: list[str] | None = None) -> DataFrame:
+    """``field_summary`` of the fields that count as numeric: the first five of the table, or of at most eight that are asked for."""
+    numeric, _ = fields_by_kind(df, None if fields is None else fields[:8])
+    return field_summary(df, numeric if fields is not None else numeric[:5], selected, active)
+
+
 def field_summary(df: DataFrame, numeric: list[str], selected: Column, active: Column) -> DataFrame:
-    """count, min, max, mean, sum of each field over the scopes selected, active and total; one pass."""
+    """count, min, max, mean, sum of each field over the scopes selected, active and total; one pass. No field gives no rows."""
+    if not numeric:
+        return df.sparkSession.createDataFrame([], "field string, scope string, count long, min double, max double, mean double, sum double")
     aggs, rows = [], []
     for f in numeric:
         for scope, inside in (("selected", selected), ("active", active), ("total", F.lit(True))):

@@ -98,6 +98,10 @@ QUERIES = {
     "ch4_grain": (grain, "SELECT CASE WHEN s / 2629746.0 <= 60 THEN 'month' WHEN s / 7889238.0 <= 60 THEN 'quarter' ELSE 'year' END AS grain FROM (SELECT epoch(max(o_orderdate)) - epoch(min(o_orderdate)) AS s FROM orders)"),
     "ch4_buckets": (buckets, "SELECT CAST(b AS TIMESTAMP) AS bucket, CAST(b + INTERVAL 1 MONTH - INTERVAL 1 MILLISECOND AS TIMESTAMP) AS bucket_end FROM (SELECT unnest(generate_series(CAST(date_trunc('month', min(o_orderdate)) AS TIMESTAMP), CAST(max(o_orderdate) AS TIMESTAMP), INTERVAL 1 MONTH)) AS b FROM orders)"),
     "ch5_facets": (facets, N + ", t AS (SELECT o_orderstatus AS facet, count(*) AS n FROM o GROUP BY 1 ORDER BY n DESC, facet LIMIT 2), g AS (SELECT o_orderstatus AS facet, prio_n AS label, count(*) AS total_count, coalesce(sum(price_n), 0) AS total_value, count(*) FILTER (o_totalprice >= 100000) AS count, coalesce(sum(price_n) FILTER (o_totalprice >= 100000), 0) AS value FROM o WHERE prio_n IS NOT NULL AND o_orderstatus IN (SELECT facet FROM t) GROUP BY 1, 2) SELECT facet, label, total_count, round(total_value, 2) AS total_value, count, round(value, 2) AS value FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY total_value DESC, total_count DESC, label) AS k FROM g) WHERE k <= 3"),
+    "ch5_facet_histogram_top": (
+        lambda s, d: ch.histogram(orders_n(s, d), "price_n", [LARGE], 6, facet="prio_n", panels=3).select("prio_n", F.col("bin").cast("long").alias("bin"), "total_count", "count"),
+        HIST.format(n=6, facet="prio_n", ctx="o_totalprice >= 100000") + ", f AS (SELECT prio_n AS facet FROM o WHERE prio_n IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3) SELECT facet AS prio_n, CAST(i AS BIGINT) AS bin, (SELECT count(*) FROM r WHERE bin = i AND r.facet = f.facet) AS total_count, (SELECT count(*) FROM r WHERE bin = i AND r.facet = f.facet AND inside) AS count FROM f, range(6) t(i)",
+    ),
     "ch5_facet_histogram": (facet_histogram, HIST.format(n=6, facet="o_orderstatus", ctx="o_totalprice >= 100000") + "SELECT facet AS o_orderstatus, CAST(i AS BIGINT) AS bin, (SELECT count(*) FROM r WHERE bin = i AND r.facet = f.facet) AS total_count, (SELECT count(*) FROM r WHERE bin = i AND r.facet = f.facet AND inside) AS count FROM (SELECT DISTINCT facet FROM r) f, range(6) t(i)"),
     "ch6_scatter": (scatter, N + "SELECT o_orderkey, TRY_CAST(mixed_txt AS DOUBLE) AS x, round(price_n, 3) AS y, o_orderstatus = 'O' AND o_totalprice >= 100000 AS in_context FROM o WHERE TRY_CAST(mixed_txt AS DOUBLE) IS NOT NULL AND price_n IS NOT NULL"),
     "snk6_chart_export": (export, N + "SELECT 'Orders by priority' AS chart_title, 'count' AS aggregation, 'status O' AS filters, o_orderpriority AS label, count(*) AS total_count, CAST(count(*) AS DOUBLE) AS total_value, count(*) FILTER (o_orderstatus = 'O') AS count, CAST(count(*) FILTER (o_orderstatus = 'O') AS DOUBLE) AS value FROM o GROUP BY o_orderpriority"),

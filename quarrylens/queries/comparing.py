@@ -124,8 +124,9 @@ def _category_gap(field):
     return f"SELECT '{field}' AS field, 'categorical' AS kind, sum(abs(s / CAST(ts AS DOUBLE) - r / CAST(tr AS DOUBLE))) / 2 AS strength FROM (SELECT count(*) FILTER (i) AS s, count(*) FILTER (NOT i) AS r, sum(count(*) FILTER (i)) OVER () AS ts, sum(count(*) FILTER (NOT i)) OVER () AS tr, row_number() OVER (ORDER BY count(*) DESC, coalesce({field}, '∅ Missing')) AS k FROM z GROUP BY coalesce({field}, '∅ Missing')) WHERE k <= 8"
 
 
-def _number_gap(field):
-    return f"SELECT '{field}' AS field, 'numeric' AS kind, abs(avg({field}) FILTER (i) - avg({field}) FILTER (NOT i)) / stddev_pop({field}) AS strength FROM z"
+def _number_gap(field, value=None):
+    v = value or field
+    return f"SELECT '{field}' AS field, 'numeric' AS kind, abs(avg({v}) FILTER (i) - avg({v}) FILTER (NOT i)) / stddev_pop({v}) AS strength FROM z"
 
 
 QUERIES = {
@@ -141,6 +142,14 @@ QUERIES = {
     "cp3_distribution": (distribution, N + f", r AS (SELECT {OPS} AS operand, price_n AS v FROM o WHERE price_n IS NOT NULL), b AS (SELECT *, min(v) OVER (PARTITION BY operand) AS lo, max(v) OVER (PARTITION BY operand) AS hi, count(*) OVER (PARTITION BY operand) AS valid FROM r) SELECT operand, CAST(least(9, floor((v - lo) / ((hi - lo) / 10))) AS BIGINT) AS bin, round(min(v), 6) AS least, round(max(v), 6) AS largest, count(*) AS count, round(count(*) / max(valid), 6) AS share FROM b GROUP BY 1, 2"),
     "cp4_months": (group_months, N + f"SELECT {OPS} AS operand, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS count, round(sum(price_n), 2) AS total FROM o GROUP BY 1, 2"),
     "cp5_located_records": (located, f"WITH p AS ({POINTS}), g AS (SELECT CAST(0 AS BIGINT) AS operand, CAST(pt_id AS VARCHAR) AS key, v AS value, x, y FROM p WHERE v > 5000 UNION ALL SELECT 1, CAST(pt_id AS VARCHAR), v, x, y FROM p WHERE v < 0) SELECT operand, key, round(value, 4) AS value, round(x, 4) AS x, round(y, 4) AS y FROM (SELECT *, row_number() OVER (PARTITION BY operand ORDER BY key) AS k FROM g) WHERE k <= 60"),
+    "ex1_selection_gaps": (
+        lambda s, d: rounded(cp.selection_gaps(orders_n(s, d), F.col("o_totalprice") > 250000, ["prio_n", "o_orderstatus"]), 6),
+        N + ", z AS (SELECT 'prio_n' AS field, coalesce(prio_n, '∅ Missing') AS label, o_totalprice > 250000 AS i FROM o UNION ALL SELECT 'o_orderstatus', o_orderstatus, o_totalprice > 250000 FROM o), c AS (SELECT field, label, count(*) FILTER (i) / sum(count(*) FILTER (i)) OVER (PARTITION BY field) AS a, count(*) FILTER (NOT i) / sum(count(*) FILTER (NOT i)) OVER (PARTITION BY field) AS b FROM z GROUP BY 1, 2) SELECT field, CAST(row_number() OVER (PARTITION BY field ORDER BY abs(a - b) DESC, label) AS INT) AS place, label, round(a, 6) AS selected_share, round(b, 6) AS rest_share, round(abs(a - b), 6) AS gap FROM c QUALIFY place <= 3",
+    ),
+    "ex1_explain_any": (
+        lambda s, d: rounded(cp.explain_any(orders_n(s, d).select("price_n", "o_custkey", "prio_n", "o_orderstatus", "mixed_txt"), F.col("price_n") > 250000), 6),
+        N + ", z AS (SELECT *, coalesce(price_n > 250000, false) AS i FROM o) SELECT field, kind, round(strength, 6) AS strength FROM (" + " UNION ALL ".join([_number_gap("price_n"), _number_gap("o_custkey"), _number_gap("mixed_txt", "TRY_CAST(mixed_txt AS DOUBLE)"), _category_gap("prio_n"), _category_gap("o_orderstatus")]) + ")",
+    ),
     "ex1_explain_selection": (explain, N + ", z AS (SELECT *, o_totalprice > 250000 AS i FROM o) SELECT field, kind, round(strength, 6) AS strength FROM (" + " UNION ALL ".join([_number_gap("price_n"), _number_gap("o_custkey"), _category_gap("prio_n"), _category_gap("o_orderstatus")]) + ")"),
     "cls1_equal_breaks": (equal, "SELECT " + ", ".join(f"round(min(p_retailprice) + (max(p_retailprice) - min(p_retailprice)) * {i} / 5, 6) AS b{i}" for i in range(1, 5)) + " FROM part"),
     "cls2_quantile_breaks": (quantile, "SELECT " + ", ".join(f"quantile_disc(p_retailprice, {i / 4}) AS b{i}" for i in range(1, 4)) + " FROM part"),

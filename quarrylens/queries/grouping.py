@@ -4,9 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylens.operators import orderstat as os_
 from quarrylens.operators import summarise as sm
 from quarrylens.queries.inputs import ORDERS_N, orders_n, rounded, table
 
+MERGED = ["o_custkey", "prio_n", "price_n"]
+
+
+def merged_distinct(spark, sf):
+    """Distinct values by status and over all statuses, the latter from the bitmaps of the former alone."""
+    o = orders_n(spark, sf)
+    parts = os_.distinct_bitmaps(o, os_.value_numbers(o, MERGED), MERGED, ["o_orderstatus"])
+    own, all_ = os_.distinct_of_bitmaps(parts, ["o_orderstatus"]), os_.distinct_of_bitmaps(parts, [])
+    return own.unionByName(all_.withColumn("o_orderstatus", F.lit("all")))
+
+
+def chosen_fields(spark, sf):
+    """The numeric ones among fields of which two are texts: one of numbers throughout, one with some that are not."""
+    o = orders_n(spark, sf)
+    return rounded(sm.chosen_field_summary(o, F.col("o_orderkey") % 10 == 0, F.col("o_orderstatus") == "O", ["cust_txt", "mixed_txt", "prio_n", "price_n"]), 2)
+
+
 N = f"WITH o AS ({ORDERS_N}) "
 PERIOD = {"type": "temporal", "field": "o_orderdate", "min": "1995-01-01 00:00:00", "max": "1995-12-31 23:59:59.999"}
 OPEN = {"type": "category", "field": "o_orderstatus", "values": ["O"]}
@@ -56,6 +74,8 @@ QUERIES = {
     "ag4_kpi_cohort": (_kpi("cohort", [{"type": "category", "field": "o_orderstatus", "values": ["F"]}]), K.format(a=A, c="sum(price_n) FILTER (o_orderstatus = 'F')")),
     "ag5_field_summary": (field_summary, N + _scopes("price_n", "price_n") + " UNION ALL " + _scopes("o_custkey", "CAST(o_custkey AS DOUBLE)")),
     "ag5_category_summary": (category_summary, "SELECT p_brand AS label, count(*) FILTER (p_partkey % 10 = 0) AS selected, count(*) FILTER (p_size > 20) AS active, count(*) AS total FROM part GROUP BY 1 ORDER BY selected DESC, active DESC, total DESC, label LIMIT 6"),
+    "ag6_merged_distinct": (merged_distinct, N + " UNION ALL ".join(f"SELECT {g} AS o_orderstatus, '{f}' AS field, count(DISTINCT {f}) AS distinct_count FROM o {by}" for f in MERGED for g, by in (("o_orderstatus", "GROUP BY 1"), ("'all'", "")))),
+    "ag5_chosen_fields": (chosen_fields, N + " UNION ALL ".join(_scopes(f, f"TRY_CAST({f} AS DOUBLE)") for f in ("cust_txt", "mixed_txt", "price_n"))),
     "ag6_distinct_counts": (lambda s, d: sm.distinct_counts(table(s, d, "lineitem"), ["l_partkey", "l_returnflag", "l_shipdate"]), "SELECT 'l_partkey' AS field, count(DISTINCT l_partkey) AS distinct_count FROM lineitem UNION ALL SELECT 'l_returnflag', count(DISTINCT l_returnflag) FROM lineitem UNION ALL SELECT 'l_shipdate', count(DISTINCT l_shipdate) FROM lineitem"),
     "ag7_quantiles": (lambda s, d: rounded(sm.quantiles(table(s, d, "lineitem"), "l_extendedprice"), 4), "SELECT round(quantile_cont(l_extendedprice, 0), 4) AS q0, round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.75), 4) AS q75, round(quantile_cont(l_extendedprice, 1), 4) AS q100 FROM lineitem"),
     "ag8_moments": (lambda s, d: rounded(sm.moments(table(s, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]), 6), "SELECT l_returnflag, round(stddev_pop(l_quantity), 6) AS stddev_pop, round(stddev_samp(l_quantity), 6) AS stddev_samp, round(corr(l_quantity, l_extendedprice), 6) AS corr FROM lineitem GROUP BY 1"),

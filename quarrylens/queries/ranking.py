@@ -47,6 +47,14 @@ def running_by(spark, sf):
     return out.select("o_orderkey", "cum")
 
 
+def running_one_value(spark, sf):
+    """One value and null in the order column, in small buckets: places follow the row id."""
+    from quarrylens.operators import ranking
+
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, 7.0).alias("v"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return ranking.running_sum(o, F.col("cents"), "v", ["o_orderkey"], "cum", rows_per_bucket=500).select("o_orderkey", "cum")
+
+
 def counted(spark, sf):
     p = table(spark, sf, "part").where("p_size > 40")
     rows = p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(20).crossJoin(F.broadcast(p.agg(F.count("*").alias("total"))))
@@ -114,6 +122,7 @@ QUERIES = {
     "rk3_percent_rank": (percent_ranks, N + "SELECT o_orderkey, round(percent_rank() OVER (ORDER BY price_n ASC NULLS LAST), 8) AS p FROM o"),
     "rk4_over_all": (over_all, N + "SELECT o_orderkey, round((price_n - min(price_n) OVER ()) / (max(price_n) OVER () - min(price_n) OVER ()), 6) AS share, round((price_n - avg(price_n) OVER ()) / stddev_pop(price_n) OVER (), 6) AS z FROM o"),
     "rk5_running_sum": (running, "SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM orders"),
+    "rk5_running_sum_one_value": (running_one_value, "SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (ORDER BY o_orderkey % 3 = 0, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM orders"),
     "rk5_running_sum_by_group": (running_by, "SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM orders"),
     "rk6_counted_page": (counted, "SELECT p_partkey, (SELECT count(*) FROM part WHERE p_size > 40) AS total FROM part WHERE p_size > 40 ORDER BY p_retailprice DESC, p_partkey LIMIT 20"),
     "sc1_score_zero": (_score("zero", CRITERIA), score_sql("zero") + "SELECT o_orderkey, round(score, 6) AS score FROM s"),
