@@ -18,7 +18,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most ``rows`` rows, so a batch of very long texts stays small in a worker."""
+    """Arrow batches of at most ``rows`` rows, a setting of the session from then on. Spark also ends a batch at
+    spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), so very long texts come a few at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -12,10 +12,12 @@ from __future__ import annotations
 import contextlib
 import functools
 import hashlib
+import itertools
 import os
 import pickle
 import struct
 import tempfile
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +53,9 @@ class Table:
             i = (i + 1) & mask
         return None, i
 
-    def add(self, slot: int, h: int, content: bytes, payload, size: int) -> None:
+    def add(self, slot: int, h: int, content: bytes, payload, size: int) -> list:
         self.slots[slot] = len(self.entries)
-        self.entries.append([h, content, payload])
+        self.entries.append(entry := [h, content, payload])
         self.bytes += len(content) + 200 + size
         if 2 * len(self.entries) > len(self.slots):
             self.slots = np.full(2 * len(self.slots), -1, np.int64)
@@ -63,21 +65,30 @@ class Table:
                 while self.slots[i] >= 0:
                     i = (i + 1) & mask
                 self.slots[i] = k
+        return entry
 
 
-def grace(records, merge, memory: int, size=lambda payload: 0):
+class Member(NamedTuple):
+    """A record that has found its entry."""
+
+    entry: list
+    payload: object
+
+
+def grace(records, merge, memory: int, size=lambda payload: 0, members: bool = False):
     """Entries [hash, content, payload], one for each distinct content. ``records`` yields (hash,
     content, payload); ``merge(a, b)`` joins the payloads of equal contents; ``size`` says how many bytes a payload
-    holds beside the content. Beyond ``memory`` bytes of what is held, records new to the table go to spill files by
+    holds beside the content. With ``members`` every record is told of as a ``Member`` as soon as it has its entry, before the
+    entries themselves, so that nobody has to keep lists of them. Beyond ``memory`` bytes of what is held, records new to the table go to spill files by
     the next bits of their hash, and each file is reduced in the same way. Copies never spill: they meet their entry
     in the table. Level 15 is the last of the 64 bits; beyond it contents of one hash stay together. The spill
     folder is the task's own and goes with it, whether it ends, fails or is left half-read."""
     with contextlib.ExitStack() as stack:
         folder = functools.cache(lambda: stack.enter_context(tempfile.TemporaryDirectory(prefix="grace-", ignore_cleanup_errors=True)))
-        yield from _reduced(records, merge, memory, size, 0, folder)
+        yield from _reduced(records, merge, memory, size, members, 0, folder)
 
 
-def _reduced(records, merge, memory: int, size, level: int, folder):
+def _reduced(records, merge, memory: int, size, members: bool, level: int, folder):
     table, files, paths = Table(), None, []
     for h, content, payload in records:
         entry, slot = table.find(h, content)
@@ -85,8 +96,12 @@ def _reduced(records, merge, memory: int, size, level: int, folder):
             table.bytes -= size(entry[2])
             entry[2] = merge(entry[2], payload)
             table.bytes += size(entry[2])
+            if members:
+                yield Member(entry, payload)
         elif table.bytes < memory or level > 15:
-            table.add(slot, h, content, payload, size(payload))
+            entry = table.add(slot, h, content, payload, size(payload))
+            if members:
+                yield Member(entry, payload)
         else:
             if files is None:
                 paths = [f"{folder()}/{level}-{os.urandom(6).hex()}" for _ in range(1 << FAN_OUT_BITS)]
@@ -101,7 +116,7 @@ def _reduced(records, merge, memory: int, size, level: int, folder):
         f.close()
     for p in paths:
         if os.path.getsize(p):
-            yield from _reduced(_spilled(p), merge, memory, size, level + 1, folder)
+            yield from _reduced(_spilled(p), merge, memory, size, members, level + 1, folder)
         os.unlink(p)
 
 
@@ -122,7 +137,7 @@ def _better(a, b) -> bool:
     return key(a) <= key(b)
 
 
-LOCAL = "doc_id long, group_key long, winner boolean, sha string, h long, content binary, n long, points long"
+LOCAL = "doc_id long, group_key long, place long, sha string, h long, content binary, n long, points long"
 GROUPS = "group_key long, keep_id long, group_size long, keep_key long"
 
 
@@ -131,11 +146,13 @@ def _arrow(columns, kinds) -> pa.RecordBatch:
 
 
 def _reduce_partition(memory: int):
-    """Per input partition: a row for each document with the key of its local group, and a row for each group with the content."""
-    kinds = [("doc_id", pa.int64()), ("group_key", pa.int64()), ("winner", pa.bool_()), ("sha", pa.string()), ("h", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("points", pa.int64())]
+    """Per input partition: a row for each document with the key of its local group and its place, as it is read, and a row for
+    each group with the content and the document and place of its best."""
+    kinds = [("doc_id", pa.int64()), ("group_key", pa.int64()), ("place", pa.int64()), ("sha", pa.string()), ("h", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("points", pa.int64())]
 
     def run(batches):
         part = TaskContext.get().partitionId()
+        numbers = itertools.count()
 
         def records():
             place = 0
@@ -143,20 +160,24 @@ def _reduce_partition(memory: int):
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     content = normalised(text)
                     sha, h = _hash(content)
-                    yield h, content, (1, -len(text or ""), doc_id, place, sha, [(doc_id, place)])
+                    yield h, content, (1, -len(text or ""), doc_id, place, sha, None)
                     place += 1
 
         def merge(a, b):
-            a[5].extend(b[5])
             best = a if _better(a, b) else b
             return (a[0] + b[0], *best[1:5], a[5])
 
         rows = []
-        for number, (h, content, (n, points, best, place, sha, ids)) in enumerate(grace(records(), merge, memory)):
-            key = (part << 36) | number
-            rows.append((best, key, None, sha, h - (1 << 64) if h >> 63 else h, content, n, -points))
-            rows.extend((i, key, at == place, None, None, None, None, None) for i, at in ids)
-            if len(rows) >= 500:
+        for found in grace(records(), merge, memory, members=True):
+            if isinstance(found, Member):
+                entry, (_, _, doc_id, place, _, _) = found
+                if entry[2][5] is None:  # the first of its group
+                    entry[2] = (*entry[2][:5], (part << 36) | next(numbers))
+                rows.append((doc_id, entry[2][5], place, None, None, None, None, None))
+            else:
+                h, content, (n, points, best, place, sha, key) = found
+                rows.append((best, key, place, sha, h - (1 << 64) if h >> 63 else h, content, n, -points))
+            if len(rows) >= 2000 or (len(rows) >= 500 and rows[-1][5] is not None):
                 yield _arrow(zip(*rows, strict=True), kinds)
                 rows = []
         if rows:
@@ -180,7 +201,7 @@ def _reduce_groups(memory: int):
             return (a[0] + b[0], *best[1:4], a[4])
 
         rows = []
-        for _, _, (n, _, best, keep, own) in grace(records(), merge, memory):
+        for _, _, (n, _, best, keep, own) in grace(records(), merge, memory, lambda p: 40 * len(p[4])):  # a key for each input partition at most
             rows.extend((key, best, n, keep) for key in own)
             if len(rows) >= 10_000:
                 yield _arrow(zip(*rows, strict=True), kinds)
@@ -198,7 +219,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
     texts are one group. The row with the most code points in the original text stays, then the one
     with the smallest id (a null id is the largest), then the first met: exactly one row of a group has
     kept = true, repeated ids included. An empty table gives no rows. Columns other than the two named
-    are not read. ``memory`` bounds the distinct content a task holds; beyond it records spill to its disk.
+    are not read. ``memory`` bounds the distinct content a task holds; beyond it records spill to its disk. Copies are handed on as
+    they are read, however many there are.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -206,9 +228,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
     local = written(source.mapInArrow(_reduce_partition(memory), LOCAL), "local-groups")
     heads = local.where("n IS NOT NULL")
     groups = heads.select("group_key", "h", "content", "n", "points", "doc_id").repartition(tasks_for(spark), "h").mapInArrow(_reduce_groups(memory), GROUPS)
-    groups = groups.join(heads.select("group_key", F.col("sha").alias("text_sha256")), "group_key")
-    rows = local.where("n IS NULL").select("doc_id", "group_key", "winner")
-    kept = F.col("winner") & (F.col("group_key") == F.col("keep_key"))
+    groups = groups.join(heads.select("group_key", F.col("sha").alias("text_sha256"), F.col("place").alias("best_place")), "group_key")
+    rows = local.where("n IS NULL").select("doc_id", "group_key", "place")
+    kept = (F.col("place") == F.col("best_place")) & (F.col("group_key") == F.col("keep_key"))
     return rows.join(groups, "group_key").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 

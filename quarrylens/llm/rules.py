@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import ASCII_SPACE, written
+from quarrylens.llm.common import ASCII_SPACE, unused, written
 
 # Frequent short words of four languages, each list in its usual order of frequency.
 COMMON_WORDS = {
@@ -58,6 +58,7 @@ FEW = 8
 def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input's columns (clashing names replaced) with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, and the two histograms as arrays of counts."""
+    docs, back = _set_aside(docs, text)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     out = docs.withColumn("__t", t).withColumn("__words", F.array_remove(F.split("__t", f"{ASCII_SPACE}+"), ""))
     out = out.withColumn(
@@ -91,7 +92,16 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     others = F.col("n_words") - F.aggregate("__common", F.lit(0.0), lambda a, x: a + x)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumns({"base_failed": failed, "class_counts": classes, "word_counts": F.concat("__common", F.array(others.cast("double")))})
-    return out.drop("__t", "__words", "__hashes", "__sorted", "__repeated", "__pairs", "__rest", "__lines", "__short", "__upper", "__digits", "__marks", "__common")
+    return out.drop("__t", "__words", "__hashes", "__sorted", "__repeated", "__pairs", "__rest", "__lines", "__short", "__upper", "__digits", "__marks", "__common").withColumnsRenamed(back)
+
+
+def _set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """The table with other names for columns that begin as the working columns here do, and the way back to theirs."""
+    aside = {}
+    for c in docs.columns:
+        if c.startswith("__") and c not in used:
+            aside[c] = unused("aside" + c, [*docs.columns, *aside.values()])
+    return docs.withColumnsRenamed(aside), {new: c for c, new in aside.items()}
 
 
 def shares(counts: Column, bins: int) -> Column:
@@ -126,9 +136,11 @@ def divergence_rules(docs: DataFrame, text: str = "text", lang: str = "lang", ma
 
     Null and empty texts have zero words and fail the base rules; texts below ``min_words`` keep the base verdict. Unknown
     and null languages share one reference; where no document of a language passes the base rules its reference
-    is missing, the distances are null and the base verdict stands. Repeated rows are judged alike. Clashing
-    columns of the input are replaced.
+    is missing, the distances are null and the base verdict stands. Repeated rows are judged alike. Columns of the
+    input that are called as one of the result are replaced; all others stay. An empty table gives no rows; a
+    very long text is measured whole.
     """
+    docs, back = _set_aside(docs, text, lang)
     known = F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).otherwise("other")
     made = [c for c in base_measures(docs, text).columns if c != text]
     bins = {"class_counts": 6, "word_counts": len(vocabulary())}
@@ -149,7 +161,7 @@ def divergence_rules(docs: DataFrame, text: str = "text", lang: str = "lang", ma
     judged = judged.join(F.broadcast(word_limits(judged)), "__ref", "left")  # one row for each language
     far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > F.col("__limit")))
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
-    return judged.withColumn("kept", kept).select(*made, "class_distance", "word_distance", "kept")
+    return judged.withColumn("kept", kept).select(*made, "class_distance", "word_distance", "kept").withColumnsRenamed(back)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

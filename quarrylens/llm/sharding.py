@@ -104,10 +104,11 @@ def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 20, rows_pe
     A row is told by its partition and its place there, so nulls and repeated rows are rows like others, each
     with a place of its own. The rows are written once with both, and all that follows reads that table: a task
     that runs again deals alike. The same input in the same partitions gives the same arrangement. An empty
-    table gives an empty result. Parts of a shard grow in number with the rows. Other columns are kept; ones
-    named like the two new columns are replaced.
+    table gives an empty result. Parts of a shard grow in number with the rows. Other columns are kept, whatever
+    they are called; ones named like the two new columns are replaced.
     """
-    df = df.drop(shard, slot)
+    names = df.drop(shard, slot).columns
+    df = df.drop(shard, slot).toDF(*[f"c{i}" for i in range(len(names))])  # no name of the input can clash with those below
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = written(df.withColumns({"__part": F.spark_partition_id(), "__at": place}), "placed")
     draw = lambda k: F.xxhash64(F.lit(seed * 31 + k), "__part", "__at")
@@ -120,17 +121,17 @@ def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 20, rows_pe
     dealt = (
         placed.withColumn("__rank", F.row_number().over(local))
         .join(F.broadcast(matrix) if partitions <= MATRIX_ROWS else matrix, "__part")
-        .withColumn(shard, F.size(F.filter("upto", lambda c: c < F.col("__rank"))).cast("int"))
+        .withColumn("__shard", F.size(F.filter("upto", lambda c: c < F.col("__rank"))).cast("int"))
         .withColumn("__bin", F.pmod(draw(3), F.lit(parts)).cast("int"))
         .drop("__rank", "upto")
     )
     dealt = written(dealt, "dealt")
-    before = Window.partitionBy(shard).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(shard, "__bin").count().select(shard, "__bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(shard, "__bin").orderBy(draw(4), "__part", "__at")
-    ranked = dealt.withColumn(slot, F.row_number().over(within))
-    out = ranked.join(F.broadcast(starts) if shards * parts <= 1_000_000 else starts, [shard, "__bin"])  # shards x parts numbers
-    return out.withColumn(slot, (F.col("__start") + F.col(slot) - 1).cast("long")).select(*df.columns, shard, slot)
+    before = Window.partitionBy("__shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__shard", "__bin").count().select("__shard", "__bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__shard", "__bin").orderBy(draw(4), "__part", "__at")
+    ranked = dealt.withColumn("__slot", F.row_number().over(within))
+    out = ranked.join(F.broadcast(starts) if shards * parts <= 1_000_000 else starts, ["__shard", "__bin"])  # shards x parts numbers
+    return out.select(*df.columns, "__shard", (F.col("__start") + F.col("__slot") - 1).cast("long")).toDF(*names, shard, slot)
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,28 @@ def test_exact_groups_against_sql(spark, duck):
     same(exact_dedup.op4_exact_dedup(spark, SF), duck, exact_dedup.ORACLE)
 
 
+def test_exact_groups_of_very_many_copies(spark):
+    """Copies are handed on as they are read: a worker holds one content and one batch, and memory far below the copies will do."""
+    df = spark.range(300_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 > 0, "").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text")).repartition(2)
+    found = exact_dedup.exact_groups(df, memory=100_000)
+    row = found.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.count_if("kept").alias("kept"), F.max("group_size").alias("most"), F.min(F.when(F.col("group_size") > 1, F.col("keep_id"))).alias("keep")).first()
+    assert tuple(row) == (300_000, 300_000, 3001, 297_000, 1)
+    members = [m for m in exact_dedup.grace(iter([(7, b"a", (1, 0, i, i)) for i in range(1000)]), lambda a, b: a, 1, members=True) if isinstance(m, exact_dedup.Member)]
+    assert [m.payload[2] for m in members] == list(range(1000))
+
+
+def test_long_texts_come_in_small_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    exact_dedup.small_batches(spark)
+    long = spark.range(150).repartition(1).select(F.repeat(F.lit("x"), 2_000_000).alias("text"))
+    assert max(r.n for r in long.mapInArrow(sizes, "n long").collect()) < 100_000_000
+
+
 def test_exact_groups_edges(docs, empty):
     found = sorted(rows(exact_dedup.exact_groups(docs)), key=str)
     assert len(found) == len(EDGE) and sum(r["kept"] for r in found) == len({r["text_sha256"] for r in found})
@@ -702,3 +724,15 @@ def test_revisit_rules(spark):
         assert len(found) == 8 and {i: (r.outcome, r.response_id, r.body) for i, r in out.items()} == {10: ("resolved", 1, "b1"), 11: ("mismatch", None, None), 12: ("resolved", 2, "b2"), 13: ("missing", None, None), 14: ("resolved", 2, "b2"), 15: ("missing", None, None), 16: ("resolved", 1, "b1")}
         assert out[10].headers == {"etag": 'W/"1"', "server": "s", "date": "d2"}
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_working_names_may_be_columns(spark):
+    """Names that the operators use for themselves come back with their values."""
+    names = ["upto", "__bin", "__part", "__at", "__start", "__rank", "__shard", "__t", "__words", "__lines", "__rest", "__ref", "__limit", "c0"]
+    df = spark.createDataFrame([(i, f"word {i} " * 60, "en") for i in range(40)], "doc_id long, text string, lang string").withColumns({n: F.lit(f"own {k}") for k, n in enumerate(names)})
+    own = {n: f"own {k}" for k, n in enumerate(names)}
+    placed = sharding.shuffle_into_shards(df, 5)
+    assert placed.columns == [*df.columns, "shard", "slot"]
+    for table in (placed, rules.divergence_rules(df), rules.base_measures(df)):
+        found = rows(table)
+        assert len(found) == 40 and all({n: r[n] for n in names} == own for r in found)
