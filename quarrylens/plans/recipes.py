@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.operators.summarise import measure
 from quarrylens.sources.shared import written
 
 
@@ -87,6 +88,35 @@ def sweep(variants: dict[str, dict], build: Callable[..., DataFrame]) -> tuple[D
     return out, failed
 
 
+def sweep_measures(df: DataFrame, variants: dict[str, dict], condition: Callable[..., Column], measures: list[dict], keys: list[str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Measures {fn, field, alias} of the rows that meet ``condition(**values)``, for every parameter set and combination of the keys,
+    with ``variant_id``; all sets in one scan and one grouping.
+
+    Each row is told which sets it belongs to, and tasks sum up by set before anything is shuffled. A set whose condition
+    cannot be built or does not fit the table is found by analysis, before anything runs, and reported; the others go
+    on. Without keys a set without rows has a row, with 0 for counts; with keys it has none."""
+    keys, good, failed = keys or [], {}, {}
+    for name, values in variants.items():
+        try:
+            given = condition(**values)
+            if df.select(given.alias("c")).dtypes[0][1] != "boolean":
+                raise ValueError("the condition is no boolean")
+            good[name] = given
+        except Exception as e:  # noqa: BLE001 - a failing variant is a result
+            failed[name] = str(e)
+    if not good:
+        return None, failed
+    inside = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in good.items()]))
+    rows = df.withColumn("variant_id", F.explode(inside))
+    aliases = [m.get("alias") or m["fn"] for m in measures]
+    found = rows.groupBy("variant_id", *keys).agg(*[measure(df, m["fn"], m.get("field")).alias(a) for m, a in zip(measures, aliases, strict=True)])
+    if keys:
+        return found, failed
+    every = df.sparkSession.createDataFrame([(n,) for n in good], "variant_id string")
+    whole = [F.coalesce(a, F.lit(0)).alias(a) if m["fn"] in ("count", "count_distinct") else F.col(a) for m, a in zip(measures, aliases, strict=True)]
+    return every.join(F.broadcast(found), "variant_id", "left").select("variant_id", *whole), failed  # a row for each set
+
+
 def computed(df: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
     """SQL expressions added in turn; each may use the ones before it."""
     for name, expression in fields:

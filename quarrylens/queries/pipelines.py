@@ -129,6 +129,28 @@ def coalesced_stream(spark, sf):
     return spark.read.parquet(path).select("user_id", "event_type", F.col("ts").alias("last_ts"), "run_length")
 
 
+def coalesced_state(spark, sf):
+    """The stream that keeps its own state, run to the end of the input: what the watermark has settled by then."""
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select("event_id", "user_id", "event_type", "ts")
+    path = folder(spark)
+    settled = st.coalesce_stateful(events, "user_id", "event_type", "ts", "event_id", 3600)
+    query = settled.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).outputMode("append").start()
+    query.awaitTermination()
+    return spark.read.schema(settled.schema).parquet(path).select("event_id")
+
+
+SWEPT = {f"v{i:02d}": {"least": i * 20_000, "status": "OFP"[i % 3]} for i in range(20)}
+
+
+def swept(spark, sf):
+    o = orders_n(spark, sf)
+    condition = lambda least, status, field="price_n": (F.col(field) >= least) & (F.col("o_orderstatus") == status)
+    out, failed = rc.sweep_measures(o, SWEPT | {"bad": {"least": 1, "status": "O", "field": "no field"}}, condition, [{"fn": "count", "alias": "n"}, {"fn": "sum", "field": "price_n", "alias": "total"}, {"fn": "count_distinct", "field": "o_custkey", "alias": "customers"}])
+    assert list(failed) == ["bad"]
+    return rounded(out, 2)
+
+
 TOKENS = "list_distinct(list_filter(string_split(regexp_replace(lower(coalesce({t}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "], w)))"
 
 QUERIES = {
@@ -136,6 +158,7 @@ QUERIES = {
     "pl2_run_upto": (upto, N + "SELECT o_orderkey, c_mktsegment AS r_c_mktsegment FROM o JOIN customer ON o_custkey = c_custkey WHERE price_n >= 100000"),
     "pl3_recipe": (recipe, N + "SELECT o_orderkey FROM o WHERE price_n >= 150000 AND o_orderstatus = 'F'"),
     "pl4_sweep": (sweep, N + "SELECT 'low' AS variant_id, count(*) AS n FROM o WHERE price_n >= 1000 AND o_orderstatus = 'O' UNION ALL SELECT 'high', count(*) FROM o WHERE price_n >= 200000 AND o_orderstatus = 'O'"),
+    "pl4_sweep_one_scan": (swept, N + " UNION ALL ".join(f"SELECT '{n}' AS variant_id, count(*) AS n, round(sum(price_n), 2) AS total, count(DISTINCT o_custkey) AS customers FROM o WHERE price_n >= {v['least']} AND o_orderstatus = '{v['status']}'" for n, v in SWEPT.items())),
     "cp7_variants": (compared_variants, N + " UNION ALL ".join(f"SELECT '{n}' AS variant_id, count(*) AS rows, round(avg(price_n), 3) AS mean FROM o WHERE price_n >= {x} AND o_orderstatus = 'O'" for n, x in (("a", 50000), ("b", 100000), ("c", 150000)))),
     "pl7_scenario_value": (scenario, "SELECT p_partkey, CASE WHEN p_size > 25 THEN 0 ELSE p_size END AS p_size FROM part"),
     "prj1_attribute": (attribute, "SELECT p_partkey, round(p_retailprice * 2, 4) AS new_value FROM part"),
@@ -145,6 +168,7 @@ QUERIES = {
     "ev2_touching": (touching, "SELECT event_id FROM events WHERE event_id % 50 = 7"),
     "ev3_stream_windows": (stream, "SELECT window_start, event_type, n FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"),
     "ev1_coalesce_stream": (coalesced_stream, "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)), r AS (SELECT *, sum(opens) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g), e AS (SELECT user_id, event_type, max(ts) AS last_ts, count(*) AS run_length FROM r GROUP BY user_id, event_type, run) SELECT * FROM e WHERE last_ts + INTERVAL 1 HOUR + INTERVAL 1 MICROSECOND <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"),
+    "ev1_coalesce_state": (coalesced_state, "WITH n AS (SELECT *, lead(event_type) OVER w AS nk, lead(ts) OVER w AS nt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM events) SELECT event_id FROM n, m WHERE NOT coalesce(nk = event_type AND nt - ts <= INTERVAL 1 HOUR, FALSE) AND (coalesce(nt < mark, FALSE) OR ts + INTERVAL 1 HOUR < mark)"),
     "tx1_claims": (claims, f"WITH l AS (SELECT item_id, {TOKENS.format(t='text')} AS a FROM benchmark), s AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), r AS (SELECT doc_id * 100000 + i AS line_id, {TOKENS.format(t='parts[i + 1]')} AS b FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM s)), p AS (SELECT item_id, line_id, len(list_intersect(a, b)) AS k, len(a) AS na, len(b) AS nb FROM l, r WHERE len(a) > 0 AND len(b) > 0), q AS (SELECT *, k / (na + nb - k) AS similarity FROM p WHERE k / (na + nb - k) >= 0.4), t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, line_id) AS n FROM q) SELECT item_id, line_id, round(similarity, 6) AS similarity FROM t WHERE n = 1"),
     "tx1_claim_status": (claim_statuses, f"WITH l AS (SELECT item_id, text AS lt, {TOKENS.format(t='text')} AS a FROM benchmark), s AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), r AS (SELECT doc_id * 100000 + i AS line_id, parts[i + 1] AS rt, {TOKENS.format(t='parts[i + 1]')} AS b FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM s)), p AS (SELECT item_id, line_id, len(list_intersect(a, b)) AS k, len(a) AS na, len(b) AS nb FROM l, r WHERE len(a) > 0 AND len(b) > 0), q AS (SELECT *, k / (na + nb - k) AS similarity FROM p WHERE k / (na + nb - k) >= 0.4), t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, line_id) AS n FROM q), m AS (SELECT item_id, line_id FROM t WHERE n = 1), lv AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'draft' WHEN length(lt) % 2 = 0 THEN 'even' ELSE 'odd' END AS va FROM l), rv AS (SELECT line_id, CASE WHEN line_id % 3 = 0 THEN 'draft' WHEN length(rt) % 2 = 0 THEN 'even' ELSE 'odd' END AS vb FROM r), j AS (SELECT lv.item_id, rv.line_id, CASE WHEN lv.item_id IS NULL THEN 'only-right' WHEN rv.line_id IS NULL THEN 'only-left' WHEN va <> vb AND va <> 'draft' AND vb <> 'draft' THEN 'conflict' ELSE 'agreement' END AS status FROM (lv LEFT JOIN m USING (item_id)) FULL JOIN rv USING (line_id)) SELECT status, count(*) AS n, count(DISTINCT item_id) AS claims FROM j GROUP BY 1"),
 }
