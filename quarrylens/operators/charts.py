@@ -121,8 +121,8 @@ def facets(df: DataFrame, facet: str, dimension: str, specs: list[dict], fn: str
 
 
 def sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
-    """A fixed-size sample by hash: the same rows on every run, whatever the partitions."""
-    return df.orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id).limit(n)
+    """A fixed-size sample by hash (MD5 of id and seed): the same rows on every run and engine, whatever the partitions."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed)))), row_id).limit(n)
 
 
 def scatter(df: DataFrame, x: str, y: str, row_id: str, specs: list[dict], most: int = 12_000, seed: int = 7) -> DataFrame:

@@ -215,6 +215,9 @@ HEX = "r AS (SELECT *, x * pi() / 180 * 6378137 AS mx, ln(tan(radians(y) / 2 + p
 BOX = {"intersects": "xmin <= r_xmax AND xmax >= r_xmin AND ymin <= r_ymax AND ymax >= r_ymin", "overlaps": "xmin < r_xmax AND xmax > r_xmin AND ymin < r_ymax AND ymax > r_ymin"}
 LAT = "degrees(atan(sinh(pi() * (1 - 2 * ({y}) / {n}))))"
 
+#: Cells of the polygons above: for each centre the edges to its right, all cells against all edges.
+POLYFILL = R + f", c AS (SELECT i AS tile_x, j AS tile_y, (i + 0.5) / 64 * 360 - 180 AS lon, {LAT.format(y='j + 0.5', n=64)} AS lat FROM range(64) a1(i), range(64) b1(j)), e AS (SELECT area_id, grp, unnest([[xmin - 8, ymin - 5, xmax + 9, ymin], [xmax + 9, ymin, xmax, ymax + 11], [xmax, ymax + 11, xmin + 2, ymax + 3], [xmin + 2, ymax + 3, xmin - 8, ymin - 5], [xmin + 4, ymin, xmax, ymin + 4], [xmax, ymin + 4, xmin + 4, ymax], [xmin + 4, ymax, xmin, ymin + 4], [xmin, ymin + 4, xmin + 4, ymin]]) AS q FROM a), h AS (SELECT area_id, grp, tile_x, tile_y FROM e JOIN c ON (q[2] > lat) <> (q[4] > lat) AND lon < (q[3] - q[1]) * (lat - q[2]) / (q[4] - q[2]) + q[1] GROUP BY ALL HAVING count(*) % 2 = 1) SELECT tile_x, tile_y, count(*) AS feature_count, CAST(sum(grp) AS BIGINT) AS total FROM h GROUP BY 1, 2"
+
 QUERIES = {
     "jn2_points_intersect": (_point_join("intersects", "left"), R + "SELECT pt_id, area_id FROM p LEFT JOIN (SELECT area_id, xmin, xmax - 3 AS xmax, ymin, ymax FROM a) ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax"),
     "jn2_points_within": (_point_join("within", "inner"), R + "SELECT pt_id, area_id FROM p JOIN (SELECT area_id, xmin, xmax - 3 AS xmax, ymin, ymax FROM a) ON x > xmin AND x < xmax AND y > ymin AND y < ymax"),
@@ -245,7 +248,7 @@ QUERIES = {
     "jn5_box_difference": (difference, R + ", c AS (SELECT xmin + 3 AS x0, xmax + 3 + area_id % 4 * 2 AS x1, ymin - 2 AS y0, ymax - 3 + area_id % 5 AS y1 FROM a WHERE area_id % 3 > 0), u AS (SELECT area_id, xmin + i AS x, ymin + j AS y FROM a, range(8) r(i), range(8) s(j)) SELECT area_id, CAST(count(*) AS DOUBLE) AS area FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE x0 <= x AND x1 > x AND y0 <= y AND y1 > y) GROUP BY 1"),
     "sp5_dissolve_noded": (dissolve_two_sizes, R + "SELECT CAST(floor(area_id / 9.0) AS BIGINT) AS grp, 2 * count(*) + 2 + (min(area_id) + 1) % 2 + (max(area_id) + 1) % 2 AS edges, 16.0::DOUBLE * count(*) + 16 AS perimeter FROM a GROUP BY 1"),
     "sp5_ring_outlines": (ring_outlines, R + "SELECT CAST(floor(area_id / 9.0) AS BIGINT) AS grp, min(xmin) AS start_x, min(ymin) AS start_y, 2 * count(*) + 2 + (min(area_id) + 1) % 2 + (max(area_id) + 1) % 2 AS vertices, sum((xmax - xmin) * (ymax - ymin)) AS area, 16.0::DOUBLE * count(*) + 16 AS perimeter FROM a GROUP BY 1"),
-    "sp11_polyfill_rings": (polyfill_rings, R + f", c AS (SELECT i AS tile_x, j AS tile_y, (i + 0.5) / 64 * 360 - 180 AS lon, {LAT.format(y='j + 0.5', n=64)} AS lat FROM range(64) a1(i), range(64) b1(j)), e AS (SELECT area_id, grp, unnest([[xmin - 8, ymin - 5, xmax + 9, ymin], [xmax + 9, ymin, xmax, ymax + 11], [xmax, ymax + 11, xmin + 2, ymax + 3], [xmin + 2, ymax + 3, xmin - 8, ymin - 5], [xmin + 4, ymin, xmax, ymin + 4], [xmax, ymin + 4, xmin + 4, ymax], [xmin + 4, ymax, xmin, ymin + 4], [xmin, ymin + 4, xmin + 4, ymin]]) AS q FROM a), h AS (SELECT area_id, grp, tile_x, tile_y FROM e JOIN c ON (q[2] > lat) <> (q[4] > lat) AND lon < (q[3] - q[1]) * (lat - q[2]) / (q[4] - q[2]) + q[1] GROUP BY ALL HAVING count(*) % 2 = 1) SELECT tile_x, tile_y, count(*) AS feature_count, CAST(sum(grp) AS BIGINT) AS total FROM h GROUP BY 1, 2"),
+    "sp11_polyfill_rings": (polyfill_rings, POLYFILL),
     "sp13_dot_density": (dots, R + "SELECT area_id, CAST(greatest(1, floor(area_id * 3 / 10.0)) AS BIGINT) AS dots FROM a WHERE area_id * 3 > 0"),
     "sp14_tile_index": (tiles, R + ", z AS (SELECT area_id, z, n, " + "greatest(0, least(n - 1, floor((xmin + 180) / 360 * n))) AS x0, greatest(0, least(n - 1, floor((xmax + 180) / 360 * n))) AS x1, " + TILES[1].format(n="n").replace("(y,", "(ymax,") + " AS y0, " + TILES[1].format(n="n").replace("(y,", "(ymin,") + " AS y1 FROM a, (VALUES (1, 2), (2, 4), (3, 8)) v(z, n)) SELECT CAST(z AS BIGINT) AS z, i AS tile_x, j AS tile_y, count(*) AS features FROM z, range(8) r1(i), range(8) r2(j) WHERE i BETWEEN x0 AND x1 AND j BETWEEN y0 AND y1 GROUP BY 1, 2, 3"),
     "sp15_glyph_grid": (glyphs, P + ", g AS (SELECT CAST(floor(x * pi() / 180 * 6378137 / 2000000) AS BIGINT) AS gx, CAST(floor(ln(tan(radians(y) / 2 + pi() / 4)) * 6378137 / 2000000) AS BIGINT) AS gy, count(*) * 1.0::DOUBLE AS weight, sum(v) AS s FROM p WHERE abs(y) <= 85 GROUP BY 1, 2) SELECT gx, gy, weight, round(s, 2) AS sum_v, (SELECT round(max(abs(s)), 2) FROM g) AS grid_max FROM g"),

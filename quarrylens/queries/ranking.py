@@ -141,5 +141,5 @@ QUERIES = {
     "st2_result_cap": (lambda s, d: fl.ordered(table(s, d, "events"), "ts", "event_id", descending=True).select("event_id", "ts"), "SELECT event_id, ts FROM events ORDER BY ts DESC NULLS LAST, event_id LIMIT 5000"),
     "st3_top_groups": (lambda s, d: ch.top_groups(orders_n(s, d), "prio_n", 4), N + "SELECT prio_n AS label, count(*) AS count FROM o GROUP BY 1 ORDER BY count DESC, label NULLS LAST LIMIT 4"),
     "st4_top_and_other": (lambda s, d: ch.top_and_other(table(s, d, "part"), "p_brand", 5).select("label", "count"), "WITH c AS (SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS k FROM part GROUP BY 1) SELECT CASE WHEN k <= 5 THEN p_brand ELSE 'Other' END AS label, CAST(sum(n) AS BIGINT) AS count FROM c GROUP BY 1"),
-    "st5_sample": (seeded, None),
+    "st5_sample": (seeded, "SELECT event_id FROM events ORDER BY md5(event_id || ':7'), event_id LIMIT 1200"),
 }

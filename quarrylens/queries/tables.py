@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from quarrylens.functions.casts import column_subset, normalised_types, public_columns
 from quarrylens.operators import profile as pf
 from quarrylens.operators.filters import filtered, search
+from quarrylens.operators.outline import polyfill_rings
 from quarrylens.queries.inputs import AREAS, ORDERS_N, POINTS, areas, orders_n, points, rounded, table
+from quarrylens.queries.mapping import POLYFILL, polygons
 from quarrylens.sources import io
 from quarrylens.sources.shared import new_path
 
@@ -39,6 +41,24 @@ def geojson(spark, sf):
     return rounded(io.geojson(spark, path).select(F.col("pt_id").cast("long").alias("pt_id"), "geometry_type", "x", "y"), 6)
 
 
+def geojson_areas(spark, sf):
+    """Areas with holes, every other one in two parts, written as features, read back and laid on cells."""
+    p = polygons(spark, sf)
+    outer, hole = F.get("rings", F.lit(0)), F.get("rings", F.lit(1))
+    parts = F.when(F.col("area_id") % 2 == 0, F.array("rings")).otherwise(F.array(F.array(outer), F.array(hole)))
+    io.geojson_areas(p.select("area_id", "grp", parts.alias("parts")), "parts").write.text(path := folder(spark) + ".geojsonl")
+    read = io.geojson(spark, path).where("NOT bad_geometry").select(F.col("area_id").cast("long").alias("area_id"), F.col("grp").cast("long").alias("grp"), "rings")
+    return polyfill_rings(read, "rings", 6, "area_id", "grp").select("tile_x", "tile_y", "feature_count", "total")
+
+
+def area_lines(spark, sf):
+    """The features of areas with holes, read as plain JSON: rings are closed, so they have five points."""
+    rows = io.geojson_areas(polygons(spark, sf).select("area_id", F.array("rings").alias("parts")), "parts")
+    at = lambda p: F.get_json_object("value", p)
+    rings = F.from_json(at("$.geometry.coordinates"), "array<array<array<double>>>")
+    return rows.select(at("$.properties.area_id").cast("long").alias("area_id"), at("$.geometry.type").alias("type"), F.size(rings).alias("rings"), F.aggregate(rings, F.lit(0), lambda a, r: a + F.size(r)).alias("points"))
+
+
 def _boxes(spark, sf):
     path = folder(spark)
     areas(spark, sf).select("area_id", F.struct("xmin", "ymin", "xmax", "ymax").alias("bbox")).write.parquet(path)
@@ -140,6 +160,12 @@ QUERIES = {
     "src8_inspect": (inspect, "SELECT f AS field, (SELECT count(*) FROM supplier) AS rows, TRUE AS area_pushdown FROM (VALUES ('area_id'), ('bbox')) t(f)"),
     "src9_named_relation": (named, "SELECT * FROM region"),
     "src10_list_tables": (listing, "SELECT 'listed_region' AS name, 'r_regionkey,r_name' AS columns"),
+    "src5_geojson_areas": (geojson_areas, POLYFILL),
+    "snk2_geojson_areas": (area_lines, f"SELECT area_id, 'Polygon' AS type, 2 AS rings, 10 AS points FROM ({AREAS})"),
+    "src10_described_tables": (
+        lambda s, d: io.described({"orders": orders_n(s, d).select("o_orderkey", "price_n", "prio_n"), "nation": table(s, d, "nation").select("n_name"), "__hidden": table(s, d, "region")}),
+        f"SELECT 'orders' AS name, 'o_orderkey' AS column, 'bigint' AS type, count(*) AS rows, count(*) - count(o_orderkey) AS nulls FROM ({ORDERS_N}) UNION ALL SELECT 'orders', 'price_n', 'double', count(*), count(*) - count(price_n) FROM ({ORDERS_N}) UNION ALL SELECT 'orders', 'prio_n', 'string', count(*), count(*) - count(prio_n) FROM ({ORDERS_N}) UNION ALL SELECT 'nation', 'n_name', 'string', count(*), 0 FROM nation",
+    ),
     "src11_proven_row_id": (proven_id, "SELECT 'o_orderkey' AS row_id, 'validated-unique' AS quality, count(DISTINCT o_orderkey) AS ids FROM orders"),
     "src11_made_row_id": (made_id, "SELECT count(*) AS ids, CAST(1 AS BIGINT) AS first, count(*) AS last, 'materialised' AS quality FROM lineitem"),
     "src12_cell_column": (cell_column, "SELECT 'cell' AS found, count(*) AS rows FROM orders"),

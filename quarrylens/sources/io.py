@@ -39,8 +39,10 @@ def json_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """A row per feature: properties, ``__geojson_id``, geometry type, x and y of points, outer ring of polygons; a geometry
-    that cannot be read is null and counted by ``bad_geometries``. Line-delimited features (.geojsonl) are read in parallel."""
+    """A row per feature: properties, ``__geojson_id``, geometry type, x and y of points, the outer ring of a polygon, and all
+    rings of polygons of one or several parts (holes included; inside is what an odd number of rings surrounds). A geometry
+    that cannot be read, or an area without rings, is null and told by ``bad_geometry``. Line-delimited features (.geojsonl)
+    are read in parallel."""
     whole = not path.rstrip("/").endswith(("geojsonl", "ndjson"))
     raw = spark.read.text(path, wholetext=whole).select(F.col("value").alias("t"))
     kind = F.get_json_object("t", "$.type")
@@ -51,16 +53,22 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     shape = found["properties"].dataType if "properties" in found.names and isinstance(found["properties"].dataType, T.StructType) else T.StructType()
     part = lambda p: F.get_json_object("f", p)
     point, ring = F.from_json(part("$.geometry.coordinates"), "array<double>"), F.from_json(part("$.geometry.coordinates[0]"), "array<array<double>>")
+    place = lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"))
+    parts = F.when(part("$.geometry.type") == "Polygon", F.array(F.from_json(part("$.geometry.coordinates"), "array<array<array<double>>>")))
+    parts = parts.when(part("$.geometry.type") == "MultiPolygon", F.from_json(part("$.geometry.coordinates"), "array<array<array<array<double>>>>"))
+    rings = F.transform(F.flatten(parts), lambda r: F.transform(r, place))
+    whole_rings = (F.size(rings) > 0) & F.forall(rings, lambda r: F.coalesce((F.size(r) > 2) & F.forall(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), F.lit(False)))
     names = {"Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection"}
     good = part("$.geometry.type").isin(*names) & (part("$.geometry.coordinates").isNotNull() | (part("$.geometry.type") == "GeometryCollection"))
+    good = good & (~part("$.geometry.type").isin("Polygon", "MultiPolygon") | F.coalesce(whole_rings, F.lit(False)))
     out = rows.select(
         F.from_json(F.coalesce(part("$.properties"), F.lit("{}")), shape).alias("p"), part("$.id").alias("__geojson_id"), F.when(good, part("$.geometry.type")).alias("geometry_type"),
         F.when(part("$.geometry.type") == "Point", F.get(point, F.lit(0))).alias("x"), F.when(part("$.geometry.type") == "Point", F.get(point, F.lit(1))).alias("y"),
-        F.when(part("$.geometry.type") == "Polygon", F.transform(ring, lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))).alias("ring"), (part("$.geometry").isNotNull() & ~F.coalesce(good, F.lit(False))).alias("bad_geometry"),
+        F.when(good & (part("$.geometry.type") == "Polygon"), F.transform(ring, place)).alias("ring"), F.when(good, rings).alias("rings"), (part("$.geometry").isNotNull() & ~F.coalesce(good, F.lit(False))).alias("bad_geometry"),
     )
     own = [n for n in shape.names if n != "__geojson_id"]
     fid = F.col("p.__geojson_id").cast("string") if "__geojson_id" in shape.names else F.col("__geojson_id")
-    return out.select(*[F.col(f"p.`{n}`") for n in own], fid.alias("__geojson_id"), "geometry_type", "x", "y", "ring", "bad_geometry")
+    return out.select(*[F.col(f"p.`{n}`") for n in own], fid.alias("__geojson_id"), "geometry_type", "x", "y", "ring", "rings", "bad_geometry")
 
 
 def bbox_condition(west: float, south: float, east: float, north: float, column: str = "bbox") -> Column:
@@ -149,6 +157,35 @@ def geojson_lines(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def geojson_areas(df: DataFrame, parts: str) -> DataFrame:
+    """One text column with a Feature per row whose geometry is the column ``parts``: lists of rings (arrays of x, y, open or
+    closed), the first of a part outside and the others holes. One part makes a Polygon, several a MultiPolygon; null or
+    no part is a feature without geometry. The other columns are its properties."""
+    closed = lambda r: F.when((F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)) & (F.size(r) > 1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+    places = lambda r: F.transform(closed(r), lambda p: F.array(p["x"].cast("double"), p["y"].cast("double")))
+    coordinates = F.transform(F.col(parts), lambda part: F.transform(part, places))
+    shape = F.when(F.size(parts) == 1, F.concat(F.lit('{"type":"Polygon","coordinates":'), F.to_json(F.get(coordinates, F.lit(0))), F.lit("}")))
+    shape = shape.when(F.size(parts) > 1, F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), F.to_json(coordinates), F.lit("}"))).otherwise("null")
+    properties = F.to_json(F.struct(*[c for c in df.columns if c != parts]), {"ignoreNullFields": "false"})
+    return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), properties, F.lit("}")).alias("value"))
+
+
+def described(tables: dict[str, DataFrame], hidden: tuple[str, ...] = ("__", "tmp_")) -> DataFrame:
+    """(name, column, type, rows, nulls) of every column of the tables, of each by one aggregate; names that begin with a hidden
+    prefix are left out."""
+    out = None
+    for name, df in tables.items():
+        if name.startswith(hidden) or not df.columns:
+            continue
+        row = lambda i, n, t, name=name: F.struct(F.lit(name).alias("name"), F.lit(n).alias("column"), F.lit(t).alias("type"), F.col("rows"), (F.col("rows") - F.col(f"n{i}")).alias("nulls"))
+        part = df.agg(F.count("*").alias("rows"), *[F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(df.columns)])
+        part = part.select(F.inline(F.array(*[row(i, n, t) for i, (n, t) in enumerate(df.dtypes)])))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no table to describe")
+    return out
+
+
 def materialise(df: DataFrame, name: str, geometry: tuple[str, ...] = ("geometry", "geom", "wkb_geometry", "ring")) -> tuple[DataFrame, str]:
     """Saved as a table; ``layer`` with geometry, else ``dataset`` with a row id."""
     from quarrylens.operators.profile import row_id

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import re
 
 import pytest
@@ -240,6 +241,7 @@ def test_sources(spark, tmp_path):
         io.json_rows(spark, str(tmp_path / "bad.json"))
     (tmp_path / "f.geojson").write_text('{"type": "FeatureCollection", "features": [{"type": "Feature", "id": "p", "geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"n": 1}}, {"type": "Feature", "geometry": null, "properties": {"n": 2}}, {"type": "Feature", "geometry": {"type": "Blob"}, "properties": {"n": 3}}, {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}, "properties": {"n": 4}}]}')
     rows = {r.n: r for r in io.geojson(spark, str(tmp_path / "f.geojson")).collect()}
+    assert rows[4].rings == [rows[4].ring] and len(rows[4].ring) == 4 and rows[1].rings is None and not rows[4].bad_geometry
     assert rows[1]["__geojson_id"] == "p" and (rows[1].x, rows[1].y) == (1.0, 2.0)
     assert not rows[2].bad_geometry and rows[3].bad_geometry and len(rows[4].ring) == 4
     (tmp_path / "t.csv").write_text("a,b\n")
@@ -302,8 +304,8 @@ def test_order_statistics_against_numpy(spark):
 
 def test_sample_is_the_smallest_hashes(spark):
     df = spark.range(5000).repartition(7)
-    want = sorted(df.select(F.xxhash64(F.col("id"), F.lit(7)).alias("h"), "id").collect())[:300]
-    assert sorted(r.id for r in charts.sample(df, "id", 300, 7).collect()) == sorted(r.id for r in want)
+    want = sorted(range(5000), key=lambda i: hashlib.md5(f"{i}:7".encode()).hexdigest())[:300]
+    assert sorted(r.id for r in charts.sample(df, "id", 300, 7).collect()) == sorted(want)
 
 
 def test_sweep_reports_what_fails_while_running(spark):
@@ -352,3 +354,38 @@ def test_claims_against_all_pairs(spark):
         assert got[i].right_id == -best[1] and abs(got[i].similarity - best[0]) < 1e-9
         back = max((sim(cut(x), cut(dict(b)[-best[1]])), -k) for k, x in a)
         assert got[i].mutual == (-back[1] == i)
+
+
+def test_geojson_areas_there_and_back(spark, tmp_path):
+    """Holes, several parts, open and closed rings, no geometry, and areas that are none."""
+    ring = lambda *ps: [{"x": float(x), "y": float(y)} for x, y in ps]
+    square, hole, far = ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((1, 1), (2, 1), (2, 2), (1, 1)), ring((9, 9), (10, 9), (10, 10))
+    rows = [(1, 'quote " and \n', [[square, hole]]), (2, None, [[square], [far]]), (3, "none", None), (4, "empty", [])]
+    df = spark.createDataFrame(rows, "id long, name string, parts array<array<array<struct<x:double,y:double>>>>")
+    io.geojson_areas(df, "parts").write.text(path := str(tmp_path / "areas.geojsonl"))
+    got = {r.id: r for r in io.geojson(spark, path).collect()}
+    closed = lambda r: [(p["x"], p["y"]) for p in r] + ([] if r[0] == r[-1] else [(r[0]["x"], r[0]["y"])])
+    points = lambda rings: [[tuple(p) for p in r] for r in rings]
+    assert got[1].geometry_type == "Polygon" and points(got[1].rings) == [closed(square), closed(hole)] and points([got[1].ring]) == [closed(square)]
+    assert got[2].geometry_type == "MultiPolygon" and points(got[2].rings) == [closed(square), closed(far)] and got[2].ring is None
+    assert [(got[i].rings, got[i].geometry_type, got[i].bad_geometry) for i in (3, 4)] == [(None, None, False)] * 2
+    assert {i: r.name for i, r in got.items()} == {i: n for i, n, _ in rows}
+    bad = ['{"type":"Feature","geometry":{"type":"Polygon","coordinates":%s},"properties":{"id":%d}}' % (c, i) for i, c in enumerate(("[]", "[[[0,0],[1,1]]]", "7", "[[[0,0],[1,0],[null,1]]]"))]
+    (tmp_path / "bad.geojsonl").write_text("\n".join(bad))
+    assert [(r.bad_geometry, r.rings, r.ring, r.geometry_type) for r in io.geojson(spark, str(tmp_path / "bad.geojsonl")).collect()] == [(True, None, None, None)] * 4
+
+
+def test_described_tables(spark):
+    df = spark.createDataFrame([(1, None), (2, "x")], "`a b` long, c string")
+    got = io.described({"t": df, "__own": df, "none": spark.range(0)}).collect()
+    assert sorted(map(tuple, got)) == [("none", "id", "bigint", 0, 0), ("t", "a b", "bigint", 2, 0), ("t", "c", "string", 2, 1)]
+    with pytest.raises(ValueError):
+        io.described({"__own": df})
+
+
+def test_row_id_is_proven(spark):
+    df = spark.range(3000).select((F.col("id") % 2990).alias("nearly_id"), F.when(F.col("id") > 0, F.col("id")).alias("null_id"), F.col("id").alias("own"))
+    assert profile.row_id(df)[1:] == ("own", "validated-unique")
+    made, name, quality = profile.row_id(df.select("nearly_id"))
+    assert (name, quality) == ("__row_id", "materialised") and made.agg(F.count_distinct(name)).first()[0] == 3000
+    assert profile.row_id(df.limit(0))[2] == "materialised"
