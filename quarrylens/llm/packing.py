@@ -1,7 +1,7 @@
 """Packing documents into token windows by lexical retrieval.
 
 Documents are tokenized once; whole windows of a long document stand alone, and the remaining tails
-are packed. Tails are range-partitioned by a min-hash of their tokens, so likely neighbours meet, and
+are packed. Tails are dealt in the order of a min-hash of their tokens, so likely neighbours meet, and
 each task builds BM25 inverted index shards over bounded blocks of them, weighted by document
 frequencies of the whole corpus. For every seed the index returns unused neighbours, best first, which fill
 the seed's window; the last one is cut where the window ends and its rest is the next seed, so no window
@@ -11,10 +11,12 @@ but the last of a task is padded.
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ TERMS = 24
 NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 REMEMBERED = 400_000
+#: Keys in the sample that gives the edges of the parts, for each part: chosen by their hash, so the same in every run.
+SAMPLED = 100
 
 
 class Tokens:
@@ -96,24 +100,32 @@ def _signature(ids: np.ndarray) -> int:
     return int(((pairs + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).min()) if len(x) else 0
 
 
-TOKENIZED = "doc_id long, doc_tokens long, crcs array<long>, tail binary, sig long"
+def _key(signature: int, doc_id: int | None, tail: bytes, place: int) -> int:
+    """The place of a tail in one order of all: by min-hash, equal ones by a hash of document and tail, and rows that repeat
+    both by their place in the input, so that any group of them can be dealt to several parts."""
+    own = zlib.crc32(tail, zlib.crc32(b"%d" % doc_id if doc_id is not None else b""))
+    return signature << 32 | own >> 8 << 8 | zlib.crc32(b"%d" % place) & 255
+
+
+TOKENIZED = "doc_id long, doc_tokens long, crcs array<long>, tail binary, key long"
 
 
 def _tokenize(path: str, end_id: int):
     def run(batches):
         encoder = tokens(path)
+        places = itertools.count(TaskContext.get().partitionId() << 36)
         for b in batches:
             cols = [[], [], [], []]
-            for t in b.column(1).to_pylist():
+            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(encoder.ids(t) if t else np.zeros(0, "<u2"), np.uint16(end_id)).astype("<u2")
                 full = len(ids) // WINDOW
                 cols[0].append(len(ids))
                 cols[1].append([_crc(ids[i * WINDOW : (i + 1) * WINDOW]) for i in range(full)])
                 tail = ids[full * WINDOW :]
                 cols[2].append(tail.tobytes())
-                cols[3].append(_signature(tail))
+                cols[3].append(_key(_signature(tail), doc_id, cols[2][-1], next(places)))
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "doc_tokens", "crcs", "tail", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "doc_tokens", "crcs", "tail", "key"])
 
     return run
 
@@ -230,12 +242,29 @@ def _pack(stats):
     return run
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows in the order of their keys over parts of like size, the same in every run: the edges are quantiles of the keys
+    that a hash chooses, some ``SAMPLED`` for each part, and not of a random sample."""
+    spark = rows.sparkSession
+    parts = tasks_for(spark)
+    every = max(1, rows.count() // (SAMPLED * parts))
+    chosen = sorted(r[0] for r in rows.select("key").where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).collect())
+    edges = np.array([chosen[len(chosen) * i // parts] for i in range(1, parts)] if chosen else [], np.int64)
+
+    @F.pandas_udf("int")
+    def part(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, key.to_numpy(), "right").astype(np.int32))
+
+    return rows.withColumn("part", part("key")).repartitionById(parts, "part").sortWithinPartitions("key", "doc_id", "doc_tokens", "tail").drop("part")
+
+
 def packed(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of windows of 1024 tokens.
 
     Null and empty texts are the end id alone. Every id of every row lies in one piece; repeated rows and
     null ids are packed like others. A piece names its window (sequence_id) and its offset there; only
-    the last window of a task can be padded. An empty table gives no rows. Other columns are not read.
+    the last window of a task can be padded. An empty table gives no rows. Other columns are not read. Two runs over
+    the same input in the same partitions, with as many shuffle partitions, give the same pieces.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -247,9 +276,7 @@ def packed(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         if term >= 0:
             df[term] = k
     stats = spark.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)), counts.get(-2, 0) / max(n, 1)))
-    order = ["sig", "doc_id", "doc_tokens", "tail"]
-    dealt = rows.repartitionByRange(tasks_for(spark), *order[:3]).sortWithinPartitions(*order)
-    return dealt.mapInArrow(_pack(stats), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return _dealt(rows).mapInArrow(_pack(stats), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

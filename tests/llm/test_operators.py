@@ -272,6 +272,21 @@ def test_packing_round_trip(spark, corpus):
     assert len(windows) * packing.WINDOW - total <= 4 * packing.WINDOW  # only a task's last window is padded
 
 
+def test_packing_is_the_same_in_every_run(spark, corpus):
+    run = lambda: sorted(map(tuple, packing.packed(corpus.repartition(3, "doc_id"), BYTE_BPE).collect()))
+    first = run()
+    spark.range(10).repartition(3).count()  # numbers of later plans differ
+    assert first == run() and len({r[5] for r in first}) > 100
+
+
+def test_packing_deals_repeated_rows_to_several_parts(spark):
+    df = spark.createDataFrame([(None, "the same words again")] * 3000 + [(i, f"word {i}") for i in range(50)], DOCS.split(", lang")[0]).repartition(4)
+    found = packing.packed(df, BYTE_BPE)
+    parts = [r["count"] for r in found.groupBy(F.shiftright("sequence_id", 32).alias("part")).count().collect()]
+    assert sum(parts) >= 3050 and max(parts) < 1500
+    assert found.groupBy("doc_id").agg(F.sum("length").alias("n")).where("doc_id IS NULL").first().n == 3000 * len(packing.tokens(BYTE_BPE).ids("the same words again")) + 3000
+
+
 def test_packing_edges(docs, empty):
     one = docs.where("doc_id IS NULL OR doc_id <> 1")
     check_pieces(rows(packing.packed(one, BYTE_BPE)), {d: t for d, t, *_ in EDGE if d != 1})
