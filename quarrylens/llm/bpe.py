@@ -432,6 +432,8 @@ def decoded_text(ids: list[int], path: str) -> str:
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every whole text. Null counts as empty, a very long text is encoded whole, repeated rows and null
+    ids have a row each; an empty table gives no rows; other columns are not read."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -292,6 +292,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """A row for each document. Null counts as empty, ties go to the smallest id, then to the first met; repeated rows have a row
+    each; an empty table gives no rows; other columns are not read."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

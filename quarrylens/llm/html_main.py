@@ -390,4 +390,6 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
 
 
 def op2_html(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page. Null and empty html give an empty text, odd markup is read to its end, repeated rows and ids
+    have a row each, null URLs are one host; an empty table gives no rows; other columns are not read."""
     return main_text(read(spark, sf_dir, "pages"))

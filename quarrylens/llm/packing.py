@@ -280,6 +280,8 @@ def packed(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of all documents. Null and empty texts are the end id alone, a very long text is whole windows and a tail; repeated
+    rows and null ids are packed like others; an empty table gives no rows; other columns are not read."""
     import public_tokenizers
 
     return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -165,6 +165,8 @@ def divergence_rules(docs: DataFrame, text: str = "text", lang: str = "lang", ma
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every whole text. Null and empty texts have no words and fail; unknown and null languages share a
+    reference; repeated rows are judged alike; an empty table gives no rows; other columns are not read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = divergence_rules(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))

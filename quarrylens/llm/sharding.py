@@ -135,6 +135,8 @@ def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 20, rows_pe
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
+    """Every document in one place of 24 shards. Null texts have no bytes, a very long text is a row like others, and so are
+    repeated rows and null ids; an empty table gives no rows; other columns are not read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))

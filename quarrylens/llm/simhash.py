@@ -243,5 +243,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    """A row for each document. Null and empty texts have the fingerprint zero and are linked like others, very long ones are read
+    whole; repeated rows and null ids have rows of their own; an empty table gives no rows; other columns are not read."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -371,7 +371,8 @@ _scorers: dict[int, Scorer] = {}
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with the score of the whole text: its worst window's. Null and empty texts have no words and
-    score near 0; equal texts get equal scores; an input column of the same name is replaced."""
+    score near 0; a very long text has as many windows as it takes; equal texts get equal scores; an input column of
+    the same name is replaced, all others stay; an empty table gives no rows."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two bounded vocabularies
 
@@ -389,6 +390,9 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """A score for every whole text. Null and empty texts score near 0; a very long text has more windows, of which the worst
+    counts; equal texts get equal scores, repeated rows a row each; null ids are in the fold of the empty text; an empty
+    table gives no rows; other columns are not read."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, train(docs, read(spark, sf_dir, "labels")))
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -2,8 +2,9 @@
 
 A revisit (a 304 answer) stands for the latest earlier full response of its canonical URL. If its
 validators agree with that response, the response's body is its body and the headers that a 304 may update
-are merged over the stored ones. The join runs in two steps so that a URL with very many records is never
-one group: within short buckets of time, and over one row for each URL and bucket.
+are merged over the stored ones. All revisits of a URL at one instant have the same answer, so instants are joined first:
+within short buckets of time, and over one row for each URL and bucket. A group is thus the different instants of
+one bucket or the buckets of one URL, however many records there are.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3600, with_body:
     else a modification date, that differs from the response's or that it lacks); ``missing`` (no earlier
     response, or a null URL or date). Only resolved rows have a response_id, merged headers and a body; the
     others keep their own headers. Tags compare weakly (a leading W/ is ignored). A revisit without
-    validators is resolved. Repeated rows are resolved alike; an empty table gives no rows.
+    validators is resolved. Repeated rows are resolved alike; of responses with one record_id and instant the smallest
+    body counts. Other columns, whatever they are called, are not read; an empty table gives no rows.
     """
     full = (F.col("warc_type") == "response") & (F.col("status") == 200)
     own = records.select(
@@ -55,14 +57,16 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3600, with_body:
     ).where("is_full OR is_revisit")
     placed = own.where(F.col("canonical_url").isNotNull() & F.col("warc_date").isNotNull())
     keys = ["canonical_url", "bucket"]
-    local = Window.partitionBy(*keys).orderBy("warc_date", "is_full", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = placed.withColumn("near", F.last("response", ignorenulls=True).over(local)).where("is_revisit").drop("response", "is_full")
-    # the greatest (date, id) of a bucket; its place in the order comes first in the struct, maps are not compared
-    at = F.when(F.col("is_full"), F.struct("warc_date", "record_id"))
-    latest = placed.groupBy(*keys).agg(F.max_by("response", at).alias("response"))
+    later = F.when(F.col("is_full"), F.struct(F.col("record_id").isNotNull().alias("known"), "record_id"))  # maps are not compared
+    instants = placed.groupBy(*keys, "warc_date").agg(F.max_by("response", later).alias("response"), F.max("is_revisit").alias("asks"))
+    local = Window.partitionBy(*keys).orderBy("warc_date").rowsBetween(Window.unboundedPreceding, -1)
+    seen = instants.withColumn("near", F.last("response", ignorenulls=True).over(local))
+    latest = instants.groupBy(*keys).agg(F.max_by("response", F.when(F.col("response").isNotNull(), F.col("warc_date"))).alias("response"))
     before = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = latest.select(*keys, F.last("response", ignorenulls=True).over(before).alias("far"))
-    found = seen.join(carried, keys, "left").withColumn("of", F.coalesce("near", "far"))
+    answers = seen.where("asks").drop("response").join(carried, keys, "left").select("canonical_url", "warc_date", F.coalesce("near", "far").alias("of"))
+    # written, so that both sides of the join below have plain exchanges and an instant with very many revisits can be split
+    found = placed.where("is_revisit").drop("response", "is_full").join(written(answers, "answers"), ["canonical_url", "warc_date"], "left")
     lost = own.where("is_revisit AND (canonical_url IS NULL OR warc_date IS NULL)").drop("response", "is_full").withColumn("of", F.lit(None).cast(found.schema["of"].dataType))
     columns = ["record_id", "url", "canonical_url", "warc_date", "headers", "of"]
     found = found.select(*columns).unionByName(lost.select(*columns))
@@ -76,19 +80,19 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3600, with_body:
     kept = F.map_filter(F.coalesce(theirs, F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
     out = found.select(
         "record_id", "url", "canonical_url", "warc_date", "outcome", F.when(resolved, F.col("of.record_id")).alias("response_id"),
-        F.when(resolved, F.map_concat(kept, fresh)).otherwise(mine).alias("headers"), F.when(resolved, F.col("of.payload_digest")).alias("payload_digest"),
+        F.when(resolved, F.map_concat(kept, fresh)).otherwise(mine).alias("headers"), F.when(resolved, F.col("of.payload_digest")).alias("payload_digest"), F.when(resolved, F.col("of.warc_date")).alias("response_date"),
     )
     if not with_body:
-        return out
+        return out.drop("response_date")
     out = written(out, "resolved")
     hot = out.where("response_id IS NOT NULL").groupBy("response_id").count().where(F.col("count") > REVISITS_OF_COPY)
     hot = written(hot.select("response_id", F.ceil(F.col("count") / REVISITS_OF_COPY).cast("int").alias("copies")), "hot-responses")
     hot = F.broadcast(hot) if hot.count() <= HOT_RESPONSES else hot
     copies = F.coalesce("copies", F.lit(1))
-    bodies = records.where(full).select(F.col("record_id").alias("response_id"), "body").dropDuplicates(["response_id"])
-    bodies = bodies.join(hot, "response_id", "left").select("response_id", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "body")
+    bodies = records.where(full).groupBy(F.col("record_id").alias("response_id"), F.col("warc_date").alias("response_date")).agg(F.min("body").alias("body"))
+    bodies = bodies.join(hot, "response_id", "left").select("response_id", "response_date", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "body")
     dealt = out.join(hot, "response_id", "left").withColumn("copy", F.pmod(F.xxhash64("record_id", "url", "warc_date"), copies).cast("int"))
-    return dealt.join(bodies, ["response_id", "copy"], "left").select(*out.columns, "body")
+    return dealt.join(bodies, ["response_id", "response_date", "copy"], "left").select(*[c for c in out.columns if c != "response_date"], "body")
 
 
 def crawl_records(pages: DataFrame) -> DataFrame:
@@ -121,6 +125,8 @@ def crawl_records(pages: DataFrame) -> DataFrame:
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
+    """A revisit for every page, resolved. Null URLs are missing, null html is an empty body, pages that repeat an id are records
+    of their own; a very long body is joined whole; an empty table gives no rows; other columns are not read."""
     out = resolve_revisits(crawl_records(read(spark, sf_dir, "pages")))
     # the digest is of the body that was joined, not the one that the response's record names
     return out.select("record_id", "canonical_url", "outcome", "response_id", F.col("headers")["etag"].alias("etag"), F.size("headers").cast("long").alias("n_headers"), F.md5("body").alias("payload_digest"))

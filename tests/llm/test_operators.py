@@ -751,3 +751,30 @@ def test_working_names_may_be_columns(spark):
     for table in (placed, rules.divergence_rules(df), rules.base_measures(df)):
         found = rows(table)
         assert len(found) == 40 and all({n: r[n] for n in names} == own for r in found)
+
+
+def test_revisits_of_one_url_and_few_instants(spark):
+    """A URL with very many records, most at the same instants; record ids that come back with other bodies."""
+    rng = random.Random(8)
+    at = lambda s: f"2024-01-01 {s // 3600:02d}:{s % 3600 // 60:02d}:{s % 60:02d}"
+    records = []
+    for i in range(900):
+        s, url = rng.choice([0, 10, 10, 3599, 3600, 9000, 20_000]), rng.choice(["http://hot.example/", "http://hot.example/", f"http://x.example/{i % 9}"])
+        body = rng.random() < 0.2
+        records.append((i % 700 if body else 10_000 + i, url, "response" if body else "revisit", at(s), 200 if body else 304, {"etag": f"e{i % 3}"} if rng.random() < 0.7 else {}, f"d{i}" if body else None, f"body {i}" if body else None, s))
+    df = spark.createDataFrame(records, "record_id long, url string, warc_type string, warc_date string, status int, headers map<string,string>, payload_digest string, body string, s int").withColumn("warc_date", F.col("warc_date").cast("timestamp")).repartition(4)
+    got = {r.record_id: (r.outcome, r.response_id, r.body) for r in warc.resolve_revisits(df.withColumns({"near": F.lit(1), "of": F.lit(2)})).collect()}
+    full = [r for r in records if r[2] == "response"]
+    assert len(got) == len(records) - len(full)
+    for i, url, kind, _, _, headers, _, _, s in records:
+        if kind == "revisit":
+            earlier = [r for r in full if r[1] == url and r[8] < s]
+            if not earlier:
+                assert got[i] == ("missing", None, None)
+                continue
+            last = max(earlier, key=lambda r: (r[8], r[0]))
+            same_place = [r for r in earlier if (r[8], r[0]) == (last[8], last[0])]
+            if "etag" in headers and all(r[5].get("etag") != headers["etag"] for r in same_place):
+                assert got[i][0] == "mismatch"
+            elif len(same_place) == 1:
+                assert got[i] == ("resolved", last[0], last[7])
