@@ -45,8 +45,8 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3600, with_body:
     else a modification date, that differs from the response's or that it lacks); ``missing`` (no earlier
     response, or a null URL or date). Only resolved rows have a response_id, merged headers and a body; the
     others keep their own headers. Tags compare weakly (a leading W/ is ignored). A revisit without
-    validators is resolved. Repeated rows are resolved alike; of responses with one record_id and instant the smallest
-    body counts. Other columns, whatever they are called, are not read; an empty table gives no rows.
+    validators is resolved. Repeated rows are resolved alike; of responses with one URL, record_id and instant the
+    smallest body counts. Other columns, whatever they are called, are not read; an empty table gives no rows.
     """
     full = (F.col("warc_type") == "response") & (F.col("status") == 200)
     own = records.select(
@@ -89,10 +89,10 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3600, with_body:
     hot = written(hot.select("response_id", F.ceil(F.col("count") / REVISITS_OF_COPY).cast("int").alias("copies")), "hot-responses")
     hot = F.broadcast(hot) if hot.count() <= HOT_RESPONSES else hot
     copies = F.coalesce("copies", F.lit(1))
-    bodies = records.where(full).groupBy(F.col("record_id").alias("response_id"), F.col("warc_date").alias("response_date")).agg(F.min("body").alias("body"))
-    bodies = bodies.join(hot, "response_id", "left").select("response_id", "response_date", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "body")
+    bodies = records.where(full).groupBy(F.col("record_id").alias("response_id"), F.col("warc_date").alias("response_date"), canonical_url(F.col("url")).alias("canonical_url")).agg(F.min("body").alias("body"))
+    bodies = bodies.join(hot, "response_id", "left").select("response_id", "response_date", "canonical_url", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "body")
     dealt = out.join(hot, "response_id", "left").withColumn("copy", F.pmod(F.xxhash64("record_id", "url", "warc_date"), copies).cast("int"))
-    return dealt.join(bodies, ["response_id", "response_date", "copy"], "left").select(*[c for c in out.columns if c != "response_date"], "body")
+    return dealt.join(bodies, ["response_id", "response_date", "canonical_url", "copy"], "left").select(*[c for c in out.columns if c != "response_date"], "body")
 
 
 def crawl_records(pages: DataFrame) -> DataFrame:
