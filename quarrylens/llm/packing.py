@@ -31,7 +31,8 @@ SHARD = 2048
 TERMS = 24
 NEIGHBOURS = 16
 K1, B = 1.2, 0.75
-REMEMBERED = 400_000
+#: Pieces remembered by a task, and new ones looked up in one call; settings of speed and memory only.
+REMEMBERED, LEARNT = 600_000, 20_000
 #: Keys in the sample that gives the edges of the parts, for each part: chosen by their hash, so the same in every run.
 SAMPLED = 100
 
@@ -54,31 +55,46 @@ class Tokens:
         ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in open(path.removesuffix(".json") + ".tiktoken", "rb"))}  # noqa: SIM115
         self.pieces = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.spaced = np.zeros(max(ranks.values()) + 1, bool)
+        self.spaced[[r for t, r in ranks.items() if t.startswith(b" ")]] = True
         self.known: dict[str, bytes | None] = {}
 
-    def __missing(self, piece: str) -> None:
-        fit = piece and not piece[0].isspace() and not piece[-1].isspace()
-        self.known[piece] = array("H", self.pieces.encode_ordinary(" " + piece)).tobytes() if fit else None
-
-    def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.specials):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2")
-        first, *rest = text.split(" ")
-        if rest and first and not first[-1].isspace():
-            end = rest.pop()
-            for p in set(rest).difference(self.known):
-                self.__missing(p)
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember pieces, many in one call: each begins with the only space in it, and so does the first of its tokens."""
+        fit = [p for p in pieces if p and p.strip() == p]
+        if len(fit) < len(pieces):
+            self.known.update(dict.fromkeys(pieces.difference(fit)))
+        for i in range(0, len(fit), LEARNT):
+            some = fit[i : i + LEARNT]
+            found = np.array(self.pieces.encode_ordinary(" " + " ".join(some)), "<u2")
+            starts, ids = (2 * np.flatnonzero(self.spaced[found])).tolist(), found.tobytes()
+            if len(starts) != len(some):
+                raise ValueError("the vocabulary parts a text elsewhere than before its spaces")
+            self.known.update(zip(some, [ids[x:y] for x, y in zip(starts, [*starts[1:], len(ids)], strict=True)], strict=True))
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; pieces new to all of them are looked up together."""
+        whole = [any(s in t for s in self.specials) for t in texts]
+        parts = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        self._learn(set().union(*(p[1:-1] for p in parts if p)).difference(self.known))
+        return [self._joined(t, p) for t, p in zip(texts, parts, strict=True)]
+
+    def _joined(self, text: str, parts: list[str] | None) -> np.ndarray:
+        if parts and len(parts) > 1 and parts[0] and parts[-1] and not parts[0][-1].isspace() and not parts[-1][0].isspace():
             try:
-                body = b"".join(map(self.known.__getitem__, rest))
-            except TypeError:
+                body = b"".join(map(self.known.__getitem__, parts[1:-1]))
+            except TypeError:  # a piece that does not fit
                 body = None
-            if len(self.known) > REMEMBERED:
-                self.known = {}
-            if body is not None and end and not end[0].isspace():
-                ends = [np.array(self.pieces.encode_ordinary(x), "<u2").tobytes() for x in (first, " " + end)]
-                return np.frombuffer(ends[0] + body + ends[1], "<u2")
+            if body is not None:
+                first, last = (np.array(self.pieces.encode_ordinary(x), "<u2").tobytes() for x in (parts[0], " " + parts[-1]))
+                return np.frombuffer(first + body + last, "<u2")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2")
 
+    def ids(self, text: str) -> np.ndarray:
+        return self.batch([text])[0]
+
 
 _tokens: dict[str, Tokens] = {}
 
@@ -116,8 +132,9 @@ def _tokenize(path: str, end_id: int):
         places = itertools.count(TaskContext.get().partitionId() << 36)
         for b in batches:
             cols = [[], [], [], []]
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(encoder.ids(t) if t else np.zeros(0, "<u2"), np.uint16(end_id)).astype("<u2")
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.batch(texts), strict=True):
+                ids = np.append(ids, np.uint16(end_id)).astype("<u2")
                 full = len(ids) // WINDOW
                 cols[0].append(len(ids))
                 cols[1].append([_crc(ids[i * WINDOW : (i + 1) * WINDOW]) for i in range(full)])
