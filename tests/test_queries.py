@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from quarrylens.queries import ORACLES, QUERIES
+from quarrylens.queries import MODULES, ORACLES, QUERIES
 
 from .conftest import SF, same
 
@@ -35,9 +35,36 @@ def test_rest_stands_without_llm(tmp_path):
     for part in ("__spark_entry__.py", "bench.py"):
         shutil.copy(root / part, tmp_path)
     modules = [".".join(p.relative_to(tmp_path).with_suffix("").parts) for p in (tmp_path / "quarrylens").rglob("*.py") if p.stem != "__init__"]
-    code = f"import importlib\nfor m in {modules + ['bench', 'tests.conftest']}: importlib.import_module(m)\nimport __spark_entry__ as e\nprint(*sorted(e.queries()))"
-    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
-    assert out.stdout.split() == sorted(QUERIES)
+    code = f"""
+import importlib
+for m in {modules + ["bench", "tests.conftest"]}: importlib.import_module(m)
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+from quarrylens.queries import MODULES
+print(*sorted(e.queries()))
+spark = SparkSession.builder.master("local[2]").config(map={{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC"}}).getOrCreate()
+for m in MODULES:
+    name = next(iter(importlib.import_module(f"quarrylens.queries.{{m}}").QUERIES))
+    print(name, e.queries()[name](spark, {SF!r}).count())
+"""
+    out = subprocess.run([sys.executable, "-B", "-W", "ignore", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    names, *ran = out.stdout.splitlines()
+    assert names.split() == sorted(QUERIES)
+    assert len(ran) == len(MODULES) and all(int(line.split()[1]) > 0 for line in ran)
+
+
+def test_entry_says_what_it_leaves_out(monkeypatch):
+    """Where a library that the training-data operators need is missing, all other queries stay."""
+    import __spark_entry__ as entry
+
+    def missing(name):
+        raise ImportError(f"no {name} here")
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    with pytest.warns(UserWarning, match="left out: no quarrylens.llm"):
+        assert sorted(entry.queries()) == sorted(QUERIES)
+    with pytest.warns(UserWarning, match="left out"):
+        assert entry.oracle_sql() == ORACLES
 
 
 def test_shared_folder(spark, monkeypatch):
