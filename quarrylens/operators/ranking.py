@@ -103,12 +103,19 @@ def row_number(df: DataFrame, order: str, row_id: list[str], out: str = "__row_i
 
 def rank(df: DataFrame, field: str, out: str, descending: bool = True, rows_per_bucket: int | None = None) -> DataFrame:
     """RANK over the whole table, nulls last and tied with each other. Ranks are found on the distinct values with
-    their counts, so heavy ties are one row each, and joined back."""
+    their counts, so heavy ties are one row each, and joined back. Values with more rows than a bucket (rows / bucket of them at
+    most, broadcast) are dealt over several salts in that join."""
+    per = rows_per_bucket or ROWS_PER_BUCKET
     values = df.groupBy(F.col(field).alias("__v")).agg(F.count("*").alias("__n"))
+    parts = F.ceil(F.col("__n") / per).cast("int")
+    hot = values.where(F.col("__n") > per).select(F.col("__v").alias("__h"), parts.alias("__parts"))
     values, buckets = with_bucket(values, _along(values, "__v", descending), _direction("__v", descending), ["__v"], rows_per_bucket)
     window = Window.partitionBy("__bucket").orderBy(_direction("__v", descending)).rowsBetween(Window.unboundedPreceding, -1)
     ranked = add_offsets(values.withColumn(out, F.coalesce(F.sum("__n").over(window), F.lit(0)) + 1), buckets, [], F.col("__n"), out)
-    return df.join(ranked.select("__v", out), F.col(field).eqNullSafe(F.col("__v"))).drop("__v")
+    ranked = ranked.select("__v", out, F.explode(F.sequence(F.lit(0), parts - 1)).alias("__s"))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.coalesce("__parts", F.lit(1))).cast("int")
+    dealt = df.join(F.broadcast(hot), F.col(field).eqNullSafe(F.col("__h")), "left").withColumn("__salt", salt).drop("__h", "__parts")
+    return dealt.join(ranked, F.col(field).eqNullSafe(F.col("__v")) & (F.col("__salt") == F.col("__s"))).drop("__v", "__s", "__salt")
 
 
 def percent_rank(df: DataFrame, field: str, out: str, descending: bool = False) -> DataFrame:

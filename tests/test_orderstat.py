@@ -111,6 +111,24 @@ def test_running_sums_over_a_scan_of_buckets(spark, monkeypatch, fan):
     assert ranking.running_sum(df.limit(0), F.col("amount"), "v", ["id"], "cum").count() == 0
 
 
+@pytest.mark.parametrize("per", [50, 10**6])
+def test_ranks_of_values_with_many_rows(spark, per):
+    """A third of the rows share a value and a third are null; repeated rows keep their number."""
+    rng = random.Random(6)
+    rows = [(i, [None, 5.0, rng.random() * 9][i % 3]) for i in range(1200)] + [(0, None)] * 5
+    df = spark.createDataFrame(rows, "id long, v double").repartition(4)
+    for descending in (True, False):
+        key = lambda v: (v is None, (-v if descending else v) if v is not None else 0)
+        order = sorted(key(v) for _, v in rows)
+        first = {}
+        for place, k in enumerate(order, 1):
+            first.setdefault(k, place)
+        got = ranking.rank(df, "v", "r", descending, per)
+        assert got.columns == ["id", "v", "r"]
+        assert sorted((r.id, r.r) for r in got.collect()) == sorted((i, first[key(v)]) for i, v in rows)
+    assert ranking.rank(df.limit(0), "v", "r", True, per).count() == 0
+
+
 def test_facet_histogram_of_the_largest(spark):
     rows = [(None, 5.0)] * 3 + [("a", float(i)) for i in range(10)] + [("b", float(i)) for i in range(8)] + [(f"c{i}", 1.0) for i in range(20)] + [("a", None)]
     df = spark.createDataFrame(rows, "f string, v double")
