@@ -29,17 +29,20 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def sampled_labels(labels: DataFrame, label: str, in_training: Column, each: int) -> DataFrame:
-    """At most ``each`` labelled ids of each class of the training fold, chosen by hash: a bounded table."""
+def sampled_labels(labels: DataFrame, label: str, in_training: Column, each: int | None) -> DataFrame:
+    """At most ``each`` labelled ids of each class of the training fold, chosen by hash: a bounded table. All with None."""
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & in_training).select("doc_id", F.col(label).cast("int").alias("label"))
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+    if each is None:
+        return rows
     pick = lambda k: rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
     return pick(0).unionByName(pick(1))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, in_training: Column, each: int) -> DataFrame:
-    """(doc_id, text, label) of the sampled ids, one row for each: of an id that several rows have, the first text in order."""
-    ids = F.broadcast(sampled_labels(labels, label, in_training, each))  # at most 2 x each rows
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, in_training: Column, each: int | None = None) -> DataFrame:
+    """(doc_id, text, label) of the sampled ids, or of all, one row for each: of an id that several rows have, the first text in order."""
+    ids = sampled_labels(labels, label, in_training, each)
+    ids = ids if each is None else F.broadcast(ids)  # at most 2 x each rows
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id")
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylens.llm import quality, toxicity
 
@@ -160,3 +161,48 @@ def test_quality_weights_are_the_least_loss():
             moved = model.weights.tolist()
             moved[i] += step
             assert loss(moved) > least
+
+
+def plain_cut(s, bad):
+    """The middle of the widest gap beside a rank within half a per cent of the quantile, from all sorted scores."""
+    s = sorted(s)
+    near = [k for k in range(1, len(s)) if abs(k - bad) * 200 <= len(s)]
+    k = max(near, key=lambda k: (s[k] - s[k - 1], -k))
+    return (s[k] + s[k - 1]) / 2 if s[k] > s[k - 1] else s[bad - 1]
+
+
+def test_quality_learns_from_all_pairs(spark):
+    """No slope is left in the loss over every pair of the training fold, counted pair by pair; the cut is at the fold's own quantile."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    known = [r for r in docs.join(labels, "doc_id").where("quality IS NOT NULL").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    good = np.array([r.quality == 1 for r in known])
+    z = quality.expanded(np.array([quality.features(r.text) for r in known]))
+    assert model.mean == pytest.approx(z.mean(axis=0), abs=1e-9) and model.scale == pytest.approx(z.std(axis=0) + 1e-6, abs=1e-9)
+    z = np.clip((z - model.mean) / model.scale, -8, 8)
+    apart = (z[good][:, None] - z[~good][None]).reshape(-1, z.shape[1])
+    wrong = 1 / (1 + np.exp(apart @ model.weights))
+    assert len(apart) == good.sum() * (~good).sum() > 5000
+    assert np.abs(-(wrong @ apart) / len(apart) + 1e-3 * model.weights).max() < 1e-7
+    s = z @ model.weights
+    assert model.cut == pytest.approx(plain_cut(s.tolist(), (~good).sum()), abs=1e-9) and model.slope == pytest.approx(s.std() / 4, rel=1e-9)
+
+
+@pytest.mark.parametrize("kinds", [3, 50, 4001])
+def test_quality_learns_from_every_labelled_row(spark, kinds):
+    """Over 7,000 rows of one class; few kinds of texts, so that one score covers all ranks near the quantile, and many."""
+    text = F.concat(F.repeat(F.lit("word "), (F.col("id") * 37 % kinds % 61 + 1).cast("int")), F.repeat(F.lit("x"), (F.col("id") * 37 % kinds % 97).cast("int")))
+    table = spark.range(14_000).select(F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") * 37 % kinds % 10 + F.col("id") % 11 / 5 > 1.1).cast("int").alias("quality"))
+    known = [r for r in table.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    x, good = np.array([quality.features(r.text) for r in known]), np.array([r.quality == 1 for r in known])
+    model = quality.train(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    assert good.sum() > 7000 and len(known) > 9000
+    assert model.mean == pytest.approx(quality.expanded(x).mean(axis=0), abs=1e-12)
+    s = (quality.standardised(x, model.mean, model.scale) * model.weights).sum(axis=1)
+    assert model.cut == pytest.approx(plain_cut(s.tolist(), (~good).sum()), abs=1e-12)
+    found = quality.scored(table, model).groupBy("text").agg(F.count_distinct("score").alias("n"), F.max("score").alias("most"))
+    assert found.where("n > 1").count() == 0  # equal texts on either side of a cut are no two kinds
+    assert kinds > 3 or found.where("most = 0.5").count() == 1  # the cut is a score, to the last bit
+    local = quality.learn(x, good, (~good).mean())
+    assert model.weights == pytest.approx(local.weights, abs=1e-6) and model.cut == pytest.approx(local.cut, abs=1e-6)
