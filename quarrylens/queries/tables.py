@@ -139,8 +139,11 @@ def exported(spark, sf):
 
 
 def types(spark, sf):
-    df = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.array("o_custkey").alias("list"), F.col("o_custkey").cast("smallint").alias("small"))
-    return normalised_types(df)
+    """Keys in two smallint halves, which hold every int, put together again once the halves have become int."""
+    key = F.col("o_custkey")
+    halves = F.shiftright(key, 16).cast("smallint").alias("high"), (key.bitwiseAND(F.lit(65535)) - 32768).cast("smallint").alias("low")
+    df = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.array("o_custkey").alias("list"), *halves)
+    return normalised_types(df).withColumn("small", F.shiftleft("high", 16).bitwiseOR(F.col("low") + 32768)).drop("high", "low")
 
 
 def public(spark, sf):
