@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.casts import half_up
-from quarrylens.operators.cells import ROWS_PER_CELL, CellMap, places, salted
+from quarrylens.operators.cells import MAP_ROWS, ROWS_PER_CELL, CellMap, at_level, places, salted
 from quarrylens.sources.shared import written
 
 EARTH = 6378137.0
@@ -57,21 +57,44 @@ def point_in_box(kind: str) -> Column:
     return (F.col("x") > F.col("xmin")) & (F.col("x") < F.col("xmax")) & (F.col("y") > F.col("ymin")) & (F.col("y") < F.col("ymax"))
 
 
+def _lies_in(kind: str, ring: str | None) -> Column:
+    """The exact test of a point and a box, or a ring within the box; the bounds are looked at before the ring's edges."""
+    if not ring:
+        return point_in_box(kind)
+    around, edge = in_ring(F.col(ring), F.col("x"), F.col("y")), on_ring(F.col(ring), F.col("x"), F.col("y"))
+    return point_in_box("intersects") & ((around | edge) if kind == "intersects" else (around & ~edge))
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float, kind: str = "intersects", how: str = "left", row_id: str = "pt_id", ring: str | None = None, limit: int = ROWS_PER_CELL) -> DataFrame:
     """Each point with the boxes (or rings within them) it lies in. A point has one cell, so no pair comes up twice. Cells
     with more than ``limit`` points are split."""
     grid = CellMap(points, cell, limit)
-    test = point_in_box(kind)
-    if ring:
-        edge = on_ring(F.col(ring), F.col("x"), F.col("y"))
-        test = (in_ring(F.col(ring), F.col("x"), F.col("y")) | edge) if kind == "intersects" else in_ring(F.col(ring), F.col("x"), F.col("y")) & ~edge
-    hits = grid.points(points).join(grid.boxes(boxes), list(CellMap.KEYS)).where(test).drop(*CellMap.KEYS)
+    hits = grid.points(points).join(grid.boxes(boxes), list(CellMap.KEYS)).where(_lies_in(kind, ring)).drop(*CellMap.KEYS)
     if how == "inner":
         return hits
     extra = [c for c in boxes.columns if c not in points.columns]
     return points.join(hits.select(F.col(row_id).alias("__id"), *extra), F.col(row_id) == F.col("__id"), "left").drop("__id")
 
 
+def points_per_box(points: DataFrame, boxes: DataFrame, cell: float, kind: str = "intersects", row_id: str = "area_id", ring: str | None = None, limit: int = ROWS_PER_CELL) -> DataFrame:
+    """(row_id, n): how many points lie in each box (or ring within it); those without a point are left out. No pairs of points
+    and boxes are made: points are counted by place, equal boxes are one shape, places meet shapes, and the sums of the
+    shapes go back to their boxes. Points in cells that no box meets are dropped as they are read, unless there are too many
+    such cells to broadcast. Cells with more than ``limit`` places are split."""
+    shape = ["xmin", "ymin", "xmax", "ymax", *([ring] if ring else [])]
+    shapes = written(boxes.select(*shape).distinct().withColumn("__shape", F.monotonically_increasing_id()), "shapes")
+    met = _on_cells(shapes, "", cell).select("__cell.i", "__cell.j").distinct()
+    inside = points.where("x IS NOT NULL AND y IS NOT NULL").select("x", "y")
+    if met.count() <= MAP_ROWS:
+        at = {f"__{n}": at_level(F.col(c), cell, 0) for c, n in (("x", "i"), ("y", "j"))}
+        inside = inside.withColumns(at).join(F.broadcast(met.toDF(*at)), list(at), "left_semi")
+    spots = written(inside.groupBy("x", "y").agg(F.count("*").alias("__points")), "spots")
+    grid = CellMap(spots, cell, limit)
+    hits = grid.points(spots).join(grid.boxes(shapes), list(CellMap.KEYS)).where(_lies_in(kind, ring))
+    sums = hits.groupBy("__shape").agg(F.sum("__points").alias("__points")).join(shapes, "__shape").drop("__shape")
+    return boxes.select(row_id, *shape).join(sums, shape).groupBy(row_id).agg(F.sum("__points").alias("n"))
+
+
 def planar(x1, y1, x2, y2) -> Column:
     return F.hypot(x1 - x2, y1 - y2)
 
