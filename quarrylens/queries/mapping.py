@@ -153,7 +153,7 @@ def dense_points(spark, sf):
     """Small boxes over points most of which share one grid cell."""
     p = derived(spark, sf, DENSE).select("pt_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     boxes = areas(spark, sf).select("area_id", (F.col("area_id") % 10 * 0.4).alias("xmin"), (F.col("area_id") % 10 * 0.4 + 0.5).alias("xmax"), (F.col("area_id") % 7 * 0.5).alias("ymin"), (F.col("area_id") % 7 * 0.5 + 0.75).alias("ymax"))
-    return sp.points_in_boxes(p, boxes, 30.0, "within", "inner", limit=2000).groupBy("area_id").agg(F.count("*").alias("n"))
+    return sp.points_per_box(p, boxes, 30.0, "within", limit=2000)
 
 
 def boxes_within_distance(spark, sf):
